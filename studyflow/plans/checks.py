@@ -230,17 +230,28 @@ def quality_report(t: dict[str, DataFrame]) -> DataFrame:
 
 # --- Acceptance -----------------------------------------------------------------------------------
 
-
-def _acceptance(
-    counted: DataFrame, test_id: str, text: str, expected: Column, suffix: str = "", shown: str = ""
-) -> DataFrame:
+# What each acceptance check states.
+DESCRIPTIONS = {
+    "TC-001": "Three demo learners were registered",
+    "TC-002": "Each demo learner has an active enrollment",
+    "TC-003": "Experience-based learning paths were assigned correctly",
+    "TC-004": "Each demo learner has 31 initialized topics",
+    "TC-005": "Learner source records were processed successfully",
+    "TC-006": "Progress source records were processed successfully",
+    "TC-007": "Intentional invalid records were rejected",
+    "TC-008": "Corrected rejected records are marked resolved",
+    "TC-009": "No duplicate demo employee IDs exist",
+    "TC-010": "No duplicate demo activity IDs exist",
+}
+
+
+def _acceptance(counted: DataFrame, test_id: str, text: str, expected: Column, unit: str) -> DataFrame:
     """One acceptance row from a one-row frame with columns ``n`` (found) and ``want``."""
-    shown_suffix = F.lit(suffix or shown)
     return counted.select(
         F.lit(test_id).alias("test_id"),
         F.lit(text).alias("test_description"),
         expected.alias("expected_result"),
-        F.concat(F.col("n").cast("string"), shown_suffix).alias("actual_result"),
+        F.concat(F.col("n").cast("string"), F.lit(unit)).alias("actual_result"),
         _status(F.col("n") == F.col("want")).alias("test_status"),
     )
 
@@ -251,16 +262,18 @@ def acceptance_report(
     learner_ids: DataFrame,
     activity_ids: DataFrame,
     rejected_ids: DataFrame,
-    outcomes: Sequence[tuple[str, str, str, str, str]],
-    topics_each: int,
+    outcomes: Sequence[tuple[str, str, str, str, str, str]],
+    topics_each: int = 31,
+    descriptions: dict[str, str] | None = None,
 ) -> DataFrame:
     """Acceptance checks over chosen keys.
 
     ``expected_learners``: employee_id, path_id. ``learner_ids``, ``activity_ids`` (accepted) and
-    ``rejected_ids``: source_record_id. ``outcomes``: (employee, topic, status, percent, hours) of
-    the final checks, one row each. Keys of ``t``: learners, enrollments, progress, ledger,
-    rejects, events.
+    ``rejected_ids``: source_record_id. ``outcomes``: (employee, topic, status, percent, hours,
+    description) of the final checks, one row each. Keys of ``t``: learners, enrollments, progress,
+    ledger, rejects, events.
     """
+    texts = DESCRIPTIONS | (descriptions or {})
     chosen = t["learners"].join(
         expected_learners.select("employee_id", F.col("path_id").alias("want_path")), "employee_id"
     ).select("employee_id", "learner_id", "want_path")
@@ -268,89 +281,58 @@ def acceptance_report(
         t["enrollments"].select("learner_id", "enrollment_id", "path_id", "enrollment_status"),
         "learner_id",
     )
-    n_learners = expected_learners.agg(F.count(F.lit(1)).alias("want"))
-
-    def against(found: DataFrame, want: DataFrame) -> DataFrame:
-        return found.join(F.broadcast(want), how="cross")
-
-    def count_of(df: DataFrame) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("n"))
-
-    want_text = F.col("want").cast("string")
     held = t["progress"].groupBy("enrollment_id").agg(F.count("topic_id").alias("_held"))
-    per_employee = (
+    complete = (
         enrolled.join(held, "enrollment_id")
         .groupBy("employee_id")
         .agg(F.sum("_held").alias("_held"))
         .filter(F.col("_held") == topics_each)
     )
+    rejected = t["rejects"].join(
+        rejected_ids.select("source_record_id"), "source_record_id", "left_semi"
+    )
+    recorded = t["events"].join(
+        activity_ids.select(F.col("source_record_id").alias("event_id")), "event_id", "left_semi"
+    )
+
+    def counted(df: DataFrame) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias("n"))
+
+    def among(found: DataFrame, keys: DataFrame) -> DataFrame:
+        """Number found beside the number of expected keys."""
+        want = keys.agg(F.count(F.lit(1)).alias("want"))
+        return counted(found).join(F.broadcast(want), how="cross")
 
     def in_ledger(ids: DataFrame, pipeline: str) -> DataFrame:
         accepted = t["ledger"].filter(F.col("pipeline_name") == pipeline)
         found = accepted.join(ids.select("source_record_id"), "source_record_id", "left_semi")
-        return against(count_of(found), ids.agg(F.count(F.lit(1)).alias("want")))
+        return among(found, ids)
 
-    bad = t["rejects"].join(
-        rejected_ids.select("source_record_id"), "source_record_id", "left_semi"
-    )
-    want_bad = rejected_ids.agg(F.count(F.lit(1)).alias("want"))
-    none = F.lit(0).alias("want")
-    repeated_people = count_of(duplicate_keys(chosen, "employee_id")).select("n", none)
-    repeated_events = count_of(
-        duplicate_keys(
-            t["events"].join(
-                activity_ids.select(F.col("source_record_id").alias("event_id")),
-                "event_id",
-                "left_semi",
-            ),
-            "event_id",
-        )
-    ).select("n", none)
+    def none_of(found: DataFrame) -> DataFrame:
+        return counted(found).withColumn("want", F.lit(0))
 
-    checks = [
-        _acceptance(
-            against(count_of(chosen), n_learners), "TC-001",
-            "Expected learners were registered", want_text,
-        ),
-        _acceptance(
-            against(count_of(enrolled.filter("enrollment_status = 'ACTIVE'")), n_learners),
-            "TC-002", "Each expected learner has an active enrollment", want_text,
-        ),
-        _acceptance(
-            against(count_of(enrolled.filter("path_id = want_path")), n_learners), "TC-003",
-            "Experience-based learning paths were assigned correctly",
-            F.concat(want_text, F.lit(" correct path assignments")), " correct path assignments",
-        ),
-        _acceptance(
-            against(count_of(per_employee), n_learners), "TC-004",
-            f"Each expected learner has {topics_each} initialized topics",
-            F.concat(want_text, F.lit(f" learners with {topics_each} topics")),
-            f" learners with {topics_each} topics",
-        ),
-        _acceptance(
-            in_ledger(learner_ids, T.LEARNERS_PIPELINE), "TC-005",
-            "Learner source records were processed successfully", want_text,
-        ),
-        _acceptance(
-            in_ledger(activity_ids, T.ACTIVITY_PIPELINE), "TC-006",
-            "Progress source records were processed successfully", want_text,
+    rows = {
+        "TC-001": (among(chosen, expected_learners), ""),
+        "TC-002": (
+            among(enrolled.filter("enrollment_status = 'ACTIVE'"), expected_learners), "",
         ),
-        _acceptance(
-            against(count_of(bad), want_bad), "TC-007",
-            "Intentional invalid records were rejected", want_text,
-        ),
-        _acceptance(
-            against(count_of(bad.filter("resolved_flag")), want_bad), "TC-008",
-            "Corrected rejected records are marked resolved", want_text,
-        ),
-        _acceptance(
-            repeated_people, "TC-009", "No duplicate expected employee IDs exist",
-            F.lit("0 duplicate employee IDs"), " duplicate employee IDs",
+        "TC-003": (
+            among(enrolled.filter("path_id = want_path"), expected_learners),
+            " correct path assignments",
         ),
+        "TC-004": (among(complete, expected_learners), f" learners with {topics_each} topics"),
+        "TC-005": (in_ledger(learner_ids, T.LEARNERS_PIPELINE), ""),
+        "TC-006": (in_ledger(activity_ids, T.ACTIVITY_PIPELINE), ""),
+        "TC-007": (among(rejected, rejected_ids), ""),
+        "TC-008": (among(rejected.filter("resolved_flag"), rejected_ids), ""),
+        "TC-009": (none_of(duplicate_keys(chosen, "employee_id")), " duplicate employee IDs"),
+        "TC-010": (none_of(duplicate_keys(recorded, "event_id")), " duplicate activity IDs"),
+    }
+    checks = [
         _acceptance(
-            repeated_events, "TC-010", "No duplicate expected activity IDs exist",
-            F.lit("0 duplicate activity IDs"), " duplicate activity IDs",
-        ),
+            found, test_id, texts[test_id], F.concat(F.col("want").cast("string"), F.lit(unit)), unit
+        )
+        for test_id, (found, unit) in rows.items()
     ]
     for number, outcome in enumerate(outcomes, start=11):
         checks.append(_outcome_check(t, f"TC-{number:03d}", *outcome))
@@ -365,6 +347,7 @@ def _outcome_check(
     status: str,
     percent: str,
     hours: str,
+    text: str,
 ) -> DataFrame:
     """Final status, percent and hours of one employee and topic."""
     rows = (
@@ -387,7 +370,7 @@ def _outcome_check(
         F.max(shown).alias("_shown"), F.count_if(right).alias("_right")
     ).select(
         F.lit(test_id).alias("test_id"),
-        F.lit(f"{employee} topic {topic} reached its expected progress").alias("test_description"),
+        F.lit(text).alias("test_description"),
         F.lit(f"{status} / {percent} / {hours} hours").alias("expected_result"),
         F.coalesce("_shown", F.lit("No result")).alias("actual_result"),
         _status(F.col("_right") == 1).alias("test_status"),
