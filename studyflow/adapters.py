@@ -6,6 +6,7 @@ bands occur. Everything is a projection of the whole input table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ from studyflow.plans import learners as L
 from studyflow.plans import progress as P
 from studyflow.plans import schedule as S
 from studyflow.plans import topics as TP
+from studyflow.session import shared_dir
 from studyflow.sources import reference
 
 REGISTERED = date(2024, 1, 1)
@@ -116,8 +118,29 @@ def validated_topics(spark: SparkSession, sf: str) -> DataFrame:
     return TP.validate_topics(topic_inbox(spark, sf), domains(spark, sf))
 
 
+def start_query() -> None:
+    """Forget the tables stored by the previous query."""
+    _stored.clear()
+
+
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table written to the shared folder, once per query however often it is used."""
+    if (sf, name) not in _stored:
+        df, path = build(), f"{shared_dir(spark, name)}/table"
+        df.write.parquet(path)
+        _stored[sf, name] = spark.read.schema(df.schema).parquet(path)
+    return _stored[sf, name]
+
+
 def topics(spark: SparkSession, sf: str) -> DataFrame:
     """Topic table after one run over the whole inbox."""
+    return stored(spark, sf, "topics", lambda: _topics(spark, sf))
+
+
+def _topics(spark: SparkSession, sf: str) -> DataFrame:
     latest = TP.latest_topic_version(validated_topics(spark, sf).filter(F.col(TP.ERROR).isNull()))
     return latest.select(
         *latest.columns,
@@ -128,7 +151,9 @@ def topics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def plan(spark: SparkSession, sf: str) -> DataFrame:
-    return S.build_schedule(topics(spark, sf), paths(spark))
+    return stored(
+        spark, sf, "plan", lambda: S.build_schedule(topics(spark, sf), paths(spark))
+    )
 
 
 CENTS = "cast(round(c_acctbal * 100) as bigint)"
@@ -282,6 +307,10 @@ def initial_progress(spark: SparkSession, sf: str) -> DataFrame:
 
 def progress(spark: SparkSession, sf: str) -> DataFrame:
     """Progress of all active enrollments after folding the event log day by day."""
+    return stored(spark, sf, "progress", lambda: _progress(spark, sf))
+
+
+def _progress(spark: SparkSession, sf: str) -> DataFrame:
     return P.progress_fold(
         learning_events(spark, sf), "batch_day", initial_progress(spark, sf)
     ).withColumn("updated_at", now())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +39,12 @@ LATER = "timestamp_ntz'2024-02-01'"
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        A.start_query()
+        return fn(spark, sf)
+
+    QUERIES[fn.__name__] = run
     return fn
 
 

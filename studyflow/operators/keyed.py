@@ -17,11 +17,6 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None) -> DataFrame:
-    """Broadcast ``df`` when its row count is known to be within the bound."""
-    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
-
-
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row per key in the given order.
 
@@ -66,15 +61,17 @@ def lookup(
     )
 
 
-def matching_keys(
-    table: DataFrame, batch: DataFrame, keys: Sequence[str], batch_rows: int | None = None
+def _restrict(
+    table: DataFrame, batch: DataFrame, keys: Sequence[str], batch_rows: int | None
 ) -> DataFrame:
-    """Keys of ``batch`` that exist in ``table``, once each.
+    """``table`` without rows that cannot match a batch known to be small.
 
-    The large table is only filtered: against a small batch it is scanned without a shuffle.
+    The batch's keys are broadcast, so a large table is scanned and filtered but not shuffled. For
+    other batches the table is returned as it is and the following join or grouping shuffles it.
     """
-    wanted = broadcast_if_small(batch.select(*keys).distinct(), batch_rows)
-    return table.select(*keys).join(wanted, list(keys), "left_semi").distinct()
+    if batch_rows is None or batch_rows > BROADCAST_ROWS:
+        return table
+    return table.join(F.broadcast(batch.select(*keys).distinct()), list(keys), "left_semi")
 
 
 def flag_duplicates(
@@ -92,9 +89,11 @@ def flag_existing(
     spread: Sequence[str],
     flag: str,
     batch_rows: int | None = None,
+    unique: bool = False,
 ) -> DataFrame:
-    """Mark rows whose key is present in ``table``."""
-    known = matching_keys(table, df, keys, batch_rows).withColumn(flag, F.lit(True))
+    """Mark rows whose key is present in ``table``; say ``unique`` if the key is its primary key."""
+    known = _restrict(table.select(*keys), df, keys, batch_rows)
+    known = (known if unique else known.distinct()).withColumn(flag, F.lit(True))
     return lookup(df, known, keys, spread).withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
@@ -107,23 +106,32 @@ def key_facts(
 ) -> DataFrame:
     """Duplicate flag and one presence flag per table in ``known_in``, with one join on the batch.
 
-    The facts are assembled per key and only keys with something to report are kept, so in the usual
-    case (few repeats, few re-deliveries) the list is tiny and the batch itself is not shuffled.
+    Keys of the batch and of the tables are counted together in one grouping, combined on the map
+    side. Only keys with something to report are kept; there are few of them in the usual case
+    (few repeats, few re-deliveries), and then AQE broadcasts them.
     """
-    reports = [duplicate_keys(df, key).select(key, F.lit("is_duplicate").alias("fact"))]
+    flags = list(known_in)
+    seen = df.select(key, F.lit("batch").alias("_seen"))
     for flag, table in known_in.items():
-        reports.append(
-            matching_keys(table, df, [key], batch_rows).select(key, F.lit(flag).alias("fact"))
+        rows = _restrict(table.select(key), df, [key], batch_rows)
+        seen = seen.unionByName(rows.select(key, F.lit(flag).alias("_seen")))
+    facts = (
+        seen.filter(F.col(key).isNotNull())
+        .groupBy(key)
+        .agg(
+            F.count_if(F.col("_seen") == "batch").alias("_copies"),
+            *[F.max(F.col("_seen") == flag).alias(flag) for flag in flags],
         )
-    facts = reports[0]
-    for report in reports[1:]:
-        facts = facts.unionByName(report)
-    flags = ["is_duplicate", *known_in]
-    facts = facts.groupBy(key).agg(
-        *[F.max(F.col("fact") == F.lit(flag)).alias(flag) for flag in flags]
+        .withColumn("is_duplicate", F.col("_copies") > 1)
     )
+    reported = F.col("is_duplicate")
+    for flag in flags:
+        reported = reported | F.col(flag)
+    facts = facts.filter((F.col("_copies") > 0) & reported).drop("_copies")
     joined = lookup(df, facts, [key], spread)
-    return joined.withColumns({flag: F.coalesce(F.col(flag), F.lit(False)) for flag in flags})
+    return joined.withColumns(
+        {flag: F.coalesce(F.col(flag), F.lit(False)) for flag in ["is_duplicate", *flags]}
+    )
 
 
 def upsert(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from studyflow import tables as T
 from studyflow.functions.scalars import is_blank, trimmed, try_decimal, try_timestamp
 from studyflow.operators.keyed import (
-    broadcast_if_small,
+    BROADCAST_ROWS,
     flag_existing,
     key_facts,
     latest_by,
@@ -103,11 +103,12 @@ def resolve_enrollment(
 ) -> DataFrame:
     """Add the active enrollment of each row's employee, null when there is none.
 
-    Only the employees named in the batch are taken from the learner table before it is joined.
+    For a batch known to be small, only the employees it names are taken from the learner table.
     """
-    wanted = broadcast_if_small(df.select("employee_id").distinct(), batch_rows)
-    named = learners.select("learner_id", "employee_id").join(wanted, "employee_id", "left_semi")
-    named = broadcast_if_small(named, batch_rows)
+    named = learners.select("learner_id", "employee_id")
+    if batch_rows is not None and batch_rows <= BROADCAST_ROWS:
+        wanted = F.broadcast(df.select("employee_id").distinct())
+        named = named.join(wanted, "employee_id", "left_semi")
     return lookup(df, latest_enrollment(named, enrollments), ["employee_id"], T.LINEAGE)
 
 
@@ -116,7 +117,7 @@ def flag_unassigned(
 ) -> DataFrame:
     """Mark rows whose (enrollment, topic) has no progress row."""
     flagged = flag_existing(
-        df, progress, ["enrollment_id", "topic_id"], T.LINEAGE, "_assigned", batch_rows
+        df, progress, ["enrollment_id", "topic_id"], T.LINEAGE, "_assigned", batch_rows, unique=True
     )
     return flagged.withColumn("is_unassigned", ~F.col("_assigned")).drop("_assigned")
 
@@ -223,7 +224,7 @@ def validate_direct(df: DataFrame, progress: DataFrame, spread: list[str]) -> Da
         F.coalesce(F.col("completion_percent").cast("decimal(38,0)"), F.lit(0))
     )
     flagged = flag_existing(
-        df, progress, ["enrollment_id", "topic_id"], spread, "_assigned"
+        df, progress, ["enrollment_id", "topic_id"], spread, "_assigned", unique=True
     ).withColumn("final_percent", percent)
     reason = first_failure(
         [

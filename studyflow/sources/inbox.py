@@ -57,9 +57,9 @@ def refuse_malformed(df: DataFrame) -> DataFrame:
 
     All columns are read for the check, since a pruned read would not notice a short line.
     """
-    bad = df.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT).limit(1).collect()
+    bad = df.filter(F.col(CORRUPT).isNotNull()).limit(1).collect()
     if bad:
-        raise MalformedInbox(f"column count mismatch: {bad[0][0]!r}")
+        raise MalformedInbox(f"column count mismatch: {bad[0][CORRUPT]!r}")
     return df.drop(CORRUPT)
 
 
