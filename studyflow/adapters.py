@@ -110,10 +110,6 @@ def topic_inbox(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
 def validated_topics(spark: SparkSession, sf: str) -> DataFrame:
     return TP.validate_topics(topic_inbox(spark, sf), domains(spark, sf))
 

@@ -29,6 +29,7 @@ from studyflow.plans import topics as TP
 from studyflow.plans import views as V
 from studyflow.session import shared_dir
 from studyflow.sources import inbox as IN
+from studyflow.sources.reference import empty_table
 from studyflow.sources.store import Store
 from studyflow.streaming import jobs
 
@@ -82,21 +83,20 @@ def inbox_csv_read(spark, sf):
 
 @query
 def inbox_row_number(spark, sf):
-    folder = shared_dir(spark, "inbox") + "/csv"
-    rows = _plain_customers(spark, sf).withColumn("bucket", F.expr("k % 8"))
-    (
-        rows.repartition("bucket")
-        .sortWithinPartitions("bucket", "k")
-        .select(*T.LEARNER_INBOX, "bucket")
-        .write.partitionBy("bucket")
-        .option("header", True)
-        .csv(folder)
-    )
-    read = IN.with_row_number(IN.read_inbox(spark, folder, T.LEARNER_INBOX))
-    return read.select(
+    """Row numbers of files that hold ascending customer keys: the distance from the first key."""
+    base = shared_dir(spark, "inbox")
+    rows = _plain_customers(spark, sf).repartitionByRange("k").sortWithinPartitions("k")
+    _write_inbox(rows, T.LEARNER_INBOX, f"{base}/csv")
+    IN.with_position(IN.read_inbox(spark, f"{base}/csv", T.LEARNER_INBOX)).write.parquet(
+        f"{base}/rows"
+    )
+    numbered = IN.with_row_number(spark.read.parquet(f"{base}/rows")).withColumn(
+        "k", F.expr("cast(substr(source_record_id, 5) as bigint)")
+    )
+    first = numbered.groupBy("source_file_name").agg(F.min("k").alias("first_key"))
+    return numbered.join(first, "source_file_name").select(
         "source_record_id",
-        F.regexp_extract("source_file_name", r"bucket=(\d+)", 1).cast("bigint").alias("bucket"),
-        "source_row_number",
+        (F.col("source_row_number") - 1 - (F.col("k") - F.col("first_key"))).alias("off_by"),
     )
 
 
@@ -791,7 +791,7 @@ def _new_store(spark: SparkSession, sf: str, *tables: str) -> Store:
 
 def _ordered_csv(df: DataFrame, cols: list[str], folder: str) -> str:
     """An inbox whose files, taken in name order, keep the order of the row numbers."""
-    parts = df.repartitionByRange(4, "source_row_number").sortWithinPartitions("source_row_number")
+    parts = df.repartitionByRange("source_row_number").sortWithinPartitions("source_row_number")
     return _write_inbox(parts, cols, folder)
 
 
@@ -890,7 +890,7 @@ def progress_fold(spark, sf):
 @query
 def process_topics(spark, sf):
     run = TP.process_topics(
-        A.topic_inbox(spark, sf), A.domains(spark, sf), A.empty(spark, T.TOPIC_SCHEMA), A.now()
+        A.topic_inbox(spark, sf), A.domains(spark, sf), empty_table(spark, T.TOPIC_SCHEMA), A.now()
     )
     return run.topics
 
@@ -925,9 +925,9 @@ def process_learners(spark, sf):
     run = L.process_learners(
         A.learner_inbox(spark, sf),
         A.learner_ledger(spark, sf),
-        A.empty(spark, T.LEARNER_SCHEMA),
-        A.empty(spark, T.ENROLLMENT_SCHEMA),
-        A.empty(spark, T.PROGRESS_SCHEMA),
+        empty_table(spark, T.LEARNER_SCHEMA),
+        empty_table(spark, T.ENROLLMENT_SCHEMA),
+        empty_table(spark, T.PROGRESS_SCHEMA),
         A.plan(spark, sf),
         A.paths(spark),
         A.registered(),

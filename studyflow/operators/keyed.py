@@ -2,7 +2,7 @@
 
 None of them gathers the rows of one key in a single task. Counts and newest-row picks are reduced
 on the map side first; lookups bring back at most one row per key, and a hot key on the probing
-side is split by AQE or never shuffled because the other side is broadcast.
+side is split by AQE or meets a broadcast.
 """
 
 from __future__ import annotations
@@ -43,7 +43,9 @@ def lookup(
     """Left join against ``found``, which holds at most one row per key.
 
     Rows without a key match nothing but would all hash to one partition; they get a stand-in key
-    drawn from the ``spread`` columns, kept apart from real keys by a flag.
+    drawn from the ``spread`` columns, kept apart from real keys by a flag. ``found`` is shuffled on
+    its own account, so AQE sees its real size (and broadcasts a small one) and can split the
+    partition of a hot key on the probing side, which it does only between two plain shuffles.
     """
     no_key = F.lit(False)
     for k in keys:
@@ -52,7 +54,9 @@ def lookup(
     left = df.withColumn("_real", ~no_key).withColumns(
         {f"_k_{k}": F.when(F.col("_real"), F.col(k)).otherwise(stand_in) for k in keys}
     )
-    right = found.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    right = found.withColumnsRenamed({k: f"_r_{k}" for k in keys}).repartition(
+        *[F.col(f"_r_{k}") for k in keys]
+    )
     condition = F.col("_real")
     for k in keys:
         condition = condition & (F.col(f"_k_{k}") == F.col(f"_r_{k}"))

@@ -572,9 +572,7 @@ STATEMENTS: dict[str, str] = {
                nullif(trim(snowflake_experience_years), '') AS snowflake_experience_years
         FROM learner_inbox""",
     "inbox_row_number": """
-        SELECT 'LRN-' || c_custkey AS source_record_id, c_custkey % 8 AS bucket,
-               row_number() OVER (PARTITION BY c_custkey % 8 ORDER BY c_custkey)
-                   AS source_row_number
+        SELECT 'LRN-' || c_custkey AS source_record_id, CAST(0 AS BIGINT) AS off_by
         FROM customer""",
     "inbox_strict_load": """
         SELECT c_mktsegment AS department_name, count(*) AS row_count FROM customer GROUP BY 1""",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from studyflow.operators.keyed import lookup
+
 # Run messages and result texts.
 RUN_MESSAGES = {
     "STUDY_TOPICS_PIPELINE": "Study-topic pipeline completed successfully",
@@ -95,7 +97,7 @@ def resolve_rejects(rejects: DataFrame, ledger: DataFrame) -> DataFrame:
         F.max("processed_at").alias("_accepted_at")
     )
     later = F.col("_accepted_at") > F.col("rejected_at")
-    joined = rejects.join(accepted, ["pipeline_name", "source_record_id"], "left")
+    joined = lookup(rejects, accepted, ["pipeline_name", "source_record_id"], ["rejection_id"])
     return joined.select(
         *[
             F.coalesce(F.col(c) | later, F.col(c)).alias(c)

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from studyflow.operators.keyed import BROADCAST_ROWS
+
 # Tokens that stand for a missing field.
 TOPIC_NULL_TOKENS = ("", "NULL")
 CSV_NULL_TOKENS = ("", "NULL", "null")
 
 CORRUPT = "_corrupt_line"
-LINEAGE_PARTS = ("source_file_name", "_block_start")
+BLOCK = ("source_file_name", "_block_start")
 
 
 class MalformedInbox(ValueError):
@@ -94,16 +96,23 @@ def stream_inbox(
     return _shape(reader.csv(path), cols, null_tokens)
 
 
-def with_row_number(df: DataFrame) -> DataFrame:
+def with_position(df: DataFrame) -> DataFrame:
+    """Add a number that grows with the position of a row inside its block.
+
+    Store the result before numbering rows: reading the files again could cut other blocks.
+    """
+    return df.withColumn("_position", F.monotonically_increasing_id())
+
+
+def with_row_number(stored: DataFrame) -> DataFrame:
     """Position of each row in its file, from one, without ordering a file in one task.
 
-    A file is read in blocks; within a block the generated id grows with position. Rows per block
-    are counted, block counts are summed along the file (one small row per block), and each row
-    adds the offset of its block to its place inside it.
+    A file is read in blocks. Rows per block are counted, the counts are summed along the file (one
+    small row per block), and each row adds the offset of its block to its place inside it. The
+    offsets are broadcast if there are few enough blocks; each block has a bounded number of rows.
     """
-    numbered = df.withColumn("_id", F.monotonically_increasing_id())
-    blocks = numbered.groupBy(*LINEAGE_PARTS).agg(
-        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows")
+    blocks = stored.groupBy(*BLOCK).agg(
+        F.min("_position").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
     offsets = blocks.selectExpr(
         "source_file_name as _file",
@@ -111,12 +120,16 @@ def with_row_number(df: DataFrame) -> DataFrame:
         "_first",
         "sum(_rows) over (partition by source_file_name order by _block_start) - _rows as _before",
     )
+    if blocks.count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     return (
-        numbered.join(
+        stored.join(
             offsets,
             (F.col("source_file_name") == F.col("_file"))
             & (F.col("_block_start") == F.col("_block")),
         )
-        .withColumn("source_row_number", F.col("_before") + F.col("_id") - F.col("_first") + 1)
-        .drop("_id", "_block_start", "_file", "_block", "_first", "_before")
+        .withColumn(
+            "source_row_number", F.col("_before") + F.col("_position") - F.col("_first") + 1
+        )
+        .drop("_position", "_block_start", "_file", "_block", "_first", "_before")
     )

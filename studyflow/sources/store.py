@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyflow import tables as T
+from studyflow.sources.reference import empty_table
 
 # table -> (schema, leading key used to split it into parts)
 KEYED = {
@@ -114,7 +115,7 @@ class Store:
             if p in manifest["parts"]
         ]
         if not folders:
-            return self.spark.createDataFrame([], schema)
+            return empty_table(self.spark, schema)
         return self.spark.read.schema(schema).parquet(*folders)
 
     def read(self, name: str) -> DataFrame:
@@ -123,7 +124,7 @@ class Store:
             return self._load(name, self._manifest(name))
         folder = f"{self.root}/{name}"
         if not any(n.startswith("batch=") for n in self._names(folder)):
-            return self.spark.createDataFrame([], APPENDED[name])
+            return empty_table(self.spark, APPENDED[name])
         return self.spark.read.schema(APPENDED[name]).parquet(f"{folder}/batch=*")
 
     def merge(

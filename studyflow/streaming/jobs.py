@@ -21,6 +21,7 @@ from studyflow.sources.inbox import (
     TOPIC_NULL_TOKENS,
     refuse_malformed,
     stream_inbox,
+    with_position,
     with_row_number,
 )
 from studyflow.sources.store import Store
@@ -65,18 +66,23 @@ def _start(
 
 
 def _logged(store: Store, pipeline: str, clock: Clock, work: Callable[[str, datetime], DataFrame]):
-    """Wrap the work of a batch: append its log row, or a FAILED row before the query stops."""
+    """Wrap the work of a batch: append its log row, or a FAILED row before the query stops.
+
+    The rows of the batch are frozen first, as a columnar table every later step reads.
+    """
 
     def handle(df: DataFrame, batch_id: int) -> None:
         batch = f"{pipeline.lower()}-{_batch_name(store.spark, batch_id)}"
         started = clock()
         try:
-            counts = work_on(df, batch, started)
+            raw = store.stage_once(f"{pipeline}-raw", lambda: with_position(df), batch)
+            counts = work(raw, batch, started)
             log = audit.log_run(
                 counts, pipeline, F.lit(f"RUN_{batch}"), _ts(started), _ts(clock())
             )
             store.append_once("pipeline_run_log", log, batch)
-            store.drop_staged(pipeline, batch)
+            for frozen in (pipeline, f"{pipeline}-raw"):
+                store.drop_staged(frozen, batch)
         except Exception as error:
             none = store.spark.range(1).select(
                 *[
@@ -92,13 +98,6 @@ def _logged(store: Store, pipeline: str, clock: Clock, work: Callable[[str, date
             store.append_once("pipeline_run_log", log, attempt)
             raise
 
-    def work_on(df: DataFrame, batch: str, started: datetime) -> DataFrame:
-        df.persist()
-        try:
-            return work(df, batch, started)
-        finally:
-            df.unpersist()
-
     return handle
 
 
