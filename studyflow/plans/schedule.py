@@ -56,17 +56,14 @@ def with_week(df: DataFrame) -> DataFrame:
 def with_hours_share(df: DataFrame) -> DataFrame:
     """Weekly hours of the path shared out by topic hours within a week, to one decimal.
 
-    The week totals are aggregated and joined back, so a week is never gathered in one task.
+    A (path, week) group holds at most all topics, a bounded number (see ``plans.topics``).
     """
     tenths = (F.col("estimated_hours") * 10).cast("bigint")
-    totals = df.groupBy("path_id", "planned_week").agg(F.sum(tenths).alias("_total"))
+    total = F.sum(tenths).over(Window.partitionBy("path_id", "planned_week"))
     share = half_up(F.col("weekly_study_hours").cast("bigint") * tenths * 10, F.col("_total"))
     return (
-        df.join(totals, ["path_id", "planned_week"])
-        .withColumn(
-            "recommended_hours",
-            F.when(F.col("_total") != 0, from_tenths(share, 5)),
-        )
+        df.withColumn("_total", total)
+        .withColumn("recommended_hours", F.when(F.col("_total") != 0, from_tenths(share, 5)))
         .drop("_total")
     )
 

@@ -43,7 +43,7 @@ def validate_topics(df: DataFrame, domains: DataFrame) -> DataFrame:
 
     Valid means no rule failed, so hours or order that do not parse are rejected with their reason.
     """
-    known = F.broadcast(domains.select("domain_id").distinct().withColumn("_known", F.lit(True)))
+    known = F.broadcast(domains.select("domain_id", F.lit(True).alias("_known")))
     hours = try_decimal(F.col("estimated_hours"), 5, 1)
     order = try_decimal(F.col("topic_order"), 3, 0)
     rules = [
