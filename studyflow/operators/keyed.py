@@ -40,28 +40,32 @@ def lookup(
     keys: Sequence[str],
     spread: Sequence[str],
 ) -> DataFrame:
-    """Left join against ``found``, which holds at most one row per key.
+    """Left join against ``found``, which holds at most one row per (text) key.
 
-    Rows without a key match nothing but would all hash to one partition; they get a stand-in key
-    drawn from the ``spread`` columns, kept apart from real keys by a flag. ``found`` is shuffled on
-    its own account, so AQE sees its real size (and broadcasts a small one) and can split the
-    partition of a hot key on the probing side, which it does only between two plain shuffles.
+    Rows without a key match nothing but would all hash to one partition, so they get a stand-in
+    drawn from the ``spread`` columns; real keys carry a mark no stand-in has. The marked key also
+    differs from whatever ``found`` was grouped by, so the join reads two plain shuffles: only then
+    does AQE split the partition of a hot key on the probing side, and see the true size of
+    ``found`` (a small one is broadcast).
     """
-    no_key = F.lit(False)
+    complete = F.lit(True)
     for k in keys:
-        no_key = no_key | F.col(k).isNull()
+        complete = complete & F.col(k).isNotNull()
+
+    def marked(k: str) -> Column:
+        return F.concat(F.lit("="), F.col(k))
+
+    first, *others = keys
     stand_in = F.xxhash64(*[F.col(c) for c in spread]).cast("string")
-    left = df.withColumn("_real", ~no_key).withColumns(
-        {f"_k_{k}": F.when(F.col("_real"), F.col(k)).otherwise(stand_in) for k in keys}
+    left = df.withColumn("_k_0", F.when(complete, marked(first)).otherwise(stand_in))
+    right = found.withColumn("_r_0", marked(first)).withColumnsRenamed(
+        {k: f"_r_{k}" for k in others}
     )
-    right = found.withColumnsRenamed({k: f"_r_{k}" for k in keys}).repartition(
-        *[F.col(f"_r_{k}") for k in keys]
-    )
-    condition = F.col("_real")
-    for k in keys:
-        condition = condition & (F.col(f"_k_{k}") == F.col(f"_r_{k}"))
-    return left.join(right, condition, "left").drop(
-        "_real", *[f"_k_{k}" for k in keys], *[f"_r_{k}" for k in keys]
+    condition = F.col("_k_0") == F.col("_r_0")
+    for k in others:
+        condition = condition & (F.col(k) == F.col(f"_r_{k}"))
+    return left.join(right.drop(first), condition, "left").drop(
+        "_k_0", "_r_0", *[f"_r_{k}" for k in others]
     )
 
 

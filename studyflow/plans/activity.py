@@ -87,15 +87,19 @@ def activity_rules(strict: bool = False) -> list[tuple[Column, str]]:
 
 
 def latest_enrollment(learners: DataFrame, enrollments: DataFrame) -> DataFrame:
-    """Newest active enrollment per employee id spelling."""
+    """Newest active enrollment per employee id spelling.
+
+    Enrollments are reduced to the newest per learner before they meet the learners.
+    """
+    newest = [F.desc("created_at"), F.desc("enrollment_id")]
     active = enrollments.filter(
         (F.col("certification_id") == T.CERTIFICATION_ID)
         & (F.col("enrollment_status") == "ACTIVE")
     ).select("learner_id", "enrollment_id", "created_at")
-    owned = learners.select("learner_id", "employee_id").join(active, "learner_id")
-    return latest_by(owned, ["employee_id"], [F.desc("created_at"), F.desc("enrollment_id")]).select(
-        "employee_id", "enrollment_id"
+    owned = learners.select("learner_id", "employee_id").join(
+        latest_by(active, ["learner_id"], newest), "learner_id"
     )
+    return latest_by(owned, ["employee_id"], newest).select("employee_id", "enrollment_id")
 
 
 def resolve_enrollment(

@@ -44,7 +44,9 @@ def orphans(progress: DataFrame, enrollments: DataFrame, topics: DataFrame) -> D
 
 def idle_learners(learners: DataFrame, enrollments: DataFrame) -> DataFrame:
     """Active learners without an active enrollment."""
-    active = enrollments.filter(F.col("enrollment_status") == "ACTIVE").select("learner_id")
+    active = (
+        enrollments.filter(F.col("enrollment_status") == "ACTIVE").select("learner_id").distinct()
+    )
     return learners.filter("active_flag").join(active, "learner_id", "left_anti").select(
         "learner_id", "employee_id"
     )
