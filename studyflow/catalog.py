@@ -450,13 +450,10 @@ def in_duplicate_keys(spark, sf):
 
 @query
 def topic_not_assigned(spark, sf):
-    flagged = flag_existing(
-        A.direct_calls(spark, sf), A.initial_progress(spark, sf),
-        ["enrollment_id", "topic_id"], ["call_id"], "assigned",
-    )
-    return flagged.select(
-        "call_id", "enrollment_id", "topic_id", (~F.col("assigned")).alias("is_unassigned")
+    flagged = AC.flag_unassigned(
+        A.direct_calls(spark, sf), A.initial_progress(spark, sf), ["call_id"]
     )
+    return flagged.select("call_id", "enrollment_id", "topic_id", "is_unassigned")
 
 
 @query

@@ -39,9 +39,12 @@ def lookup(
     found: DataFrame,
     keys: Sequence[str],
     spread: Sequence[str],
+    found_rows: int | None = None,
 ) -> DataFrame:
     """Left join against ``found``, which holds at most one row per (text) key.
 
+    ``found_rows`` is an upper bound of its size, if one is known; within the limit it is broadcast.
+
     Rows without a key match nothing but would all hash to one partition, so they get a stand-in
     drawn from the ``spread`` columns; real keys carry a mark no stand-in has. The marked key also
     differs from whatever ``found`` was grouped by, so the join reads two plain shuffles: only then
@@ -55,6 +58,8 @@ def lookup(
     def marked(k: str) -> Column:
         return F.concat(F.lit("="), F.col(k))
 
+    if found_rows is not None and found_rows <= BROADCAST_ROWS:
+        found = F.broadcast(found)
     first, *others = keys
     stand_in = F.xxhash64(*[F.col(c) for c in spread]).cast("string")
     left = df.withColumn("_k_0", F.when(complete, marked(first)).otherwise(stand_in))
@@ -69,7 +74,7 @@ def lookup(
     )
 
 
-def _restrict(
+def restrict(
     table: DataFrame, batch: DataFrame, keys: Sequence[str], batch_rows: int | None
 ) -> DataFrame:
     """``table`` without rows that cannot match a batch known to be small.
@@ -100,7 +105,7 @@ def flag_existing(
     unique: bool = False,
 ) -> DataFrame:
     """Mark rows whose key is present in ``table``; say ``unique`` if the key is its primary key."""
-    known = _restrict(table.select(*keys), df, keys, batch_rows)
+    known = restrict(table.select(*keys), df, keys, batch_rows)
     known = (known if unique else known.distinct()).withColumn(flag, F.lit(True))
     return lookup(df, known, keys, spread).withColumn(flag, F.coalesce(flag, F.lit(False)))
 
@@ -121,7 +126,7 @@ def key_facts(
     flags = list(known_in)
     seen = df.select(key, F.lit("batch").alias("_seen"))
     for flag, table in known_in.items():
-        rows = _restrict(table.select(key), df, [key], batch_rows)
+        rows = restrict(table.select(key), df, [key], batch_rows)
         seen = seen.unionByName(rows.select(key, F.lit(flag).alias("_seen")))
     facts = (
         seen.filter(F.col(key).isNotNull())
@@ -136,7 +141,8 @@ def key_facts(
     for flag in flags:
         reported = reported | F.col(flag)
     facts = facts.filter((F.col("_copies") > 0) & reported).drop("_copies")
-    joined = lookup(df, facts, [key], spread)
+    # No more facts than keys in the batch.
+    joined = lookup(df, facts, [key], spread, found_rows=batch_rows)
     return joined.withColumns(
         {flag: F.coalesce(F.col(flag), F.lit(False)) for flag in ["is_duplicate", *flags]}
     )

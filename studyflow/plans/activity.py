@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 from studyflow import tables as T
 from studyflow.functions.scalars import is_blank, trimmed, try_decimal, try_timestamp
 from studyflow.operators.keyed import (
-    BROADCAST_ROWS,
     flag_existing,
     key_facts,
     latest_by,
     lookup,
+    restrict,
 )
 from studyflow.operators.rules import ERROR, first_failure, run_counts, split, to_rejects
 from studyflow.plans.learners import ledger_ids, record_processed
@@ -109,19 +110,50 @@ def resolve_enrollment(
 
     For a batch known to be small, only the employees it names are taken from the learner table.
     """
-    named = learners.select("learner_id", "employee_id")
-    if batch_rows is not None and batch_rows <= BROADCAST_ROWS:
-        wanted = F.broadcast(df.select("employee_id").distinct())
-        named = named.join(wanted, "employee_id", "left_semi")
+    named = restrict(
+        learners.select("learner_id", "employee_id"), df, ["employee_id"], batch_rows
+    )
     return lookup(df, latest_enrollment(named, enrollments), ["employee_id"], T.LINEAGE)
 
 
+def resolve_assignment(
+    df: DataFrame,
+    learners: DataFrame,
+    enrollments: DataFrame,
+    progress: DataFrame,
+    batch_rows: int | None = None,
+) -> DataFrame:
+    """``resolve_enrollment`` and ``flag_unassigned`` with one join on the batch.
+
+    The topics of an enrollment (a bounded set) travel with it, so the batch is not shuffled a
+    second time by enrollment and topic.
+    """
+    named = restrict(
+        learners.select("learner_id", "employee_id"), df, ["employee_id"], batch_rows
+    )
+    current = latest_enrollment(named, enrollments)
+    held = restrict(
+        progress.select("enrollment_id", "topic_id"), current, ["enrollment_id"], batch_rows
+    )
+    topics = held.groupBy("enrollment_id").agg(F.collect_set("topic_id").alias("_topics"))
+    found = current.join(topics, "enrollment_id", "left")
+    assigned = F.coalesce(F.array_contains("_topics", F.col("topic_id")), F.lit(False))
+    return (
+        lookup(df, found, ["employee_id"], T.LINEAGE)
+        .withColumn("is_unassigned", ~assigned)
+        .drop("_topics")
+    )
+
+
 def flag_unassigned(
-    df: DataFrame, progress: DataFrame, batch_rows: int | None = None
+    df: DataFrame,
+    progress: DataFrame,
+    spread: Sequence[str] = T.LINEAGE,
+    batch_rows: int | None = None,
 ) -> DataFrame:
     """Mark rows whose (enrollment, topic) has no progress row."""
     flagged = flag_existing(
-        df, progress, ["enrollment_id", "topic_id"], T.LINEAGE, "_assigned", batch_rows, unique=True
+        df, progress, ["enrollment_id", "topic_id"], spread, "_assigned", batch_rows, unique=True
     )
     return flagged.withColumn("is_unassigned", ~F.col("_assigned")).drop("_assigned")
 
@@ -156,8 +188,7 @@ def validate_activity(
     staged = flagged.withColumn("_open", open_reason).drop(
         "_row_error", "is_duplicate", "is_processed", "is_event"
     )
-    resolved = resolve_enrollment(staged, learners, enrollments, batch_rows)
-    assigned = flag_unassigned(resolved, progress, batch_rows)
+    assigned = resolve_assignment(staged, learners, enrollments, progress, batch_rows)
     reason = first_failure(
         [
             (F.col("_open").isNotNull(), F.col("_open")),
@@ -217,7 +248,7 @@ def process_activity(
     return process_validated_activity(validated, now)
 
 
-def validate_direct(df: DataFrame, progress: DataFrame, spread: list[str]) -> DataFrame:
+def validate_direct(df: DataFrame, progress: DataFrame, spread: Sequence[str]) -> DataFrame:
     """Check direct recordings (enrollment, topic, type, minutes, percent) and settle the percent.
 
     A completed activity always counts as 100 percent. A missing type is refused here because an
@@ -227,18 +258,16 @@ def validate_direct(df: DataFrame, progress: DataFrame, spread: list[str]) -> Da
     percent = F.when(kind == "COMPLETED", F.lit(100).cast("decimal(38,0)")).otherwise(
         F.coalesce(F.col("completion_percent").cast("decimal(38,0)"), F.lit(0))
     )
-    flagged = flag_existing(
-        df, progress, ["enrollment_id", "topic_id"], spread, "_assigned", unique=True
-    ).withColumn("final_percent", percent)
+    flagged = flag_unassigned(df, progress, spread).withColumn("final_percent", percent)
     reason = first_failure(
         [
-            (~F.col("_assigned"), DIRECT_NOT_ASSIGNED),
+            (F.col("is_unassigned"), DIRECT_NOT_ASSIGNED),
             (kind.isNull() | ~kind.isin(*DIRECT_EVENT_TYPES), DIRECT_BAD_TYPE),
             (F.col("duration_minutes") < 0, DIRECT_NEGATIVE),
             ((F.col("final_percent") < 0) | (F.col("final_percent") > 100), DIRECT_RANGE),
         ]
     )
-    return flagged.withColumn(ERROR, reason).drop("_assigned")
+    return flagged.withColumn(ERROR, reason).drop("is_unassigned")
 
 
 def record_activity(validated: DataFrame, event_id: Column, now: Column) -> DataFrame:

@@ -127,11 +127,17 @@ def with_keys(df: DataFrame) -> DataFrame:
 
 
 def assign_path(df: DataFrame, paths: DataFrame) -> DataFrame:
-    """The active path of the certification for each learner's level."""
+    """The active path of the certification for each learner's level.
+
+    A level without a path fails the run; dropping its learners would lose accepted rows.
+    """
     chosen = paths.filter(
         F.col("active_flag") & (F.col("certification_id") == T.CERTIFICATION_ID)
     ).select("experience_level_code", "path_id", "duration_weeks")
-    return df.join(F.broadcast(chosen), "experience_level_code")
+    missing = F.concat(F.lit("no active path for level "), F.col("experience_level_code"))
+    return df.join(F.broadcast(chosen), "experience_level_code", "left").withColumn(
+        "path_id", F.coalesce("path_id", F.raise_error(missing).cast("string"))
+    )
 
 
 def with_targets(df: DataFrame, as_of: Column) -> DataFrame:

@@ -170,6 +170,27 @@ class Store:
         """Merge ``df`` as the whole content of the parts it touches (initial loads)."""
         self.merge(name, df, lambda _: df, pipeline, batch)
 
+    def expire(self, name: str, keep: int = 3) -> None:
+        """Delete folders that none of the last ``keep`` manifests refers to.
+
+        Run it when no reader uses an older snapshot.
+        """
+        folder = f"{self.root}/{name}/_manifest"
+        published = [n for n in self._names(folder) if n.endswith(".json")]
+        used: set[str] = set()
+        for file in published[-keep:]:
+            parts = json.loads(self._read_text(f"{folder}/{file}"))["parts"]
+            used |= {f"{version}/part={p}" for p, version in parts.items()}
+        for version in self._names(f"{self.root}/{name}"):
+            if version.startswith("_"):
+                continue
+            held = [n for n in self._names(f"{self.root}/{name}/{version}") if n.startswith("part=")]
+            for part in held:
+                if f"{version}/{part}" not in used:
+                    self._fs.delete(self._path(f"{self.root}/{name}/{version}/{part}"), True)
+        for file in published[:-keep]:
+            self._fs.delete(self._path(f"{folder}/{file}"), False)
+
     # --- append tables ----------------------------------------------------------------------------
 
     def append_once(self, name: str, df: DataFrame, batch: str) -> None:

@@ -240,3 +240,34 @@ def test_re_registration_keeps_what_must_not_change(spark, folder):
     ).first()
     assert (enrollment.path_id, enrollment.enrollment_status) == ("PATH_5_9", "ACTIVE")
     assert demo.store.read("topic_progress").count() == 62
+
+
+def test_merge_rewrites_only_touched_parts_and_expires_old_ones(spark, folder):
+    store = seeded_store(spark, f"{folder}/store")
+    rows = spark.range(200).selectExpr(
+        "concat('e', id) as enrollment_id", "'t' as topic_id", "'NOT_STARTED' as progress_status",
+        "cast(0 as decimal(5,2)) as completion_percent", "cast(0 as decimal(7,2)) as hours_spent",
+        *[f"cast(null as timestamp_ntz) as {c}" for c in
+          ("started_at", "completed_at", "last_activity_at", "updated_at")],
+    )
+    store.replace("topic_progress", rows)
+    for n in range(4):
+        one = rows.filter("enrollment_id = 'e7'")
+        changed = f"touched {n}"
+        store.merge(
+            "topic_progress", one,
+            lambda t, c=changed: t.selectExpr(
+                "enrollment_id", "topic_id",
+                f"if(enrollment_id = 'e7', '{c}', progress_status) as progress_status",
+                *t.columns[3:],
+            ),
+            "p", f"b{n}",
+        )
+    manifest = store._manifest("topic_progress")
+    assert sorted(manifest["parts"].values()).count("v000000001") == 3
+    store.expire("topic_progress", keep=1)
+    after = store.read("topic_progress")
+    assert after.count() == 200
+    assert after.filter("progress_status = 'touched 3'").count() == 1
+    kept = store._names(f"{store.root}/topic_progress/v000000003")
+    assert not any(n.startswith("part=") for n in kept)
