@@ -134,26 +134,23 @@ def inline_reference_tables(spark, sf):
 
 @query
 def inbox_incremental_read(spark, sf):
+    """Two deliveries, the inbox drained twice after each: rows seen per batch."""
     base = shared_dir(spark, "incremental")
     rows = _plain_customers(spark, sf)
-    rounds = []
 
-    def drain() -> None:
-        def seen(df: DataFrame, _: int) -> None:
-            rounds.append(df.groupBy().agg(F.count(F.lit(1)).alias("n")).first()["n"])
-
-        source = IN.stream_inbox(spark, f"{base}/inbox", T.LEARNER_INBOX)
-        jobs._start(source, f"{base}/checkpoint", None, seen).awaitTermination()
+    def keep(df: DataFrame, batch_id: int) -> None:
+        seen = df.select("department_name")
+        seen.write.mode("overwrite").parquet(f"{base}/seen/round={batch_id + 1}")
 
     for condition in ("department_name < 'C'", "department_name >= 'C'"):
         rows.filter(condition).select(*T.LEARNER_INBOX).write.mode("append").option(
             "header", True
         ).csv(f"{base}/inbox")
-        drain()
-        drain()
-    return spark.createDataFrame(
-        [(i, n) for i, n in enumerate(rounds, start=1)], "round bigint, new_rows bigint"
-    )
+        for _ in range(2):
+            source = IN.stream_inbox(spark, f"{base}/inbox", T.LEARNER_INBOX)
+            jobs.start(source, f"{base}/checkpoint", None, keep).awaitTermination()
+    seen = spark.read.schema("department_name string, round bigint").parquet(f"{base}/seen")
+    return seen.groupBy("round").agg(F.count(F.lit(1)).alias("new_rows"))
 
 
 @query
@@ -803,8 +800,13 @@ def stream_topics(spark, sf):
 
 
 def _learner_stream(spark, sf):
+    """The learner stream over an inbox in which every learner has one row."""
     store = _new_store(spark, sf, "learning_paths", "path_topic_plan")
-    inbox = _ordered_csv(A.learner_inbox(spark, sf), T.LEARNER_INBOX, f"{store.root}/inbox")
+    single = F.expr(
+        "if(employee_id like 'emp-%', concat('EMP-', source_row_number), employee_id)"
+    )
+    rows = A.learner_inbox(spark, sf).withColumn("employee_id", single)
+    inbox = _ordered_csv(rows, T.LEARNER_INBOX, f"{store.root}/inbox")
 
     def run() -> None:
         jobs.run_learner_stream(

@@ -204,20 +204,20 @@ VIEWS: dict[str, str] = {
         WHERE validation_error IS NULL""",
     "registered_last": """
         SELECT learner_id, enrollment_id,
-               first(employee_id ORDER BY source_file_name, source_row_number) AS employee_id,
-               last(learner_name ORDER BY source_file_name, source_row_number) AS learner_name,
-               last(email ORDER BY source_file_name, source_row_number) AS email,
-               last(department_name ORDER BY source_file_name, source_row_number)
+               first(employee_id ORDER BY source_row_number, source_file_name) AS employee_id,
+               last(learner_name ORDER BY source_row_number, source_file_name) AS learner_name,
+               last(email ORDER BY source_row_number, source_file_name) AS email,
+               last(department_name ORDER BY source_row_number, source_file_name)
                    AS department_name,
-               last(years ORDER BY source_file_name, source_row_number)
+               last(years ORDER BY source_row_number, source_file_name)
                    AS snowflake_experience_years,
-               last(experience_level_code ORDER BY source_file_name, source_row_number)
+               last(experience_level_code ORDER BY source_row_number, source_file_name)
                    AS experience_level_code,
-               last(path_id ORDER BY source_file_name, source_row_number) AS path_id,
+               last(path_id ORDER BY source_row_number, source_file_name) AS path_id,
                DATE '2024-01-01' + CAST(7 * last(duration_weeks
-                   ORDER BY source_file_name, source_row_number) AS INT) AS target_completion_date,
+                   ORDER BY source_row_number, source_file_name) AS INT) AS target_completion_date,
                DATE '2024-01-01' + CAST(7 + 7 * last(duration_weeks
-                   ORDER BY source_file_name, source_row_number) AS INT) AS target_exam_date
+                   ORDER BY source_row_number, source_file_name) AS INT) AS target_exam_date
         FROM placed GROUP BY learner_id, enrollment_id""",
     "people": f"""
         SELECT e.*, p.path_id, p.duration_weeks, p.experience_level_code,
@@ -988,35 +988,27 @@ STATEMENTS: dict[str, str] = {
                                   AND g.topic_id = o.topic_id""",
     "stream_topics": TOPIC_TABLE,
     "stream_learners": """
-        -- The inbox of the stream: blank ids read as null, no earlier ledger, rows in key order.
         WITH again AS (
-            SELECT *, CASE WHEN row_error IS NOT NULL THEN row_error
-                           WHEN source_record_id IN (SELECT source_record_id FROM learner_batch
-                               WHERE source_record_id <> '' GROUP BY 1 HAVING count(*) > 1)
-                             THEN 'duplicate' END AS reason
-            FROM learner_rules),
-        valid AS (
-            SELECT a.*, p.path_id, p.duration_weeks, p.experience_level_code AS level
-            FROM again a JOIN paths p ON p.experience_level_code = """ + LADDER.format(y="a.years") + f"""
-            WHERE reason IS NULL),
-        last_rows AS (
-            SELECT *, {_learner_id('employee_id')} AS learner_id,
-                   {_enrollment_id('employee_id')} AS enrollment_id,
-                   first_value(employee_id) OVER (PARTITION BY upper(employee_id)
-                       ORDER BY source_row_number) AS first_spelling
-            FROM valid
-            QUALIFY row_number() OVER (PARTITION BY upper(employee_id)
-                ORDER BY source_row_number DESC) = 1)
-        SELECT learner_id, enrollment_id, first_spelling AS employee_id, learner_name, email,
-               department_name, years AS snowflake_experience_years,
-               level AS experience_level_code, path_id,
+            SELECT * REPLACE (CASE WHEN employee_id LIKE 'emp-%' THEN 'EMP-' || source_row_number
+                                   ELSE employee_id END AS employee_id),
+                   CASE WHEN row_error IS NOT NULL THEN row_error
+                        WHEN source_record_id IN (SELECT source_record_id FROM learner_batch
+                            WHERE source_record_id <> '' GROUP BY 1 HAVING count(*) > 1)
+                          THEN 'duplicate' END AS reason
+            FROM learner_rules)
+        SELECT """ + f"""{_learner_id('employee_id')} AS learner_id,
+               {_enrollment_id('employee_id')} AS enrollment_id,
+               employee_id, learner_name, email, department_name,
+               years AS snowflake_experience_years, p.experience_level_code, p.path_id,
                {REGISTERED} + CAST(7 * duration_weeks AS INT) AS target_completion_date,
                {REGISTERED} + CAST(7 * duration_weeks + 7 AS INT) AS target_exam_date,
                {REGISTERED} AS joined_date, TRUE AS active_flag, {NOW} AS created_at,
                {NOW} AS updated_at, 'CERT_SNOWPRO_CORE' AS certification_id,
                {REGISTERED} AS enrolled_date, 'ACTIVE' AS enrollment_status,
                (SELECT count(*) FROM topics) AS assigned_topics
-        FROM last_rows""",
+        FROM again a JOIN paths p
+          ON p.experience_level_code = {LADDER.format(y='a.years')}
+        WHERE reason IS NULL""",
     "stream_activity": """
         SELECT activity_id AS event_id, enrollment_id, topic_id, event_type,
                CAST(activity_timestamp AS TIMESTAMP) AS event_timestamp,

@@ -252,8 +252,9 @@ def validate_direct(df: DataFrame, progress: DataFrame, spread: Sequence[str]) -
     """Check direct recordings (enrollment, topic, type, minutes, percent) and settle the percent.
 
     A completed activity always counts as 100 percent. A missing type is refused here because an
-    event row must have one.
+    event row must have one. Minutes and percent are whole numbers.
     """
+    df = df.withColumn("duration_minutes", F.col("duration_minutes").cast("decimal(38,0)"))
     kind = F.upper(F.trim("event_type"))
     percent = F.when(kind == "COMPLETED", F.lit(100).cast("decimal(38,0)")).otherwise(
         F.coalesce(F.col("completion_percent").cast("decimal(38,0)"), F.lit(0))

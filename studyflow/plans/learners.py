@@ -163,10 +163,10 @@ MUTABLE = [
 def last_per_learner(rows: DataFrame) -> DataFrame:
     """One row per learner of a batch: changeable values of the last row, spelling of the first.
 
-    Minimum and maximum by (file, row) combine on the map side, so a learner repeated any number of
-    times sends one row per map task.
+    Rows go by their number in the file, equal numbers by file name. Minimum and maximum combine on
+    the map side, so a learner repeated any number of times sends one row per map task.
     """
-    order = F.struct(*T.LINEAGE)
+    order = F.struct("source_row_number", "source_file_name")
     return (
         rows.groupBy("learner_id", "enrollment_id")
         .agg(

@@ -49,7 +49,7 @@ def _batch_name(spark: SparkSession, batch_id: int) -> str:
     return f"{query}-{batch_id:012d}"
 
 
-def _start(
+def start(
     source: DataFrame,
     checkpoint: str,
     interval: str | None,
@@ -73,10 +73,11 @@ def _logged(store: Store, pipeline: str, clock: Clock, work: Callable[[str, date
 
     def handle(df: DataFrame, batch_id: int) -> None:
         batch = f"{pipeline.lower()}-{_batch_name(store.spark, batch_id)}"
-        started = clock()
+        started, rows = clock(), None
         try:
             raw = store.stage_once(f"{pipeline}-raw", lambda: with_position(df), batch)
-            counts = work(raw, batch, started)
+            rows = with_row_number(refuse_malformed(raw)).persist()
+            counts = work(rows, batch, started)
             log = audit.log_run(
                 counts, pipeline, F.lit(f"RUN_{batch}"), _ts(started), _ts(clock())
             )
@@ -97,6 +98,9 @@ def _logged(store: Store, pipeline: str, clock: Clock, work: Callable[[str, date
             attempt = f"{batch}-failed-{started:%Y%m%d%H%M%S%f}"
             store.append_once("pipeline_run_log", log, attempt)
             raise
+        finally:
+            if rows is not None:
+                rows.unpersist()
 
     return handle
 
@@ -114,7 +118,7 @@ def run_topic_stream(
 
     def work(df: DataFrame, batch: str, started: datetime) -> DataFrame:
         def validated() -> DataFrame:
-            rows = with_row_number(refuse_malformed(df)).withColumn("ingested_at", _ts(started))
+            rows = df.withColumn("ingested_at", _ts(started))
             return topics.validate_topics(rows, store.read("exam_domains"))
 
         staged = store.stage_once(T.TOPICS_PIPELINE, validated, batch)
@@ -131,7 +135,7 @@ def run_topic_stream(
         return run.counts
 
     source = stream_inbox(spark, inbox, T.TOPIC_INBOX, TOPIC_NULL_TOKENS, max_files)
-    return _start(source, checkpoint, interval, _logged(store, T.TOPICS_PIPELINE, clock, work))
+    return start(source, checkpoint, interval, _logged(store, T.TOPICS_PIPELINE, clock, work))
 
 
 def run_learner_stream(
@@ -151,8 +155,7 @@ def run_learner_stream(
         received = df.count()
 
         def validated() -> DataFrame:
-            rows = with_row_number(refuse_malformed(df))
-            return learners.validate_learners(rows, store.read("processed_records"), received)
+            return learners.validate_learners(df, store.read("processed_records"), received)
 
         staged = store.stage_once(T.LEARNERS_PIPELINE, validated, batch)
         valid = learners.typed_learners(staged.filter(F.col(learners.ERROR).isNull()))
@@ -187,7 +190,7 @@ def run_learner_stream(
         return learners.run_counts(staged)
 
     source = stream_inbox(spark, inbox, T.LEARNER_INBOX, max_files=max_files)
-    return _start(source, checkpoint, interval, _logged(store, T.LEARNERS_PIPELINE, clock, work))
+    return start(source, checkpoint, interval, _logged(store, T.LEARNERS_PIPELINE, clock, work))
 
 
 def run_activity_stream(
@@ -207,7 +210,7 @@ def run_activity_stream(
 
         def validated() -> DataFrame:
             return activity.validate_activity(
-                with_row_number(refuse_malformed(df)),
+                df,
                 store.read("processed_records"),
                 store.read("learning_events"),
                 store.read("learners"),
@@ -225,7 +228,7 @@ def run_activity_stream(
         return run.counts
 
     source = stream_inbox(spark, inbox, T.ACTIVITY_INBOX, max_files=max_files)
-    return _start(source, checkpoint, interval, _logged(store, T.ACTIVITY_PIPELINE, clock, work))
+    return start(source, checkpoint, interval, _logged(store, T.ACTIVITY_PIPELINE, clock, work))
 
 
 def run_progress_stream(
@@ -254,7 +257,7 @@ def run_progress_stream(
 
     store.ensure_folder("learning_events")
     source = spark.readStream.schema(T.EVENT_SCHEMA).parquet(f"{store.root}/learning_events")
-    return _start(source, checkpoint, interval, handle)
+    return start(source, checkpoint, interval, handle)
 
 
 def run_chain(

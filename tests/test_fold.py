@@ -111,6 +111,9 @@ def test_fold_equals_replay(spark, seed):
             step = P.fold_progress(step, df.filter(F.col("batch") == b), now)
         assert as_state(step) == expected
         assert {f.name: f.dataType for f in step.schema} == {f.name: f.dataType for f in state.schema}
+    (said,) = P.fold_result(P.rollup(df)).collect()
+    keys = {(e["enrollment_id"], e["topic_id"]) for e in events}
+    assert said.run_result.endswith(f"affected: {len(keys)}")
     assert as_state(P.progress_fold(df, "batch")) == replay(events, range(4), {})
 
 

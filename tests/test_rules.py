@@ -198,7 +198,10 @@ def test_registration_checks_and_last_row_wins(spark):
         ["s1", "emp1", "Old", "o@b.c", "A", "0"],
         ["s2", "EMP1", "New", "n@b.c", "B", "7"],
     ]
-    df = L.typed_learners(inbox_frame(spark, T.LEARNER_INBOX, rows))
+    # The row number decides, whatever the file is called.
+    df = L.typed_learners(inbox_frame(spark, T.LEARNER_INBOX, rows)).withColumn(
+        "source_file_name", F.concat(F.lit("file"), 3 - F.col("source_row_number"))
+    )
     placed = L.placed(df, reference.paths(spark), F.lit("2026-01-01").cast("date"))
     (last,) = L.last_per_learner(placed).collect()
     assert (last.employee_id, last.learner_name, last.path_id) == ("emp1", "New", "PATH_5_9")
