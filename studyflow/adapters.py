@@ -320,15 +320,16 @@ def initial_progress(spark: SparkSession, sf: str) -> DataFrame:
 
 def progress(spark: SparkSession, sf: str) -> DataFrame:
     """Progress of all active enrollments after folding the event log day by day."""
-    return stored(spark, sf, "progress", lambda: _progress(spark, sf))
-
-
-def _progress(spark: SparkSession, sf: str) -> DataFrame:
     return P.progress_fold(
         learning_events(spark, sf), "batch_day", initial_progress(spark, sf)
     ).withColumn("updated_at", now())
 
 
+def progress_table(spark: SparkSession, sf: str) -> DataFrame:
+    """``progress`` written once, for queries that read it more than once."""
+    return stored(spark, sf, "progress", lambda: progress(spark, sf))
+
+
 def activity_inbox(spark: SparkSession, sf: str) -> DataFrame:
     src = table(spark, sf, "events").withColumnRenamed("event_id", "k")
     return src.select(

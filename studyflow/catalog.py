@@ -489,15 +489,15 @@ def experience_path_mismatch(spark, sf):
     return C.path_mismatch(grown, A.enrollments(spark, sf), A.paths(spark))
 
 
-def _progress_view(spark, sf):
-    t = _tables(spark, sf)
+def _progress_view(spark, sf, **given):
+    t = _tables(spark, sf) | given
     return V.learner_progress(
         t["learners"], t["enrollments"], t["paths"], t["plan"], t["progress"], A.as_of()
     )
 
 
-def _domain_view(spark, sf):
-    t = _tables(spark, sf)
+def _domain_view(spark, sf, **given):
+    t = _tables(spark, sf) | given
     return V.domain_progress(
         t["enrollments"], t["plan"], t["topics"], t["domains"], t["progress"]
     )
@@ -505,9 +505,10 @@ def _domain_view(spark, sf):
 
 @query
 def readiness_join(spark, sf):
+    progress = A.progress_table(spark, sf)
     return V.readiness_inputs(
-        _progress_view(spark, sf),
-        V.weighted_progress(_domain_view(spark, sf)),
+        _progress_view(spark, sf, progress=progress),
+        V.weighted_progress(_domain_view(spark, sf, progress=progress)),
         V.latest_assessment(A.assessments(spark, sf)),
     )
 
@@ -739,7 +740,7 @@ def acceptance_report(spark, sf):
     t = {
         "learners": A.learners(spark, sf),
         "enrollments": A.enrollments(spark, sf),
-        "progress": A.progress(spark, sf),
+        "progress": A.progress_table(spark, sf),
         "ledger": ledger,
         "rejects": AU.resolve_rejects(rejects, corrected),
         "events": AC.csv_events(acts, A.now()),
