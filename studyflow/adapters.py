@@ -141,11 +141,12 @@ _stored: dict[tuple[str, str], DataFrame] = {}
 
 def stored(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A derived table written to the shared folder, once per query however often it is used."""
-    if (sf, name) not in _stored:
+    table = _stored.get((sf, name))
+    if table is None:
         df, path = build(), f"{shared_dir(spark, name)}/table"
         df.write.parquet(path)
-        _stored[sf, name] = spark.read.schema(df.schema).parquet(path)
-    return _stored[sf, name]
+        table = _stored[sf, name] = spark.read.schema(df.schema).parquet(path)
+    return table
 
 
 def topics(spark: SparkSession, sf: str) -> DataFrame:

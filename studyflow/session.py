@@ -28,10 +28,16 @@ def local_session(cores: int | str = 8, app: str = "studyflow") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the cluster's checkpoint folder, or a temporary one where none is set."""
+    """A fresh folder under the cluster's checkpoint folder.
+
+    Where none is set, a local session gets a temporary folder; a cluster must name one, since a
+    machine-local folder would not be shared.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         return tempfile.mkdtemp(prefix=f"studyflow-{purpose}-")
     return f"{base.rstrip('/')}/studyflow/{purpose}-{os.urandom(8).hex()}"

@@ -163,8 +163,8 @@ def run_learner_stream(
         last = learners.last_per_learner(rows)
         fresh = learners.first_topics(rows, store.read("path_topic_plan"), now)
         steps = {
-            "learners": (last, lambda t: learners.upsert_learners(t, last, today, now)),
-            "enrollments": (last, lambda t: learners.upsert_enrollments(t, last, today, now)),
+            "learners": (rows, lambda t: learners.upsert_learners(t, last, today, now)),
+            "enrollments": (rows, lambda t: learners.upsert_enrollments(t, last, today, now)),
             "topic_progress": (
                 rows,
                 lambda t: learners.insert_missing(t, fresh, ["enrollment_id", "topic_id"]),
