@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,8 +121,6 @@ def running_sum(df: DataFrame, order: list[str], value: str, purpose: str, group
     sorted_rows = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
     rows = stored(map_batches(sorted_rows, add, schema), purpose)
     totals = rows.groupBy(*group, "part_").agg(F.sum(value).alias("total_"))
-    from pyspark.sql import Window
-
     earlier = Window.partitionBy(*group).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(
         *[F.col(c).alias(f"{c}_") for c in group],
@@ -137,3 +135,24 @@ def running_sum(df: DataFrame, order: list[str], value: str, purpose: str, group
         .withColumn("before", F.col("local_") + F.col("base_"))
         .drop("part_", "local_", "of_", "base_", *[f"{c}_" for c in group])
     )
+
+
+def ranked(df: DataFrame, order: list[str], rank: str, purpose: str) -> DataFrame:
+    """``df`` with its row number (from 0) in ``order``, in DataFrame functions alone: range partitions,
+    numbered within, and one count per partition summed across. Rows that tie in ``order`` must be alike."""
+    rows = stored(
+        df.repartitionByRange(*[F.col(c) for c in order])
+        .sortWithinPartitions(*order)
+        .withColumn("part_", F.spark_partition_id())
+        .withColumn("local_", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
+        purpose,
+    )
+    earlier = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy("part_").count().select(
+        F.col("part_").alias("of_"), F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("base_")
+    )
+    return (
+        rows.join(bases, F.col("part_") == F.col("of_"))
+        .withColumn(rank, F.col("local_") + F.col("base_"))
+        .drop("part_", "local_", "of_", "base_")
+    )

@@ -76,7 +76,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
         .orderBy(F.xxhash64("id_"), "id_")
         .limit(max_rows)
     )
-    return docs.join(ids, F.col("doc_id") == F.col("id_")).select("doc_id", "text", "label_")
+    # At most max_rows pairs of numbers are sent; texts stay where they are.
+    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id_")).select("doc_id", "text", "label_")
 
 
 def train(
