@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyflow.llm import classifiers as C
-from studyflow.llm import chat, line_dedup, mixture, outliers, sharding, token_files
+from studyflow.llm import chat, jaccard_join, line_dedup, mixture, outliers, sharding, token_files
 from studyflow.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op9_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.Mix(table(spark, sf_dir, "documents")).taken()
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_chat_formatting": op2_chat_formatting,
@@ -67,6 +71,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
     "op9_source_mixture": op9_source_mixture,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 SQL = {
     "op2_chat_formatting": chat.SQL,
