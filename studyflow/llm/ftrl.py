@@ -155,6 +155,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(rows, run, "doc_id long, score double")
 
 
+def below(docs: DataFrame, model: Model, at: float) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose score is below ``at``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.weights)
+    extractor, text_at = model.extractor, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, weights = extractor(), shared.value
+        bias = float(weights[BIAS])
+        for batch in batches:
+            scores = []
+            for text in raw_texts(batch.column(text_at)):
+                places, x = features(text)
+                scores.append(sigmoid((float(weights[places[places != BIAS]].sum(dtype=np.float64)) + bias) * x))
+            yield batch.filter(pa.array(np.array(scores) < at))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def id_remainder(modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

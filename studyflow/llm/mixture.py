@@ -21,14 +21,17 @@ rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from studyflow.llm.common import WORD, running_sum, stored
+from studyflow.llm.common import WORD, map_batches, raw_texts, record_batch, running_sum, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
@@ -239,3 +242,60 @@ class Mix:
         return rows.join(found, (F.col("sid") == F.col("sid_")) & (F.col("key_") == F.col("before_")), "left").select(
             "doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken")
         )
+
+    def texts(self, docs: DataFrame) -> DataFrame:
+        """The mix as documents: a row of ``docs`` for every pass that takes words of it, with those words
+        (the whole text if it takes all) and n_chars to match. ``docs`` are the mixed documents."""
+        cuts = self.pieces().groupBy("sid", "before", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("cut"))
+        cuts = cuts.groupBy("sid", "before").agg(F.collect_list("cut").alias("cuts_"))
+        key = ["source", "doc_id", "tie"]
+        # Equal rows are told apart by a number: they have the same text.
+        nth = Window.partitionBy(*[f"{c}_" for c in key]).orderBy("before")
+        placed = self.placed.where("size > 0").join(cuts, ["sid", "before"]).select(
+            *[F.col(c).alias(f"{c}_") for c in key], "before", "size", "cuts_"
+        )
+        placed = placed.select("*", F.row_number().over(nth).alias("nth_")).withColumnRenamed("size", "size_")
+        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+        like = Window.partitionBy(F.col("source").cast("string"), F.col("doc_id").cast("long"), F.xxhash64(text)).orderBy(F.lit(1))
+        rows = docs.select("*", F.xxhash64(text).alias("text_tie"), F.row_number().over(like).alias("row_nth"))
+        same = F.col("text_tie") == F.col("tie_")
+        same &= F.col("row_nth") == F.col("nth_")
+        same &= F.col("source").cast("string").eqNullSafe(F.col("source_"))
+        same &= F.col("doc_id").cast("long").eqNullSafe(F.col("doc_id_"))
+        joined = rows.join(placed, same).select(*docs.columns, "size_", F.explode("cuts_").alias("cut_"))
+        text_at, chars_at = (docs.columns.index(c) if c in docs.columns else None for c in ("text", "n_chars"))
+        schema = T.StructType(docs.schema.fields)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            arrow = to_arrow_schema(schema)
+            for batch in batches:
+                columns = list(batch.columns[: len(arrow)])
+                taken = [
+                    cut_text(raw, size, [(c["from"], c["to"]) for c in cut])
+                    for raw, size, cut in zip(
+                        raw_texts(columns[text_at]), batch.column(len(arrow)).to_pylist(), batch.column(len(arrow) + 1).to_pylist(), strict=True
+                    )
+                ]
+                columns[text_at] = taken
+                if chars_at is not None:
+                    columns[chars_at] = [len(t) for t in taken]
+                yield record_batch(arrow, *columns)
+
+        return map_batches(joined, run, schema)
+
+
+def cut_text(text: bytes, size: int, cut: list[tuple[int, int]]) -> str:
+    """Words [from, to) of a text of ``size`` words, with what lies between them; a line break between
+    stretches that do not meet."""
+    joined: list[list[int]] = []
+    for begin, end in cut:
+        if joined and joined[-1][1] == begin:
+            joined[-1][1] = end
+        else:
+            joined.append([begin, end])
+    if joined == [[0, size]]:
+        return text.decode()
+    spans = [m.span() for m in re.finditer(WORD.encode(), text)]
+    return b"\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in joined).decode()

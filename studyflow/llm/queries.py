@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyflow.llm import classifiers as C
-from studyflow.llm import chat, jaccard_join, line_dedup, mixture, outliers, sharding, token_files
+from studyflow.llm import chat, decontaminate, jaccard_join, line_dedup, mixture, outliers, sharding, token_files
 from studyflow.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.scored(docs, C.train_quality(docs, labels), C.QUALITY_HELD_OUT, C.QUALITY_AT)
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judged(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -66,6 +70,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op7_toxicity": op7_toxicity,
