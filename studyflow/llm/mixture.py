@@ -201,7 +201,7 @@ class Mix:
             F.xxhash64(text).alias("tie"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         )
-        placed = running_sum(rows, ["source", "doc_id", "tie"], "size", "stream", ["source"])
+        placed = running_sum(stored(rows, "sizes"), ["source", "doc_id", "tie"], "size", "stream", ["source"])
         sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
         self.sources = stored(targets(sizes), "targets")
         named = self.sources.withColumnRenamed("source", "source_")
@@ -226,7 +226,8 @@ class Mix:
         )
         begin = F.col("block") * block - F.col("before")
         return (
-            covered.join(self.slots, ["sid", "block"])
+            # The slots' estimated size is that of the few rows they are expanded from.
+            covered.join(self.slots.hint("merge"), ["sid", "block"])
             .withColumn("from", F.greatest(begin, F.lit(0)))
             .withColumn("to", F.least(begin + F.col("words"), F.col("size")))
             .where("`to` > `from`")
