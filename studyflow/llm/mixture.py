@@ -255,12 +255,12 @@ class Mix:
         placed = self.placed.where("size > 0").join(cuts, ["sid", "before"]).select(
             *[F.col(c).alias(f"{c}_") for c in key], "before", "size", "cuts_"
         )
-        placed = placed.select("*", F.row_number().over(nth).alias("nth_")).withColumnRenamed("size", "size_")
+        placed = placed.select("*", F.row_number().over(nth).alias("nth_")).withColumnRenamed("size", "size_").drop("before")
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
         like = Window.partitionBy(F.col("source").cast("string"), F.col("doc_id").cast("long"), F.xxhash64(text)).orderBy(F.lit(1))
-        rows = docs.select("*", F.xxhash64(text).alias("text_tie"), F.row_number().over(like).alias("row_nth"))
-        same = F.col("text_tie") == F.col("tie_")
-        same &= F.col("row_nth") == F.col("nth_")
+        rows = docs.select("*", F.xxhash64(text).alias("of_tie_"), F.row_number().over(like).alias("of_nth_"))
+        same = F.col("of_tie_") == F.col("tie_")
+        same &= F.col("of_nth_") == F.col("nth_")
         same &= F.col("source").cast("string").eqNullSafe(F.col("source_"))
         same &= F.col("doc_id").cast("long").eqNullSafe(F.col("doc_id_"))
         joined = rows.join(placed, same).select(*docs.columns, "size_", F.explode("cuts_").alias("cut_"))

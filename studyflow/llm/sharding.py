@@ -6,7 +6,7 @@ round, linked documents look up the labels of those they follow (one join), take
 as their wish (a grouping), and move there as far as the shard's quota of linked documents has room.
 Claims are admitted in the order of a hash of the followed document, so a group is admitted as a
 whole; the group at which the room ends is admitted in part, and those turned away agree on another
-shard. Unlinked documents fill what is left, which makes all counts equal to within one.
+shard. A group larger than a shard's room divides itself into parts that wish for shards of their own. Unlinked documents fill what is left, which makes all counts equal to within one.
 
 Everything is DataFrame functions. What the driver sees is one count a shard.
 
@@ -58,28 +58,40 @@ def propagate(links: DataFrame, n_rows: int, shards: int = SHARDS, rounds: int =
     """(node, label, leader) of all linked documents; leader: the smallest one it follows, or itself."""
     followers = links.groupBy("node").agg(F.min("follows").alias("leader"))
     led = links.select(F.col("follows").alias("node")).distinct().withColumn("leader", F.lit(None).cast("long"))
+    room = n_rows // shards
+    # Groups that no shard can hold: at most one for each shard.
+    large = (
+        followers.groupBy("leader")
+        .count()
+        .where(F.col("count") > room)
+        .select(F.col("leader").alias("large_"), (F.ceil(F.col("count") / max(room, 1)) + 1).alias("parts_"))
+    )
+    part = F.when(F.col("parts_").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("parts_")))
     labels = (
         followers.unionByName(led)
         .groupBy("node")
         .agg(F.min("leader").alias("leader"))
+        .join(F.broadcast(large), F.col("leader") == F.col("large_"), "left")
+        .withColumn("part", part.cast("int"))
+        .drop("large_", "parts_")
         .withColumn("label", F.pmod("node", F.lit(shards)).cast("int"))
         .withColumn("denied", F.lit(0))
     )
     labels = stored(labels, "labels")
-    room = n_rows // shards
     for turn in range(rounds):
         seen = links.join(labels.select(F.col("node").alias("follows"), "label"), "follows")
         votes = seen.groupBy("node", "label").count()
         wishes = votes.groupBy("node").agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("wish"))
-        agreed = F.pmod(F.xxhash64("leader", "denied"), F.lit(shards)).cast("int")
+        agreed = F.pmod(F.xxhash64("leader", "part", "denied"), F.lit(shards)).cast("int")
+        wish = F.pmod(F.coalesce("wish", "label") + F.col("part"), F.lit(shards))
         state = stored(
             labels.join(wishes, "node", "left").withColumn(
-                "wish", F.when(F.col("denied") > 0, agreed).otherwise(F.coalesce("wish", "label"))
+                "wish", F.when(F.col("denied") > 0, agreed).otherwise(wish)
             ),
             "wishes",
         )
         claim = F.col("wish") != F.col("label")
-        bucket = F.pmod(F.xxhash64(F.col("leader")), F.lit(BUCKETS)).cast("int")
+        bucket = F.pmod(F.xxhash64("leader", "part"), F.lit(BUCKETS)).cast("int")
         # At most shards x BUCKETS rows from here on.
         staying = state.where(~claim).groupBy("label").count().select(F.col("label").alias("wish"), F.col("count").alias("stay"))
         queue = state.where(claim).groupBy("wish", bucket.alias("bucket")).agg(F.count("*").alias("n"))
@@ -88,15 +100,16 @@ def propagate(links: DataFrame, n_rows: int, shards: int = SHARDS, rounds: int =
             queue.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
             .join(staying, "wish", "left")
             .withColumn("left", F.lit(room) - F.coalesce("stay", F.lit(0)) - F.col("ahead"))
-            .select("wish", "bucket", (F.col("left") / F.col("n")).alias("part"))
+            .select("wish", "bucket", (F.col("left") / F.col("n")).alias("share"))
         )
-        admits = F.coalesce(_turn(F.lit(turn), "node") < F.col("part"), F.lit(False))
+        admits = F.coalesce(_turn(F.lit(turn), "node") < F.col("share"), F.lit(False))
         moved = (
             state.withColumn("bucket", F.when(claim, bucket))
             .join(F.broadcast(admitted), ["wish", "bucket"], "left")
             .select(
                 "node",
                 "leader",
+                "part",
                 F.when(admits, F.col("wish")).otherwise(F.col("label")).alias("label"),
                 (F.col("denied") + (claim & ~admits).cast("int")).alias("denied"),
             )
