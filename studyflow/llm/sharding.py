@@ -5,8 +5,7 @@ that no two documents swap places for ever. Every document begins in shard numbe
 round, linked documents look up the labels of those they follow (one join), take the most frequent one
 as their wish (a grouping), and move there as far as the shard's quota of linked documents has room.
 Claims are admitted in the order of a hash of the followed document, so a group is admitted as a
-whole; the group at which the room ends is admitted in part, and those turned away agree on another
-shard. A group larger than a shard's room divides itself into parts that wish for shards of their own. Unlinked documents fill what is left, which makes all counts equal to within one.
+whole or, with all in its bucket, turned away; those turned away agree on another shard. A group larger than a shard's room divides itself into parts that wish for shards of their own. Unlinked documents fill what is left, which makes all counts equal to within one.
 
 Everything is DataFrame functions. What the driver sees is one count a shard.
 
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from studyflow.llm.common import ranked, stored
 
-SHARDS, ROUNDS = 24, 5
+SHARDS, ROUNDS = 24, 6
 BUCKETS = 1024
 
 
@@ -96,11 +95,14 @@ def propagate(links: DataFrame, n_rows: int, shards: int = SHARDS, rounds: int =
         staying = state.where(~claim).groupBy("label").count().select(F.col("label").alias("wish"), F.col("count").alias("stay"))
         queue = state.where(claim).groupBy("wish", bucket.alias("bucket")).agg(F.count("*").alias("n"))
         ahead = Window.partitionBy("wish").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        # A group that does not fit tries elsewhere; in the last round it may be taken in part.
+        rest = F.col("left") / F.col("n") if turn == rounds - 1 else F.lit(0.0)
         admitted = (
             queue.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
             .join(staying, "wish", "left")
             .withColumn("left", F.lit(room) - F.coalesce("stay", F.lit(0)) - F.col("ahead"))
-            .select("wish", "bucket", (F.col("left") / F.col("n")).alias("share"))
+            .withColumn("share", F.when(F.col("left") >= F.col("n"), 1.0).otherwise(rest))
+            .select("wish", "bucket", "share")
         )
         admits = F.coalesce(_turn(F.lit(turn), "node") < F.col("share"), F.lit(False))
         moved = (
