@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from studyflow.llm.common import ranked, stored
 
 SHARDS, ROUNDS = 24, 6
-BUCKETS = 1024
+BUCKETS = 4096
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def propagate(links: DataFrame, n_rows: int, shards: int = SHARDS, rounds: int =
     labels = (
         followers.unionByName(led)
         .groupBy("node")
-        .agg(F.min("leader").alias("leader"))
+        .agg(F.coalesce(F.min("leader"), F.col("node")).alias("leader"))
         .join(F.broadcast(large), F.col("leader") == F.col("large_"), "left")
         .withColumn("part", part.cast("int"))
         .drop("large_", "parts_")
@@ -91,7 +91,7 @@ def propagate(links: DataFrame, n_rows: int, shards: int = SHARDS, rounds: int =
         )
         claim = F.col("wish") != F.col("label")
         bucket = F.pmod(F.xxhash64("leader", "part"), F.lit(BUCKETS)).cast("int")
-        # At most shards x BUCKETS rows from here on.
+        # At most shards x BUCKETS rows of a few numbers from here on.
         staying = state.where(~claim).groupBy("label").count().select(F.col("label").alias("wish"), F.col("count").alias("stay"))
         queue = state.where(claim).groupBy("wish", bucket.alias("bucket")).agg(F.count("*").alias("n"))
         ahead = Window.partitionBy("wish").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,20 +104,22 @@ def propagate(links: DataFrame, n_rows: int, shards: int = SHARDS, rounds: int =
             .withColumn("share", F.when(F.col("left") >= F.col("n"), 1.0).otherwise(rest))
             .select("wish", "bucket", "share")
         )
-        admits = F.coalesce(_turn(F.lit(turn), "node") < F.col("share"), F.lit(False))
+        # Members that are there already, the followed one among them, leave with a group that is turned away.
+        moves = claim & F.coalesce(_turn(F.lit(turn), "node") < F.col("share"), F.lit(False))
+        denied = F.coalesce(F.col("share") == 0, F.lit(False)).cast("int")
         moved = (
-            state.withColumn("bucket", F.when(claim, bucket))
+            state.withColumn("bucket", bucket)
             .join(F.broadcast(admitted), ["wish", "bucket"], "left")
             .select(
                 "node",
                 "leader",
                 "part",
-                F.when(admits, F.col("wish")).otherwise(F.col("label")).alias("label"),
-                (F.col("denied") + (claim & ~admits).cast("int")).alias("denied"),
+                F.when(moves, F.col("wish")).otherwise(F.col("label")).alias("label"),
+                (F.col("denied") + denied).alias("denied"),
             )
         )
         labels = stored(moved, "labels")
-    return labels.select("node", "label", F.coalesce("leader", "node").alias("leader"))
+    return labels.select("node", "label", "leader")
 
 
 def balanced(nodes: DataFrame, linked: DataFrame, shards: int = SHARDS) -> DataFrame:
