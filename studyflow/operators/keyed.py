@@ -2,7 +2,7 @@
 
 None of them gathers the rows of one key in a single task. Counts and newest-row picks are reduced
 on the map side first; lookups bring back at most one row per key, and a hot key on the probing
-side is split by AQE or meets a broadcast.
+side is split by AQE.
 """
 
 from __future__ import annotations
@@ -12,10 +12,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key list of this many rows (a few dozen MB at most) may be broadcast. Callers pass the known row
-# count of a batch; beyond it, or when the count is unknown, the join shuffles.
-BROADCAST_ROWS = 500_000
-
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row per key in the given order.
@@ -39,12 +35,9 @@ def lookup(
     found: DataFrame,
     keys: Sequence[str],
     spread: Sequence[str],
-    found_rows: int | None = None,
 ) -> DataFrame:
     """Left join against ``found``, which holds at most one row per (text) key.
 
-    ``found_rows`` is an upper bound of its size, if one is known; within the limit it is broadcast.
-
     Rows without a key match nothing but would all hash to one partition, so they get a stand-in
     drawn from the ``spread`` columns; real keys carry a mark no stand-in has. The marked key also
     differs from whatever ``found`` was grouped by, so the join reads two plain shuffles: only then
@@ -58,8 +51,6 @@ def lookup(
     def marked(k: str) -> Column:
         return F.concat(F.lit("="), F.col(k))
 
-    if found_rows is not None and found_rows <= BROADCAST_ROWS:
-        found = F.broadcast(found)
     first, *others = keys
     stand_in = F.xxhash64(*[F.col(c) for c in spread]).cast("string")
     left = df.withColumn("_k_0", F.when(complete, marked(first)).otherwise(stand_in))
@@ -74,17 +65,9 @@ def lookup(
     )
 
 
-def restrict(
-    table: DataFrame, batch: DataFrame, keys: Sequence[str], batch_rows: int | None
-) -> DataFrame:
-    """``table`` without rows that cannot match a batch known to be small.
-
-    The batch's keys are broadcast, so a large table is scanned and filtered but not shuffled. For
-    other batches the table is returned as it is and the following join or grouping shuffles it.
-    """
-    if batch_rows is None or batch_rows > BROADCAST_ROWS:
-        return table
-    return table.join(F.broadcast(batch.select(*keys).distinct()), list(keys), "left_semi")
+def restrict(table: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``table`` without rows that cannot match the batch; AQE broadcasts the keys of a small one."""
+    return table.join(batch.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def flag_duplicates(
@@ -101,11 +84,10 @@ def flag_existing(
     keys: Sequence[str],
     spread: Sequence[str],
     flag: str,
-    batch_rows: int | None = None,
     unique: bool = False,
 ) -> DataFrame:
     """Mark rows whose key is present in ``table``; say ``unique`` if the key is its primary key."""
-    known = restrict(table.select(*keys), df, keys, batch_rows)
+    known = table.select(*keys)
     known = (known if unique else known.distinct()).withColumn(flag, F.lit(True))
     return lookup(df, known, keys, spread).withColumn(flag, F.coalesce(flag, F.lit(False)))
 
@@ -115,7 +97,6 @@ def key_facts(
     key: str,
     spread: Sequence[str],
     known_in: Mapping[str, DataFrame],
-    batch_rows: int | None = None,
 ) -> DataFrame:
     """Duplicate flag and one presence flag per table in ``known_in``, with one join on the batch.
 
@@ -126,8 +107,7 @@ def key_facts(
     flags = list(known_in)
     seen = df.select(key, F.lit("batch").alias("_seen"))
     for flag, table in known_in.items():
-        rows = restrict(table.select(key), df, [key], batch_rows)
-        seen = seen.unionByName(rows.select(key, F.lit(flag).alias("_seen")))
+        seen = seen.unionByName(table.select(key, F.lit(flag).alias("_seen")))
     facts = (
         seen.filter(F.col(key).isNotNull())
         .groupBy(key)
@@ -141,8 +121,7 @@ def key_facts(
     for flag in flags:
         reported = reported | F.col(flag)
     facts = facts.filter((F.col("_copies") > 0) & reported).drop("_copies")
-    # No more facts than keys in the batch.
-    joined = lookup(df, facts, [key], spread, found_rows=batch_rows)
+    joined = lookup(df, facts, [key], spread)
     return joined.withColumns(
         {flag: F.coalesce(F.col(flag), F.lit(False)) for flag in ["is_duplicate", *flags]}
     )

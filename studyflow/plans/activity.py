@@ -30,6 +30,7 @@ TYPE_REQUIRED = "Event type is required."
 BAD_TYPE = "Event type must be STARTED, STUDIED or COMPLETED."
 DURATION_REQUIRED = "Duration in minutes is required."
 DURATION_NOT_NUMERIC = "Duration in minutes must be numeric."
+DURATION_TOO_LONG = "Duration in minutes is too large."
 DURATION_NEGATIVE = "Duration in minutes cannot be negative."
 DURATION_NOT_WHOLE = "Duration in minutes must be a whole number."
 PERCENT_REQUIRED = "Completion percentage is required."
@@ -50,6 +51,8 @@ DIRECT_BAD_TYPE = "Activity rejected: Use STARTED, STUDIED, PROGRESS_UPDATED or
 DIRECT_NEGATIVE = "Activity rejected: Duration cannot be negative."
 DIRECT_RANGE = "Activity rejected: Completion percentage must be between 0 and 100."
 DIRECT_RECORDED = "Activity recorded successfully. Event ID: "
+# The most minutes whose hours the progress table's decimal(7,2) column can hold.
+MAX_MINUTES = 5_999_999
 
 
 def normalize_activity(df: DataFrame) -> DataFrame:
@@ -66,7 +69,7 @@ def activity_rules(strict: bool = False) -> list[tuple[Column, str]]:
     Minutes are rounded to a whole number on conversion, so ``30.5`` counts as 31. With ``strict``
     a fraction is refused instead.
     """
-    minutes = try_decimal(F.col("duration_minutes"), 8, 0)
+    minutes = try_decimal(F.col("duration_minutes"), 38, 0)
     exact = try_decimal(F.col("duration_minutes"), 38, 10) if strict else minutes
     percent = try_decimal(F.col("completion_percent"), 5, 2)
     return [
@@ -78,6 +81,7 @@ def activity_rules(strict: bool = False) -> list[tuple[Column, str]]:
         (is_blank(F.col("duration_minutes")), DURATION_REQUIRED),
         (minutes.isNull(), DURATION_NOT_NUMERIC),
         (minutes < 0, DURATION_NEGATIVE),
+        (minutes > MAX_MINUTES, DURATION_TOO_LONG),
         (exact != F.floor(exact), DURATION_NOT_WHOLE),
         (is_blank(F.col("completion_percent")), PERCENT_REQUIRED),
         (percent.isNull(), PERCENT_NOT_NUMERIC),
@@ -90,29 +94,25 @@ def activity_rules(strict: bool = False) -> list[tuple[Column, str]]:
 def latest_enrollment(learners: DataFrame, enrollments: DataFrame) -> DataFrame:
     """Newest active enrollment per employee id spelling.
 
-    Enrollments are reduced to the newest per learner before they meet the learners.
+    Enrollments meet the learners first, so those of others are never ranked; the ranks are cut
+    below their shuffle.
     """
     newest = [F.desc("created_at"), F.desc("enrollment_id")]
     active = enrollments.filter(
         (F.col("certification_id") == T.CERTIFICATION_ID)
         & (F.col("enrollment_status") == "ACTIVE")
     ).select("learner_id", "enrollment_id", "created_at")
-    owned = learners.select("learner_id", "employee_id").join(
-        latest_by(active, ["learner_id"], newest), "learner_id"
-    )
+    owned = learners.select("learner_id", "employee_id").join(active, "learner_id")
     return latest_by(owned, ["employee_id"], newest).select("employee_id", "enrollment_id")
 
 
-def resolve_enrollment(
-    df: DataFrame, learners: DataFrame, enrollments: DataFrame, batch_rows: int | None = None
-) -> DataFrame:
+def resolve_enrollment(df: DataFrame, learners: DataFrame, enrollments: DataFrame) -> DataFrame:
     """Add the active enrollment of each row's employee, null when there is none.
 
-    For a batch known to be small, only the employees it names are taken from the learner table.
+    Only the employees that the batch names are taken from the learner table, and only their
+    enrollments are ranked.
     """
-    named = restrict(
-        learners.select("learner_id", "employee_id"), df, ["employee_id"], batch_rows
-    )
+    named = restrict(learners.select("learner_id", "employee_id"), df, ["employee_id"])
     return lookup(df, latest_enrollment(named, enrollments), ["employee_id"], T.LINEAGE)
 
 
@@ -121,20 +121,15 @@ def resolve_assignment(
     learners: DataFrame,
     enrollments: DataFrame,
     progress: DataFrame,
-    batch_rows: int | None = None,
 ) -> DataFrame:
     """``resolve_enrollment`` and ``flag_unassigned`` with one join on the batch.
 
     The topics of an enrollment (a bounded set) travel with it, so the batch is not shuffled a
     second time by enrollment and topic.
     """
-    named = restrict(
-        learners.select("learner_id", "employee_id"), df, ["employee_id"], batch_rows
-    )
+    named = restrict(learners.select("learner_id", "employee_id"), df, ["employee_id"])
     current = latest_enrollment(named, enrollments)
-    held = restrict(
-        progress.select("enrollment_id", "topic_id"), current, ["enrollment_id"], batch_rows
-    )
+    held = restrict(progress.select("enrollment_id", "topic_id"), current, ["enrollment_id"])
     topics = held.groupBy("enrollment_id").agg(F.collect_set("topic_id").alias("_topics"))
     found = current.join(topics, "enrollment_id", "left")
     assigned = F.coalesce(F.array_contains("_topics", F.col("topic_id")), F.lit(False))
@@ -149,11 +144,10 @@ def flag_unassigned(
     df: DataFrame,
     progress: DataFrame,
     spread: Sequence[str] = T.LINEAGE,
-    batch_rows: int | None = None,
 ) -> DataFrame:
     """Mark rows whose (enrollment, topic) has no progress row."""
     flagged = flag_existing(
-        df, progress, ["enrollment_id", "topic_id"], spread, "_assigned", batch_rows, unique=True
+        df, progress, ["enrollment_id", "topic_id"], spread, "_assigned", unique=True
     )
     return flagged.withColumn("is_unassigned", ~F.col("_assigned")).drop("_assigned")
 
@@ -166,7 +160,6 @@ def validate_activity(
     enrollments: DataFrame,
     progress: DataFrame,
     strict: bool = False,
-    batch_rows: int | None = None,
 ) -> DataFrame:
     """Normalised rows with enrollment and first failing rule: row rules, then table rules."""
     checked = normalize_activity(df).withColumn(
@@ -176,7 +169,7 @@ def validate_activity(
         "is_processed": ledger_ids(ledger, T.ACTIVITY_PIPELINE, "activity_id"),
         "is_event": events.select(F.col("event_id").alias("activity_id")),
     }
-    flagged = key_facts(checked, "activity_id", T.LINEAGE, known, batch_rows)
+    flagged = key_facts(checked, "activity_id", T.LINEAGE, known)
     open_reason = first_failure(
         [
             (F.col("_row_error").isNotNull(), F.col("_row_error")),
@@ -188,7 +181,7 @@ def validate_activity(
     staged = flagged.withColumn("_open", open_reason).drop(
         "_row_error", "is_duplicate", "is_processed", "is_event"
     )
-    assigned = resolve_assignment(staged, learners, enrollments, progress, batch_rows)
+    assigned = resolve_assignment(staged, learners, enrollments, progress)
     reason = first_failure(
         [
             (F.col("_open").isNotNull(), F.col("_open")),

@@ -64,16 +64,14 @@ def ledger_ids(ledger: DataFrame, pipeline: str, key: str) -> DataFrame:
     )
 
 
-def validate_learners(
-    df: DataFrame, ledger: DataFrame, batch_rows: int | None = None
-) -> DataFrame:
+def validate_learners(df: DataFrame, ledger: DataFrame) -> DataFrame:
     """Normalised rows with the first failing rule.
 
     Every copy of a repeated source id is refused, and invalid rows count towards the repetition.
     """
     checked = normalize_learners(df).withColumn("_row_error", first_failure(learner_rules()))
     known = {"is_processed": ledger_ids(ledger, T.LEARNERS_PIPELINE, "source_record_id")}
-    flagged = key_facts(checked, "source_record_id", T.LINEAGE, known, batch_rows)
+    flagged = key_facts(checked, "source_record_id", T.LINEAGE, known)
     reason = first_failure(
         [
             (F.col("_row_error").isNotNull(), F.col("_row_error")),
@@ -129,14 +127,25 @@ def with_keys(df: DataFrame) -> DataFrame:
 def assign_path(df: DataFrame, paths: DataFrame) -> DataFrame:
     """The active path of the certification for each learner's level.
 
-    A level without a path fails the run; dropping its learners would lose accepted rows.
+    A level without a path, or with two, fails the run; dropping its learners would lose accepted
+    rows, and joining both would accept them twice.
     """
-    chosen = paths.filter(
-        F.col("active_flag") & (F.col("certification_id") == T.CERTIFICATION_ID)
-    ).select("experience_level_code", "path_id", "duration_weeks")
+    chosen = (
+        paths.filter(F.col("active_flag") & (F.col("certification_id") == T.CERTIFICATION_ID))
+        .groupBy("experience_level_code")
+        .agg(
+            F.min("path_id").alias("path_id"),
+            F.min("duration_weeks").alias("duration_weeks"),
+            F.count(F.lit(1)).alias("_paths"),
+        )
+    )
+    several = F.concat(F.lit("two active paths for level "), F.col("experience_level_code"))
     missing = F.concat(F.lit("no active path for level "), F.col("experience_level_code"))
-    return df.join(F.broadcast(chosen), "experience_level_code", "left").withColumn(
-        "path_id", F.coalesce("path_id", F.raise_error(missing).cast("string"))
+    one = F.when(F.col("_paths") > 1, F.raise_error(several).cast("string")).otherwise(
+        F.coalesce("path_id", F.raise_error(missing).cast("string"))
+    )
+    return (
+        df.join(chosen, "experience_level_code", "left").withColumn("path_id", one).drop("_paths")
     )
 
 

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from studyflow.operators.keyed import BROADCAST_ROWS
-
 # Tokens that stand for a missing field.
 TOPIC_NULL_TOKENS = ("", "NULL")
 CSV_NULL_TOKENS = ("", "NULL", "null")
@@ -88,9 +86,13 @@ def stream_inbox(
     cols: Sequence[str],
     null_tokens: Sequence[str] = CSV_NULL_TOKENS,
     max_files: int | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
-    """The same inbox as a stream of newly arrived files; the checkpoint remembers the position."""
-    reader = spark.readStream.schema(_schema(cols)).options(**_options(False))
+    """The same inbox as a stream of newly arrived files; the checkpoint remembers the position.
+
+    ``multiline`` as for ``read_inbox``.
+    """
+    reader = spark.readStream.schema(_schema(cols)).options(**_options(multiline))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return _shape(reader.csv(path), cols, null_tokens)
@@ -108,8 +110,8 @@ def with_row_number(stored: DataFrame) -> DataFrame:
     """Position of each row in its file, from one, without ordering a file in one task.
 
     A file is read in blocks. Rows per block are counted, the counts are summed along the file (one
-    small row per block), and each row adds the offset of its block to its place inside it. The
-    offsets are broadcast if there are few enough blocks; each block has a bounded number of rows.
+    small row per block), and each row adds the offset of its block to its place inside it. AQE
+    broadcasts the offsets of few blocks; each block has a bounded number of rows.
     """
     blocks = stored.groupBy(*BLOCK).agg(
         F.min("_position").alias("_first"), F.count(F.lit(1)).alias("_rows")
@@ -120,8 +122,6 @@ def with_row_number(stored: DataFrame) -> DataFrame:
         "_first",
         "sum(_rows) over (partition by source_file_name order by _block_start) - _rows as _before",
     )
-    if blocks.count() <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
     return (
         stored.join(
             offsets,

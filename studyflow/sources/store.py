@@ -1,9 +1,11 @@
 """Durable tables for the pipelines: Parquet snapshots replaced part by part, and batch appends.
 
 A keyed table is split into a fixed number of parts by a hash of its leading key. A merge reads and
-rewrites only the parts its batch touches, into new folders, and then publishes a small manifest
-naming the current folder of every part. The manifest also records the last batch applied by each
-pipeline, so a repeated batch changes nothing. An append table holds one folder per batch, written
+rewrites only the parts its batch touches, into folders of its own, and then publishes a small
+manifest naming the current folder of every part. A manifest is created, never overwritten: of two
+merges that began from the same one, the second to publish finds the version taken and starts over
+from the new content. The manifest also records the last batch applied by each pipeline, so a
+repeated batch changes nothing. An append table holds one folder per batch, written
 aside and renamed into place once complete; a repeated batch finds its folder and is skipped.
 
 ``parts`` bounds how much a small batch has to rewrite (table size / parts per touched part); choose
@@ -16,8 +18,10 @@ atomic rename.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +46,19 @@ APPENDED = {
     "assessment_results": T.ASSESSMENT_SCHEMA,
 }
 # Small by their keys (see plans.topics): one part each.
+# Append tables split by a hash of their id, so that a batch can look up its ids in few parts.
+BY_ID = {"learning_events": "event_id", "processed_records": "source_record_id"}
 ONE_PART = {"study_topics", "learning_paths", "exam_domains", "path_topic_plan"}
 
 
+# How often a merge starts over when others publish before it.
+ATTEMPTS = 20
+
+
+class LostRace(RuntimeError):
+    """Another writer published first."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, parts: int = 64):
         self.spark, self.root, self.parts = spark, root.rstrip("/"), parts
@@ -65,10 +79,12 @@ class Store:
         self._fs.mkdirs(self._path(f"{self.root}/{name}"))
 
     def _rename(self, source: str, target: str) -> None:
-        folder = self._path(target).getParent()
-        self._fs.mkdirs(folder)
-        if not self._fs.rename(self._path(source), self._path(target)) and not self.exists(target):
-            raise OSError(f"could not publish {target}")
+        """Move a complete folder to its place; raises if something is there or the move fails."""
+        self._fs.mkdirs(self._path(target).getParent())
+        if self.exists(target):
+            raise LostRace(f"{target} is there already")
+        if not self._fs.rename(self._path(source), self._path(target)):
+            raise LostRace(f"could not publish {target}")
 
     def _read_text(self, path: str) -> str:
         stream = self._fs.open(self._path(path))
@@ -77,14 +93,18 @@ class Store:
         finally:
             stream.close()
 
-    def _write_text(self, path: str, text: str) -> None:
-        aside = f"{path}.tmp"
-        stream = self._fs.create(self._path(aside), True)
+    def _create_text(self, path: str, text: str) -> None:
+        """Create a file that must not be there; the file system decides between two writers."""
+        try:
+            stream = self._fs.create(self._path(path), False)
+        except Py4JJavaError as error:
+            if self.exists(path):
+                raise LostRace(f"{path} is there already") from error
+            raise
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        self._rename(aside, path)
 
     # --- keyed tables -----------------------------------------------------------------------------
 
@@ -102,9 +122,12 @@ class Store:
     def _n_parts(self, name: str) -> int:
         return 1 if name in ONE_PART else self.parts
 
+    @staticmethod
+    def part_by(key: str, parts: int) -> Column:
+        return F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("int")
+
     def part_of(self, name: str) -> Column:
-        key = KEYED[name][1]
-        return F.pmod(F.xxhash64(F.col(key)), F.lit(self._n_parts(name))).cast("int")
+        return self.part_by(KEYED[name][1], self._n_parts(name))
 
     def _load(self, name: str, manifest: dict, parts: Sequence[str] | None = None) -> DataFrame:
         schema = KEYED[name][0]
@@ -122,10 +145,8 @@ class Store:
         """Current content of a table, empty if nothing was written yet."""
         if name in KEYED:
             return self._load(name, self._manifest(name))
-        folder = f"{self.root}/{name}"
-        if not any(n.startswith("batch=") for n in self._names(folder)):
-            return empty_table(self.spark, APPENDED[name])
-        return self.spark.read.schema(APPENDED[name]).parquet(f"{folder}/batch=*")
+        rows = self._append_rows(name)
+        return rows.drop("part") if name in BY_ID else rows
 
     def merge(
         self,
@@ -137,8 +158,25 @@ class Store:
     ) -> None:
         """Replace the parts that hold keys of ``touching`` by ``change`` of their content.
 
-        ``change`` may only alter or add rows whose leading key occurs in ``touching``.
+        ``change`` may only alter or add rows whose leading key occurs in ``touching``. It is applied
+        again to the new content when another merge publishes first.
         """
+        for _ in range(ATTEMPTS):
+            try:
+                self._merge(name, touching, change, pipeline, batch)
+                return
+            except LostRace:
+                continue
+        raise LostRace(f"{name}: others published first, {ATTEMPTS} times")
+
+    def _merge(
+        self,
+        name: str,
+        touching: DataFrame,
+        change: Callable[[DataFrame], DataFrame],
+        pipeline: str,
+        batch: str,
+    ) -> None:
         manifest = self._manifest(name)
         if manifest["applied"].get(pipeline) == batch:
             return
@@ -147,14 +185,12 @@ class Store:
         touched = sorted(str(r["part"]) for r in touching.select(part).distinct().collect())
         version = manifest["version"] + 1
         if touched:
-            folder = f"v{version:09d}"
+            folder = f"v{version:09d}-{os.urandom(6).hex()}"
             changed = change(self._load(name, manifest, touched)).withColumn("part", part)
             (
                 # Even file sizes whatever the size of a part: AQE splits large and joins small ones.
                 changed.hint("rebalance", F.col("part"))
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "static")
-                .partitionBy("part")
+                .write.partitionBy("part")
                 .parquet(f"{self.root}/{name}/{folder}")
             )
             for p in touched:
@@ -162,7 +198,7 @@ class Store:
                     manifest["parts"][p] = folder
         manifest["version"] = version
         manifest["applied"][pipeline] = batch
-        self._write_text(
+        self._create_text(
             f"{self.root}/{name}/_manifest/{version:09d}.json", json.dumps(manifest)
         )
 
@@ -173,7 +209,8 @@ class Store:
     def expire(self, name: str, keep: int = 3) -> None:
         """Delete folders that none of the last ``keep`` manifests refers to.
 
-        Run it when no reader uses an older snapshot.
+        Folders newer than the oldest manifest kept are spared: a running merge may be about to
+        publish them. Run it when no reader uses an older snapshot.
         """
         folder = f"{self.root}/{name}/_manifest"
         published = [n for n in self._names(folder) if n.endswith(".json")]
@@ -182,7 +219,7 @@ class Store:
             parts = json.loads(self._read_text(f"{folder}/{file}"))["parts"]
             used |= {f"{version}/part={p}" for p, version in parts.items()}
         for version in self._names(f"{self.root}/{name}"):
-            if version.startswith("_"):
+            if version.startswith("_") or (published and version[1:10] > published[-keep:][0][:9]):
                 continue
             held = [n for n in self._names(f"{self.root}/{name}/{version}") if n.startswith("part=")]
             for part in held:
@@ -199,9 +236,37 @@ class Store:
         if self.exists(target):
             return
         aside = f"{self.root}/_aside/{name}/batch={batch}"
-        df.write.mode("overwrite").parquet(aside)
+        if name in BY_ID:
+            split = df.withColumn("part", self.part_by(BY_ID[name], self.parts))
+            split.hint("rebalance", F.col("part")).write.mode("overwrite").partitionBy("part").parquet(aside)
+        else:
+            df.write.mode("overwrite").parquet(aside)
         self._rename(aside, target)
 
+    def read_touched(self, name: str, keys: DataFrame) -> DataFrame:
+        """The parts of a table that may hold the ``keys`` (one column), in full.
+
+        At most ``parts`` small integers come to the driver.
+        """
+        (key,) = keys.columns
+        parts = self.parts if name in BY_ID else self._n_parts(name)
+        found = keys.select(self.part_by(key, parts).alias("part")).distinct().collect()
+        touched = sorted(r["part"] for r in found)
+        if name in KEYED:
+            return self._load(name, self._manifest(name), [str(p) for p in touched])
+        return self._append_rows(name).filter(F.col("part").isin(touched)).drop("part")
+
+    def _append_rows(self, name: str) -> DataFrame:
+        schema = APPENDED[name] + (", part int" if name in BY_ID else "")
+        folder = f"{self.root}/{name}"
+        if not any(n.startswith("batch=") for n in self._names(folder)):
+            return empty_table(self.spark, schema)
+        return self.spark.read.schema(schema).option("basePath", folder).parquet(f"{folder}/batch=*").drop("batch")
+
+    def event_files(self, name: str) -> list[str]:
+        """Batch folders of an append table, by name."""
+        return [n for n in self._names(f"{self.root}/{name}") if n.startswith("batch=")]
+
     def stage_once(self, pipeline: str, df: Callable[[], DataFrame], batch: str) -> DataFrame:
         """Freeze a validated batch so that every later step, and any repeat, sees the same rows."""
         target = f"{self.root}/_staging/{pipeline}/batch={batch}"

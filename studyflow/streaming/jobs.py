@@ -2,12 +2,14 @@
 
 Each query calls the same batch functions as the jobs in ``plans``. The checkpoint is the position
 in the inbox: rows are consumed once, an empty inbox starts no batch, and a new checkpoint folder
-starts over. The offset is committed after the batch's writes, and every write is skipped when the
+starts over; the ledger then refuses what was accepted before, and the progress stream, which has no
+ledger, begins with the events that come after it was created. The offset is committed after the batch's writes, and every write is skipped when the
 same batch has done it before, so a batch repeated after a failure has no further effect.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from datetime import UTC, date, datetime
 
@@ -19,6 +21,7 @@ from studyflow import tables as T
 from studyflow.plans import activity, audit, learners, progress, topics
 from studyflow.sources.inbox import (
     TOPIC_NULL_TOKENS,
+    MalformedInbox,
     refuse_malformed,
     stream_inbox,
     with_position,
@@ -28,10 +31,6 @@ from studyflow.sources.store import Store
 
 PROGRESS_PIPELINE = "LEARNING_EVENTS"
 
-# How often each pipeline looks for new rows when it runs continuously.
-INBOX_INTERVAL = "1 minute"
-PROGRESS_INTERVAL = "5 minutes"
-
 Clock = Callable[[], datetime]
 
 
@@ -85,6 +84,9 @@ def _logged(store: Store, pipeline: str, clock: Clock, work: Callable[[str, date
             for frozen in (pipeline, f"{pipeline}-raw"):
                 store.drop_staged(frozen, batch)
         except Exception as error:
+            if isinstance(error, MalformedInbox):
+                # Read the files again next time: they may have been repaired by then.
+                store.drop_staged(f"{pipeline}-raw", batch)
             none = store.spark.range(1).select(
                 *[
                     F.lit(0).cast("bigint").alias(f"records_{c}")
@@ -93,7 +95,7 @@ def _logged(store: Store, pipeline: str, clock: Clock, work: Callable[[str, date
             )
             log = audit.log_run(
                 none, pipeline, F.lit(f"RUN_{batch}"), _ts(started), _ts(clock()),
-                "FAILED", str(error)[:4000],
+                "FAILED", str(error),
             )
             attempt = f"{batch}-failed-{started:%Y%m%d%H%M%S%f}"
             store.append_once("pipeline_run_log", log, attempt)
@@ -113,6 +115,7 @@ def run_topic_stream(
     interval: str | None = None,
     clock: Clock = _utc_now,
     max_files: int | None = None,
+    multiline: bool = False,
 ) -> StreamingQuery:
     """Topic inbox to topics and rejects."""
 
@@ -134,7 +137,7 @@ def run_topic_stream(
         store.append_once("rejected_records", run.rejects, batch)
         return run.counts
 
-    source = stream_inbox(spark, inbox, T.TOPIC_INBOX, TOPIC_NULL_TOKENS, max_files)
+    source = stream_inbox(spark, inbox, T.TOPIC_INBOX, TOPIC_NULL_TOKENS, max_files, multiline)
     return start(source, checkpoint, interval, _logged(store, T.TOPICS_PIPELINE, clock, work))
 
 
@@ -147,15 +150,16 @@ def run_learner_stream(
     clock: Clock = _utc_now,
     as_of: date | None = None,
     max_files: int | None = None,
+    multiline: bool = False,
 ) -> StreamingQuery:
     """Learner inbox to learners, enrollments, first progress, ledger and rejects."""
 
     def work(df: DataFrame, batch: str, started: datetime) -> DataFrame:
         now, today = _ts(started), F.lit(as_of or started.date())
-        received = df.count()
 
         def validated() -> DataFrame:
-            return learners.validate_learners(df, store.read("processed_records"), received)
+            ids = df.select(F.trim("source_record_id").alias("source_record_id"))
+            return learners.validate_learners(df, store.read_touched("processed_records", ids))
 
         staged = store.stage_once(T.LEARNERS_PIPELINE, validated, batch)
         valid = learners.typed_learners(staged.filter(F.col(learners.ERROR).isNull()))
@@ -189,7 +193,7 @@ def run_learner_stream(
         )
         return learners.run_counts(staged)
 
-    source = stream_inbox(spark, inbox, T.LEARNER_INBOX, max_files=max_files)
+    source = stream_inbox(spark, inbox, T.LEARNER_INBOX, max_files=max_files, multiline=multiline)
     return start(source, checkpoint, interval, _logged(store, T.LEARNERS_PIPELINE, clock, work))
 
 
@@ -202,22 +206,27 @@ def run_activity_stream(
     clock: Clock = _utc_now,
     max_files: int | None = None,
     strict: bool = False,
+    multiline: bool = False,
 ) -> StreamingQuery:
     """Activity inbox to learning events, ledger and rejects."""
 
     def work(df: DataFrame, batch: str, started: datetime) -> DataFrame:
-        received = df.count()
-
         def validated() -> DataFrame:
+            # Only the parts that may hold an id, learner or enrollment of the batch are opened.
+            clean = activity.normalize_activity(df)
+            people = learners.with_keys(clean)
+            mine = store.read_touched("learners", people.select("learner_id"))
+            # Enrollments are found by learner, whatever their ids; progress by the enrollments found.
+            named = mine.join(clean.select("employee_id").distinct(), "employee_id", "left_semi")
+            enrolled = store.read("enrollments").join(named.select("learner_id"), "learner_id", "left_semi")
             return activity.validate_activity(
                 df,
-                store.read("processed_records"),
-                store.read("learning_events"),
-                store.read("learners"),
-                store.read("enrollments"),
-                store.read("topic_progress"),
+                store.read_touched("processed_records", clean.select("activity_id")),
+                store.read_touched("learning_events", clean.select("activity_id")),
+                mine,
+                enrolled,
+                store.read_touched("topic_progress", enrolled.select("enrollment_id")),
                 strict,
-                received,
             )
 
         staged = store.stage_once(T.ACTIVITY_PIPELINE, validated, batch)
@@ -227,10 +236,21 @@ def run_activity_stream(
         store.append_once("processed_records", run.ledger, batch)
         return run.counts
 
-    source = stream_inbox(spark, inbox, T.ACTIVITY_INBOX, max_files=max_files)
+    source = stream_inbox(spark, inbox, T.ACTIVITY_INBOX, max_files=max_files, multiline=multiline)
     return start(source, checkpoint, interval, _logged(store, T.ACTIVITY_PIPELINE, clock, work))
 
 
+def begin_progress_stream(store: Store, checkpoint: str) -> DataFrame:
+    """Remember, once for a checkpoint folder, which events were there before its stream."""
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def present() -> DataFrame:
+        rows = [(n,) for n in store.event_files("learning_events")]
+        return store.spark.createDataFrame(rows, "earlier string")
+
+    return store.stage_once("progress-begin", present, name)
+
+
 def run_progress_stream(
     spark: SparkSession,
     store: Store,
@@ -240,12 +260,14 @@ def run_progress_stream(
 ) -> StreamingQuery:
     """New learning events folded into topic progress.
 
-    Only the parts of the progress table that hold an enrollment of the batch are rewritten.
+    Events that were there when the stream was created (its checkpoint folder first used) are not
+    folded: an earlier stream has done that. Only the parts of the progress table that hold an enrollment of the batch are rewritten.
     """
 
     def handle(df: DataFrame, batch_id: int) -> None:
         batch = _batch_name(store.spark, batch_id)
         now = _ts(clock())
+        df = df.join(earlier, F.col("_folder") == F.col("earlier"), "left_anti").drop("_folder")
         rolled = progress.rollup(df)
         store.merge(
             "topic_progress",
@@ -256,7 +278,10 @@ def run_progress_stream(
         )
 
     store.ensure_folder("learning_events")
-    source = spark.readStream.schema(T.EVENT_SCHEMA).parquet(f"{store.root}/learning_events")
+    earlier = begin_progress_stream(store, checkpoint)
+    folder = F.regexp_extract("_metadata.file_path", "/(batch=[^/]+)/", 1)
+    events = spark.readStream.schema(T.EVENT_SCHEMA).parquet(f"{store.root}/learning_events")
+    source = events.select(*store.read("learning_events").columns, folder.alias("_folder"))
     return start(source, checkpoint, interval, handle)
 
 
@@ -268,5 +293,6 @@ def run_chain(
     clock: Clock = _utc_now,
 ) -> None:
     """Drain the activity inbox, then fold the events it produced."""
+    begin_progress_stream(store, f"{checkpoint}/progress")
     run_activity_stream(spark, inbox, store, f"{checkpoint}/activity", clock=clock).awaitTermination()
     run_progress_stream(spark, store, f"{checkpoint}/progress", clock=clock).awaitTermination()
