@@ -43,6 +43,8 @@ ALIKE = 0.9
 #: Pairs must share so many prefix tokens, or as many as their sizes demand.
 SHARED = 3
 FILTER_BITS = 24
+#: Linked sets are at most so far apart (and a hair more, for rounding).
+REACH = 0.2 + 1e-9
 
 _MASK = np.uint64((1 << COUNTER_BITS) - 1)
 _REST = np.uint64(COUNTER_BITS)
@@ -334,19 +336,18 @@ def linked_components(docs: DataFrame) -> DataFrame:
     whole = stored(whole_sets(docs, ids), "whole-sets")
     checked = stored(similarities(pairs, whole), "checked")
 
-    # Distances of members from their pivots; a cluster reaches as far as its farthest member.
-    spoke = checked.join(spokes, ["a", "b"], "left_semi").select(
-        F.col("a").alias("cluster"), F.col("b").alias("rep"), "distance", "linked"
-    )
-    radius = stored(
-        spoke.groupBy("cluster").agg(F.max("distance").alias("radius"), F.min("linked").alias("whole")), "radius"
+    offs = checked.join(spokes, ["a", "b"], "left_semi").select(F.col("b").alias("rep"), F.col("distance").alias("off"), "linked")
+    placed = known.select("rep", F.coalesce("cluster", "rep").alias("cluster")).join(offs, "rep", "left").select(
+        "rep", "cluster", F.coalesce("off", F.lit(0.0)).alias("off"), F.coalesce("linked", F.lit(True)).alias("linked")
     )
+    placed = stored(placed, "placed")
     links = checked.where("linked").select("a", "b")
-    between = stored(open_pairs(checked.join(spokes, ["a", "b"], "left_anti"), radius, components(links)), "open")
-    inside = radius.where("NOT whole").select(F.col("cluster").alias("a"), F.col("cluster").alias("b"), F.lit(0.0).alias("apart"))
-    more = member_pairs(between.unionByName(inside), members, spoke)
-    late = similarities(stored(more, "member-pairs"), whole).where("linked").select("a", "b")
-    joined = components(links.union(late))
+    # Few members do not link to their pivot; they may to others of its cluster.
+    links = links.union(linked_pairs(stray_pairs(placed), whole))
+    placed = with_components(placed, components(links))
+    near = checked.where("NOT linked").join(spokes, ["a", "b"], "left_anti")
+    links = links.union(linked_pairs(member_pairs(open_pairs(near, placed), placed), whole))
+    joined = components(links)
 
     found_sets = sets.select("n", "s1", "s2", "rep").join(joined, F.col("rep") == F.col("id"), "left")
     found_sets = found_sets.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
@@ -358,44 +359,45 @@ def linked_components(docs: DataFrame) -> DataFrame:
     )
 
 
-def open_pairs(checked: DataFrame, radius: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b, apart): clusters that do not link at their pivots, are near enough that members might, and
-    are not known to be of one component (which says nothing if a member does not link to its pivot)."""
-    reach = radius.select(F.col("cluster").alias("of"), "radius", "whole")
-    near = checked.where("NOT linked")
+def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    found = similarities(stored(pairs, "member-pairs"), sets).where("linked").select("a", "b")
+    return stored(found, "member-links")
+
+
+def with_components(placed: DataFrame, found: DataFrame) -> DataFrame:
+    rows = placed.join(found, F.col("rep") == F.col("id"), "left")
+    return stored(rows.select("rep", "cluster", "off", F.coalesce("component", "rep").alias("component")), "placed")
+
+
+def stray_pairs(placed: DataFrame) -> DataFrame:
+    """(a, b): members that do not link to their pivot, with those of their cluster within reach."""
+    stray = placed.where("NOT linked").select(F.col("rep").alias("stray"), "cluster", F.col("off").alias("far"))
+    within = (F.col("rep") != F.col("stray")) & (F.col("rep") != F.col("of")) & (F.col("far") - F.col("off") <= REACH)
+    pairs = stray.withColumnRenamed("cluster", "of").join(placed, (F.col("cluster") == F.col("of")) & within)
+    return pairs.select(F.least("rep", "stray").alias("a"), F.greatest("rep", "stray").alias("b")).distinct()
+
+
+def open_pairs(near: DataFrame, placed: DataFrame) -> DataFrame:
+    """(a, b, apart, a_reach, b_reach): clusters that do not link at their pivots, have members near
+    enough that some might, and are not of one component already, with all their members."""
+    state = placed.groupBy("cluster").agg(
+        F.max("off").alias("reach"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
     for side in ("a", "b"):
-        near = near.join(
-            reach.select(F.col("of").alias(side), F.col("radius").alias(f"{side}_r"), F.col("whole").alias(f"{side}_whole")),
-            side,
-            "left",
-        )
-        near = near.join(known.select(F.col("id").alias(side), F.col("component").alias(f"{side}_c")), side, "left")
-    radii = F.coalesce("a_r", F.lit(0.0)) + F.coalesce("b_r", F.lit(0.0))
-    has_members = F.col("a_r").isNotNull() | F.col("b_r").isNotNull()
-    whole = F.coalesce("a_whole", F.lit(True)) & F.coalesce("b_whole", F.lit(True))
-    same = F.coalesce(F.col("a_c") == F.col("b_c"), F.lit(False))
-    return near.where(has_members & (F.col("distance") <= 0.2 + radii + 1e-9) & ~(whole & same)).select(
-        "a", "b", F.col("distance").alias("apart")
+        near = near.join(state.select(F.col("cluster").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("reach", "low", "high")]), side)
+    one = (F.col("a_low") == F.col("b_high")) & (F.col("b_low") == F.col("a_high")) & (F.col("a_low") == F.col("a_high"))
+    reach = F.col("a_reach") + F.col("b_reach")
+    return near.where((reach > 0) & (F.col("distance") <= REACH + reach) & ~one).select(
+        "a", "b", F.col("distance").alias("apart"), "a_reach", "b_reach"
     )
 
 
-def member_pairs(between: DataFrame, members: DataFrame, spoke: DataFrame) -> DataFrame:
+def member_pairs(opened: DataFrame, placed: DataFrame) -> DataFrame:
     """(a, b) of the sets in open pairs of clusters that the distances to their pivots leave possible."""
-    placed = members.join(spoke.select("rep", "distance", "linked"), "rep", "left").select(
-        "rep", "cluster", F.coalesce("distance", F.lit(0.0)).alias("off"), F.coalesce("linked", F.lit(True)).alias("in")
-    )
-    both = between
-    for side in ("a", "b"):
-        of = placed.select(
-            F.col("cluster").alias(side), F.col("rep").alias(f"{side}_rep"), F.col("off").alias(f"{side}_off"), F.col("in").alias(f"{side}_in")
-        )
-        both = both.join(of, side, "left")
-        both = both.withColumn(f"{side}_rep", F.coalesce(f"{side}_rep", side)).fillna({f"{side}_off": 0.0, f"{side}_in": True})
-    a, b = F.col("a_off"), F.col("b_off")
-    possible = (F.col("apart") - a - b <= 0.2 + 1e-9) & (F.abs(a - b) - F.col("apart") <= 0.2 + 1e-9)
-    # Within one cluster, sets that both link to the pivot are joined already.
-    within = (F.col("a") == F.col("b")) & F.col("a_in") & F.col("b_in")
-    first, second = F.least("a_rep", "b_rep"), F.greatest("a_rep", "b_rep")
-    return both.where(possible & ~within & (F.col("a_rep") != F.col("b_rep"))).select(
-        first.alias("a"), second.alias("b")
-    ).distinct()
+    x = placed.select("cluster", F.col("rep").alias("x"), F.col("off").alias("x_off"), F.col("component").alias("x_of"))
+    y = placed.select("cluster", F.col("rep").alias("y"), F.col("off").alias("y_off"), F.col("component").alias("y_of"))
+    c = F.col
+    first = opened.join(x, (c("a") == c("cluster")) & (c("apart") - c("x_off") - c("b_reach") <= REACH)).drop("cluster")
+    possible = (c("apart") - c("x_off") - c("y_off") <= REACH) & (F.abs(c("x_off") - c("y_off")) - c("apart") <= REACH)
+    both = first.join(y, (c("b") == c("cluster")) & possible & (c("x_of") != c("y_of")))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
