@@ -35,7 +35,7 @@ GRAM, SEED_EVERY = 3, 4
 BLOCK_WORDS = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, 1
 SIMILARITY = 0.4
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 1_000_000
 SIEVE_BITS = 22
 
 _OUTER = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -43,7 +43,7 @@ _POWERS = [np.uint64(pow(0xC2B2AE3D27D4EB4F, k + 1, 1 << 64)) for k in range(GRA
 
 
 def word_codes() -> Codes:
-    return Codes(KNOWN_WORDS, lambda w: xxhash.xxh3_64_intdigest(w.lower().strip(_OUTER)))
+    return Codes(KNOWN_WORDS, lambda w: xxhash.xxh3_64_intdigest(w.strip(_OUTER)))
 
 
 def grams(words: np.ndarray, size: int) -> np.ndarray:
@@ -99,7 +99,7 @@ def item_blocks(items: DataFrame) -> Iterator[Items]:
     for number in range((blocks.agg(F.max("block")).first()[0] or 0) + 1):
         codes, ids, words = word_codes(), [], []
         for row in blocks.where(F.col("block") == number).select("item_id", "text").sort("item_id", "text").toLocalIterator():
-            (hashes,) = codes.look_up(row["text"].encode().split())
+            (hashes,) = codes.look_up(row["text"].encode().lower().split())
             if len(hashes):
                 ids.append(row["item_id"])
                 words.append(hashes)
@@ -117,7 +117,7 @@ def corpus_counts(docs: DataFrame, keys: np.ndarray, sizes: list[int]) -> np.nda
         counts = np.zeros(len(sieve.keys), np.int64)
         for batch in batches:
             for text in raw_texts(batch.column(0)):
-                (words,) = codes.look_up(text.split())
+                (words,) = codes.look_up(text.lower().split())
                 for size in sizes:
                     counts[np.unique(sieve(grams(words, size))[1])] += 1
         at = np.flatnonzero(counts)
@@ -215,7 +215,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                    (words,) = codes.look_up(text.split())
+                    (words,) = codes.look_up(text.lower().split())
                     for item, score, begin, end in passages(words, items, sieve, seeds, similarity):
                         own = score / (MATCH * len(items.words[item]))
                         rows.append((doc_id, items.ids[item], score, own, begin, end))

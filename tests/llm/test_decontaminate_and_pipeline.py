@@ -74,7 +74,7 @@ def test_finds_leaks_and_nothing_else(spark, leaks):
         texts[i].append(t)
     codes = D.word_codes()
     for r in found:
-        (doc,), (item,) = (codes.look_up(words(t)) for t in (texts[r.doc_id][0], targets[r.item_id]))
+        (doc,), (item,) = (codes.look_up([w.lower() for w in words(t)]) for t in (texts[r.doc_id][0], targets[r.item_id]))
         assert r.score == smith_waterman(item.tolist(), doc.tolist())
         assert smith_waterman(item.tolist(), doc[r.first_word : r.end_word].tolist()) == r.score
 
