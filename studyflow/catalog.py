@@ -214,7 +214,7 @@ def upsert_dimension(spark, sf):
         A.now().alias("created_at"),
         A.now().alias("updated_at"),
     )
-    source = TP.latest_topic_version(valid).filter("estimated_hours >= 2")
+    source = TP.latest_topic_version(valid)
     return TP.upsert_topics(target, source, later())
 
 
@@ -615,9 +615,7 @@ def pipeline_run_counts(spark, sf):
     return reduce(
         DataFrame.unionByName,
         [
-            counts.withColumn("pipeline_name", F.lit(name)).join(
-                AU.run_result(counts, name), "pipeline_name"
-            )
+            AU.run_result(counts, name)
             for name, counts in _run_counts(spark, sf).items()
         ],
     )
@@ -679,6 +677,53 @@ def progress_reports(spark, sf):
     return _readiness(spark, sf).orderBy("learner_id")
 
 
+@query
+def learner_progress_report(spark, sf):
+    """Learner progress by learner."""
+    return _progress_view(spark, sf).orderBy("learner_name", "enrollment_id")
+
+
+@query
+def domain_progress_report(spark, sf):
+    """Domain progress by enrollment, domains in exam order."""
+    return _domain_view(spark, sf).orderBy("enrollment_id", "domain_order")
+
+
+@query
+def run_log_report(spark, sf):
+    """The run log, newest first."""
+    return run_log(spark, sf).orderBy(F.desc("started_at"), "pipeline_name")
+
+
+@query
+def rejected_records_report(spark, sf):
+    """Rejected learner rows, newest first."""
+    _, rejected = split(A.validated_learners(spark, sf))
+    rejects = to_rejects(
+        rejected, T.LEARNERS_PIPELINE, "source_record_id", T.LEARNER_INBOX, A.now()
+    )
+    return AU.rejected_records(rejects).select(
+        "pipeline_name", "source_record_id", "rejection_reason", "rejected_at"
+    )
+
+
+@query
+def seed_reports(spark, sf):
+    """Paths and levels in their display order, with the domains' number and weights."""
+    weights = A.domains(spark, sf).agg(
+        F.count(F.lit(1)).alias("domains"), F.sum("exam_weight_percent").alias("total_weight")
+    )
+    levels = A.levels(spark).select("experience_level_code", "experience_level_name", "display_order")
+    listed = (
+        A.paths(spark)
+        .select("path_id", "experience_level_code", "duration_weeks", "weekly_study_hours")
+        .join(levels, "experience_level_code")
+        .withColumn("certification_id", F.lit(T.CERTIFICATION_ID))
+    )
+    totals = weights.withColumn("certification_id", F.lit(T.CERTIFICATION_ID))
+    return listed.join(totals, "certification_id").orderBy("display_order")
+
+
 def _daily_log(spark, sf):
     days = AC.normalize_activity(A.activity_inbox(spark, sf)).withColumn(
         ERROR, first_failure(AC.activity_rules())
@@ -719,43 +764,58 @@ def quality_report(spark, sf):
 
 @query
 def acceptance_report(spark, sf):
-    """Acceptance over all customers: registered, enrolled, recorded, rejected, resolved."""
-    validated = A.validated_learners(spark, sf)
+    """Acceptance over all customers: registered, enrolled, recorded, rejected, resolved.
+
+    What the pipelines accept and refuse is settled once, written to a store by their own functions,
+    and the report reads the store.
+    """
+    validated = A.stored(spark, sf, "validated-learners", lambda: A.validated_learners(spark, sf))
     valid, rejected = split(validated)
-    acts, _ = split(A.validated_activity(spark, sf))
-    ledger = reduce(
-        DataFrame.unionByName,
-        [
-            L.record_processed(valid, T.LEARNERS_PIPELINE, "source_record_id", F.lit("ok"), A.now()),
-            L.record_processed(acts, T.ACTIVITY_PIPELINE, "activity_id", F.lit("ok"), A.now()),
-        ],
+    acted = A.stored(spark, sf, "validated-activity", lambda: A.validated_activity(spark, sf))
+    acts, _ = split(acted)
+    people = A.stored(
+        spark, sf, "expected", lambda: A.people(spark, sf).select("employee_id", "path_id")
     )
+    bad = rejected.filter(F.col(ERROR) == L.EXPERIENCE_NEGATIVE)
+
+    store = _new_store(spark, sf, "learners", "enrollments")
+    run = AC.process_validated_activity(acted, A.now())
+    store.append_once("learning_events", run.events, "acts")
+    store.append_once("processed_records", run.ledger, "acts")
+    for batch, rows, moment in (("learners", valid, A.now()), ("corrected", bad, later())):
+        entries = L.record_processed(
+            rows, T.LEARNERS_PIPELINE, "source_record_id", F.lit("ok"), moment
+        )
+        store.append_once("processed_records", entries, batch)
     rejects = to_rejects(
         rejected, T.LEARNERS_PIPELINE, "source_record_id", T.LEARNER_INBOX, A.now()
     )
-    corrected = L.record_processed(
-        rejected.filter(F.col(ERROR) == L.EXPERIENCE_NEGATIVE),
-        T.LEARNERS_PIPELINE, "source_record_id", F.lit("ok"), later(),
-    )
+    store.append_once("rejected_records", rejects, "learners")
+    ledger = store.read("processed_records")
+    corrected = ledger.filter(F.col("processed_at") > A.now())
     t = {
-        "learners": A.learners(spark, sf),
-        "enrollments": A.enrollments(spark, sf),
+        "learners": store.read("learners"),
+        "enrollments": store.read("enrollments"),
         "progress": A.progress_table(spark, sf),
-        "ledger": ledger,
-        "rejects": AU.resolve_rejects(rejects, corrected),
-        "events": AC.csv_events(acts, A.now()),
+        "ledger": ledger.filter(F.col("processed_at") == A.now()),
+        "rejects": AU.resolve_rejects(store.read("rejected_records"), corrected),
+        "events": store.read("learning_events"),
     }
     return C.acceptance_report(
         t,
-        A.people(spark, sf).select("employee_id", "path_id"),
+        people,
         valid.select("source_record_id").distinct(),
         acts.select(F.col("activity_id").alias("source_record_id")).distinct(),
-        rejected.filter(F.col(ERROR) == L.EXPERIENCE_NEGATIVE).select("source_record_id").distinct(),
+        bad.select("source_record_id").distinct(),
         [
             ("EMP-1", "D01_T01", "COMPLETED", "100.00", "1.00", "EMP-1 completed topic D01_T01"),
             ("EMP-6", "D02_T03", "IN_PROGRESS", "50.00", "0.50", "EMP-6 reached half of topic D02_T03"),
         ],
         35,
+        {
+            "TC-001": "All demo learners were registered",
+            "TC-004": "Each demo learner has 35 initialized topics",
+        },
     )
 
 
@@ -801,8 +861,9 @@ def stream_topics(spark, sf):
 
 
 def _learner_stream(spark, sf):
-    """The learner stream over an inbox in which every learner has one row."""
+    """The learner stream, some ids accepted before, over an inbox with one row a learner."""
     store = _new_store(spark, sf, "learning_paths", "path_topic_plan")
+    store.append_once("processed_records", A.learner_ledger(spark, sf), "earlier")
     single = F.expr(
         "if(employee_id like 'emp-%', concat('EMP-', source_row_number), employee_id)"
     )
@@ -850,9 +911,11 @@ def stream_activity(spark, sf):
 @query
 def stream_progress(spark, sf):
     store = _new_store(spark, sf, "topic_progress")
-    store.append_once(
-        "learning_events", A.learning_events(spark, sf).drop("batch_day"), "recorded-1"
-    )
+    events = A.learning_events(spark, sf).drop("batch_day")
+    before = F.col("event_id").endswith("7")
+    store.append_once("learning_events", events.filter(before), "before-the-stream")
+    jobs.begin_progress_stream(store, f"{store.root}/checkpoint")
+    store.append_once("learning_events", events.filter(~before), "recorded-1")
     for _ in range(2):
         jobs.run_progress_stream(
             spark, store, f"{store.root}/checkpoint", clock=_clock

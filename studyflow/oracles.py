@@ -166,8 +166,7 @@ VIEWS: dict[str, str] = {
                source_file_name, source_row_number
         FROM learner_inbox""",
     "learner_ledger": """
-        SELECT DISTINCT 'LRN-' || o_custkey AS source_record_id FROM orders
-        WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AND o_totalprice > 400000""",
+        SELECT 'LRN-' || (o_orderkey * 13) AS source_record_id FROM orders""",
     "learner_rules": """
         SELECT *, TRY_CAST(snowflake_experience_years AS DECIMAL(4,1)) AS years,
                CASE
@@ -254,11 +253,12 @@ VIEWS: dict[str, str] = {
             ORDER BY e.created_at DESC, e.enrollment_id DESC) = 1""",
     "learning_events": f"""
         SELECT 'EVT-' || k AS event_id, {_enrollment_id("('EMP-' || user_id)")} AS enrollment_id,
-               {TOPIC_OF} AS topic_id, {KIND} AS event_type, ts AS event_timestamp,
-               CAST(floor(value) AS BIGINT) AS minutes,
+               {TOPIC_OF} AS topic_id,
+               CASE event_type WHEN 'error' THEN 'STARTED' ELSE {KIND} END AS event_type,
+               ts AS event_timestamp, CAST(floor(value) AS BIGINT) AS minutes,
                CASE WHEN event_type = 'purchase' THEN 100 ELSE {PCT} END AS percent,
                CAST(ts AS DATE) AS batch_day
-        FROM (SELECT event_id AS k, * FROM events) WHERE event_type <> 'error'""",
+        FROM (SELECT event_id AS k, * FROM events)""",
     "initial_progress": """
         SELECT e.enrollment_id, p.topic_id FROM enrollments e JOIN plan p USING (path_id)
         WHERE e.enrollment_status = 'ACTIVE' AND p.required_flag""",
@@ -427,11 +427,9 @@ VIEWS: dict[str, str] = {
                source_file_name, source_row_number
         FROM activity_inbox""",
     "activity_ledger": """
-        SELECT 'ACT-' || o_orderkey AS source_record_id FROM orders
-        WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW' AND o_totalprice > 400000""",
+        SELECT 'ACT-' || (o_orderkey * 17) AS source_record_id FROM orders""",
     "earlier_events": """
-        SELECT 'ACT-' || l_orderkey AS event_id FROM lineitem
-        WHERE l_returnflag = 'R' AND l_quantity >= 49""",
+        SELECT 'ACT-' || (l_orderkey * 19) AS event_id FROM lineitem""",
     "activity_rules": f"""
         SELECT *, CASE
                  WHEN coalesce(activity_id, '') = '' THEN 'Activity ID is required.'
@@ -606,7 +604,7 @@ STATEMENTS: dict[str, str] = {
             FROM topic_checked WHERE validation_error IS NULL AND topic_id < 'D04'
             QUALIFY row_number() OVER (PARTITION BY topic_id
                 ORDER BY ingested_at, source_file_name, source_row_number) = 1),
-        source AS (SELECT * FROM topics WHERE estimated_hours >= 2)
+        source AS (SELECT * FROM topics)
         SELECT *, TRUE AS active_flag,
                CASE WHEN topic_id IN (SELECT topic_id FROM target) THEN {NOW} ELSE {LATER} END
                    AS created_at, {LATER} AS updated_at
@@ -928,7 +926,7 @@ STATEMENTS: dict[str, str] = {
                  WHERE validation_error IS NULL),
         acts AS (SELECT event_id FROM csv_events),
         numbers AS (
-            SELECT 'TC-001' AS test_id, 'Three demo learners were registered' AS d, '' AS unit,
+            SELECT 'TC-001' AS test_id, 'All demo learners were registered' AS d, '' AS unit,
                    count(*) AS want, count(*) AS n FROM people
             UNION ALL
             SELECT 'TC-002', 'Each demo learner has an active enrollment', '',
@@ -940,7 +938,7 @@ STATEMENTS: dict[str, str] = {
             FROM people p JOIN enrollments e ON e.learner_id = p.learner_id
                  AND e.path_id = p.path_id
             UNION ALL
-            SELECT 'TC-004', 'Each demo learner has 31 initialized topics',
+            SELECT 'TC-004', 'Each demo learner has 35 initialized topics',
                    ' learners with 35 topics', (SELECT count(*) FROM people), count(*)
             FROM (SELECT p.employee_id FROM people p JOIN progress g
                     ON g.enrollment_id = p.enrollment_id
@@ -994,7 +992,9 @@ STATEMENTS: dict[str, str] = {
                    CASE WHEN row_error IS NOT NULL THEN row_error
                         WHEN source_record_id IN (SELECT source_record_id FROM learner_batch
                             WHERE source_record_id <> '' GROUP BY 1 HAVING count(*) > 1)
-                          THEN 'duplicate' END AS reason
+                          THEN 'duplicate'
+                        WHEN source_record_id IN (SELECT source_record_id FROM learner_ledger)
+                          THEN 'processed' END AS reason
             FROM learner_rules)
         SELECT """ + f"""{_learner_id('employee_id')} AS learner_id,
                {_enrollment_id('employee_id')} AS enrollment_id,
@@ -1107,7 +1107,7 @@ EVENTS = "SELECT * FROM learning_events"
 STATEMENTS["process_events"] = _one_batch(
     EVENTS, f", CASE WHEN b.last_at IS NULL THEN {NOW} ELSE {LATER} END AS updated_at"
 )
-STATEMENTS["stream_progress"] = _one_batch(EVENTS)
+STATEMENTS["stream_progress"] = _one_batch(EVENTS + " WHERE event_id NOT LIKE '%7'")
 STATEMENTS["stream_chain"] = _one_batch(
     "SELECT enrollment_id, topic_id, CAST(duration_minutes AS BIGINT) AS minutes, "
     "completion_percent AS percent, event_timestamp FROM ("
@@ -1118,7 +1118,8 @@ STATEMENTS["trigger_if_data"] = """
     WITH again AS (
         SELECT row_error IS NULL AND source_record_id NOT IN (
                    SELECT source_record_id FROM learner_batch WHERE source_record_id <> ''
-                   GROUP BY 1 HAVING count(*) > 1) AS ok
+                   GROUP BY 1 HAVING count(*) > 1)
+               AND source_record_id NOT IN (SELECT source_record_id FROM learner_ledger) AS ok
         FROM learner_rules)
     SELECT 'LEARNER_INFORMATION' AS pipeline_name, 'SUCCESS' AS run_status,
            count(*) AS records_received, count(*) FILTER (ok) AS records_accepted,
@@ -1152,5 +1153,22 @@ def statement(name: str) -> str:
     return "WITH " + ",\n".join(views) + "\n" + text
 
 
+# Reports are the same rows in an order of their own.
+STATEMENTS["learner_progress_report"] = STATEMENTS["learner_progress"]
+STATEMENTS["domain_progress_report"] = STATEMENTS["domain_progress"]
+STATEMENTS["run_log_report"] = STATEMENTS["run_log"]
+STATEMENTS["seed_reports"] = """
+    SELECT l.experience_level_code, p.path_id, CAST(p.duration_weeks AS DECIMAL(3,0)) AS duration_weeks,
+           CAST(p.weekly_study_hours AS DECIMAL(3,0)) AS weekly_study_hours, l.experience_level_name,
+           CAST(l.display_order AS DECIMAL(3,0)) AS display_order, 'CERT_SNOWPRO_CORE' AS certification_id,
+           (SELECT count(*) FROM domains) AS domains,
+           (SELECT sum(exam_weight_percent) FROM domains) AS total_weight
+    FROM paths p JOIN levels l USING (experience_level_code)"""
+STATEMENTS["rejected_records_report"] = f"""
+    SELECT 'LEARNER_INFORMATION' AS pipeline_name, source_record_id,
+           validation_error AS rejection_reason, {NOW} AS rejected_at
+    FROM learner_checked WHERE validation_error IS NOT NULL"""
+
+
 def oracle_statements() -> dict[str, str]:
     return {name: statement(name) for name in STATEMENTS}

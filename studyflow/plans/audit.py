@@ -52,7 +52,7 @@ def log_run(
 
 
 def run_result(counts: DataFrame, pipeline: str) -> DataFrame:
-    """The result text of one run."""
+    """The counts of one run with its result text."""
     head, accepted, rejected, tail = RESULT_TEXTS[pipeline]
     text = F.concat(
         F.lit(head), F.col("records_received").cast("string"),
@@ -60,7 +60,7 @@ def run_result(counts: DataFrame, pipeline: str) -> DataFrame:
         F.lit(rejected), F.col("records_rejected").cast("string"),
         F.lit(tail),
     )
-    return counts.select(F.lit(pipeline).alias("pipeline_name"), text.alias("run_result"))
+    return counts.withColumns({"pipeline_name": F.lit(pipeline), "run_result": text})
 
 
 def latest_run(log: DataFrame, pipeline: str) -> DataFrame:

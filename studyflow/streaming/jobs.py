@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from studyflow import tables as T
-from studyflow.plans import activity, audit, learners, progress, topics
+from studyflow.plans import activity, audit, learners, progress, schedule, topics
 from studyflow.sources.inbox import (
     TOPIC_NULL_TOKENS,
     MalformedInbox,
@@ -107,6 +107,80 @@ def _logged(store: Store, pipeline: str, clock: Clock, work: Callable[[str, date
     return handle
 
 
+def refresh_schedule(store: Store, batch: str, clock: Clock = _utc_now) -> None:
+    """Topics to the plan of every active path, then first progress for what active enrollments lack.
+
+    Runs once for a ``batch`` name; a repeat has no further effect.
+    """
+    now = _ts(clock())
+    built = schedule.build_schedule(
+        store.read("study_topics").filter("active_flag"), store.read("learning_paths").filter("active_flag")
+    )
+    built = store.stage_once("schedule", lambda: built, batch)
+    store.merge(
+        "path_topic_plan", built, lambda plan: schedule.upsert_plan(plan, built, now), "SCHEDULE", batch
+    )
+    enrolled, plan = store.read("enrollments"), store.read("path_topic_plan")
+    store.merge(
+        "topic_progress",
+        enrolled.filter(F.col("enrollment_status") == "ACTIVE"),
+        lambda current: schedule.initialise_progress(
+            current, enrolled, plan, now
+        ),
+        "SCHEDULE",
+        batch,
+    )
+    store.drop_staged("schedule", batch)
+
+
+def register_directly(
+    store: Store, calls: DataFrame, batch: str, as_of: date, clock: Clock = _utc_now
+) -> DataFrame:
+    """Single registrations, once for a ``batch`` name: the accepted ones reach learners, enrollments
+    and first progress. Returns one result text a call. ``calls`` carry file name and row number."""
+    now, today = _ts(clock()), F.lit(as_of)
+    answered = store.stage_once(
+        "register", lambda: learners.register_learners(calls, store.read("learning_paths"), today), batch
+    )
+    _register(store, answered.filter(F.col("failure").isNull()), "REGISTER_LEARNER", batch, today, now)
+    return answered
+
+
+def record_directly(
+    store: Store, calls: DataFrame, batch: str, clock: Clock = _utc_now
+) -> DataFrame:
+    """Single recordings, once for a ``batch`` name: the accepted ones become learning events. Returns
+    the checked calls with their event ids. ``calls`` carry file name and row number."""
+
+    def checked() -> DataFrame:
+        held = store.read_touched("topic_progress", calls.select("enrollment_id"))
+        return activity.validate_direct(calls, held, T.LINEAGE).withColumn(
+            "event_id", activity.new_event_id()
+        )
+
+    answered = store.stage_once("record", checked, batch)
+    events = activity.record_activity(answered, F.col("event_id"), _ts(clock()))
+    store.append_once("learning_events", events, batch)
+    return answered
+
+
+def _register(
+    store: Store, rows: DataFrame, pipeline: str, batch: str, today: Column, now: Column
+) -> None:
+    """Merge placed rows into learners, enrollments and first progress."""
+    last = learners.last_per_learner(rows)
+    fresh = learners.first_topics(rows, store.read("path_topic_plan"), now)
+    steps = {
+        "learners": lambda t: learners.upsert_learners(t, last, today, now),
+        "enrollments": lambda t: learners.upsert_enrollments(t, last, today, now),
+        "topic_progress": lambda t: learners.insert_missing(
+            t, fresh, ["enrollment_id", "topic_id"]
+        ),
+    }
+    for table, change in steps.items():
+        store.merge(table, rows, change, pipeline, batch)
+
+
 def run_topic_stream(
     spark: SparkSession,
     inbox: str,
@@ -164,18 +238,7 @@ def run_learner_stream(
         staged = store.stage_once(T.LEARNERS_PIPELINE, validated, batch)
         valid = learners.typed_learners(staged.filter(F.col(learners.ERROR).isNull()))
         rows = learners.placed(valid, store.read("learning_paths"), today)
-        last = learners.last_per_learner(rows)
-        fresh = learners.first_topics(rows, store.read("path_topic_plan"), now)
-        steps = {
-            "learners": (rows, lambda t: learners.upsert_learners(t, last, today, now)),
-            "enrollments": (rows, lambda t: learners.upsert_enrollments(t, last, today, now)),
-            "topic_progress": (
-                rows,
-                lambda t: learners.insert_missing(t, fresh, ["enrollment_id", "topic_id"]),
-            ),
-        }
-        for table, (touching, change) in steps.items():
-            store.merge(table, touching, change, T.LEARNERS_PIPELINE, batch)
+        _register(store, rows, T.LEARNERS_PIPELINE, batch, today, now)
         _, rejected = learners.split(staged)
         store.append_once(
             "rejected_records",

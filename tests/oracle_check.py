@@ -54,7 +54,7 @@ def main(names: list[str]) -> int:
     from studyflow.session import local_session
 
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = local_session(8)
+    spark = local_session(int(os.environ.get("CORES","8")))
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf)
     queries, oracle = entry.queries(), entry.oracle_sql()
