@@ -44,7 +44,8 @@ def same_text_links(nodes: DataFrame) -> DataFrame:
     """(node, follows): every later copy of a text follows its first."""
     key = ["h1", "h2", "size", "text_crc32"]
     firsts = nodes.groupBy(*key).agg(F.min("node").alias("follows"), F.max("node").alias("last"))
-    firsts = firsts.where("last > follows").drop("last")
+    # Stored, so that the join shuffles anew and Spark can split the rows of a very frequent text.
+    firsts = stored(firsts.where("last > follows").drop("last"), "first-texts")
     return nodes.join(firsts, key).where("node <> follows").select("node", "follows")
 
 
