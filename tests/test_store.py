@@ -155,3 +155,75 @@ def test_learner_and_progress_streams_together(spark, folder):
     assert demo.store.read("topic_progress").count() == 7 * 31
     assert demo.topic("EMP_DEMO_002") == ("COMPLETED", "100.00", "1.25")
     assert glob.glob(f"{folder}/store/topic_progress/_manifest/*.json")
+
+
+def test_a_new_topic_reaches_plans_and_enrollments(spark, folder):
+    demo = Demo(spark, folder)
+    demo.learners("learners", FX.LEARNERS)
+    row = ["D05_T06", "DOMAIN_05", "Added", "x", "BEGINNER", "2", "99"]
+    deliver(f"{folder}/topics", "t", T.TOPIC_INBOX, [row])
+    jobs.run_topic_stream(
+        spark, f"{folder}/topics", demo.store, f"{folder}/cp/topics", clock=demo.clock
+    ).awaitTermination()
+    for _ in range(2):
+        jobs.refresh_schedule(demo.store, "refresh-1", demo.clock)
+    plan = demo.store.read("path_topic_plan")
+    assert plan.filter("topic_id = 'D05_T06'").count() == 4 and plan.count() == 4 * 32
+    held = demo.store.read("topic_progress")
+    assert held.filter("topic_id = 'D05_T06'").count() == 2 and held.count() == 2 * 32
+
+
+def test_direct_entry_counts_once(spark, folder):
+    demo = Demo(spark, folder)
+    calls = spark.createDataFrame(
+        [("EMP_1", "One", "one@example.com", "Ops", 3, "calls", 1), ("EMP_2", "Two", None, "Ops", 1, "calls", 2)],
+        "employee_id string, learner_name string, email string, department_name string, "
+        "snowflake_experience_years int, source_file_name string, source_row_number long",
+    ).withColumn("snowflake_experience_years", F.col("snowflake_experience_years").cast("decimal(4,1)"))
+    for _ in range(2):
+        answers = jobs.register_directly(demo.store, calls, "call-1", FX.CLOCK.date(), demo.clock)
+    assert answers.filter("failure IS NULL").count() == 1 and answers.count() == 2
+    assert demo.store.read("learners").count() == 1
+    enrollment = demo.store.read("enrollments").first().enrollment_id
+    done = spark.createDataFrame(
+        [(enrollment, "D01_T01", "completed", 60, None, None, "calls", 1), (enrollment, "D09_T99", "started", 5, 1, None, "calls", 2)],
+        "enrollment_id string, topic_id string, event_type string, duration_minutes int, "
+        "completion_percent int, notes string, source_file_name string, source_row_number long",
+    )
+    jobs.begin_progress_stream(demo.store, f"{folder}/cp/direct")
+    for _ in range(2):
+        jobs.record_directly(demo.store, done, "record-1", demo.clock)
+    assert demo.store.read("learning_events").count() == 1
+    jobs.run_progress_stream(
+        spark, demo.store, f"{folder}/cp/direct", clock=demo.clock
+    ).awaitTermination()
+    assert demo.topic("EMP_1") == ("COMPLETED", "100.00", "1.00")
+
+
+def test_two_active_paths_of_a_level_fail(spark):
+    from studyflow.plans import learners as L
+
+    paths = spark.createDataFrame(
+        [("A", "FRESHER", 12, True), ("B", "FRESHER", 10, True)],
+        "path_id string, experience_level_code string, duration_weeks int, active_flag boolean",
+    ).withColumn("certification_id", F.lit(T.CERTIFICATION_ID))
+    rows = spark.createDataFrame([("FRESHER",)], "experience_level_code string")
+    with pytest.raises(Exception, match="two active paths"):
+        L.assign_path(rows, paths).collect()
+
+
+def test_minutes_too_large_for_the_table_have_their_own_reason(spark):
+    from studyflow.operators.rules import first_failure
+    from studyflow.plans import activity as A
+
+    base = dict(zip(T.ACTIVITY_INBOX, FX.ACTIVITY[0], strict=True))
+    rows = [base | {"duration_minutes": m} for m in ("5999999", "6000000", "123456789", "x", "-1")]
+    frame = spark.createDataFrame([tuple(r.values()) for r in rows], list(base))
+    got = A.normalize_activity(frame).select("duration_minutes", first_failure(A.activity_rules()).alias("e"))
+    assert {r[0]: r[1] for r in got.collect()} == {
+        "5999999": None,
+        "6000000": A.DURATION_TOO_LONG,
+        "123456789": A.DURATION_TOO_LONG,
+        "x": A.DURATION_NOT_NUMERIC,
+        "-1": A.DURATION_NEGATIVE,
+    }
