@@ -25,6 +25,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +121,12 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, words)) + self.end
 
 
+@cache
+def shared_encoder(vocabulary: str, end_id: int, whole_text: bool) -> Encoder:
+    """One encoder a worker process, whose words outlive a task."""
+    return Encoder(vocabulary, end_id, whole_text)
+
+
 def id_type(vocabulary_size: int) -> np.dtype:
     return np.dtype("<u2" if vocabulary_size <= 1 << 16 else "<u4")
 
@@ -135,7 +142,7 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, whole_text:
     )
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pieces, size = Encoder(vocabulary, end_id, whole_text), [], 0
+        encoder, pieces, size = shared_encoder(vocabulary, end_id, whole_text), [], 0
         for batch in batches:
             for text in raw_texts(batch.column(1)):
                 data = encoder(text)
@@ -181,7 +188,7 @@ def write(
         at = 0
         for batch in batches:
             if out is None:
-                encoder = Encoder(vocabulary, end_id, whole_text)
+                encoder = shared_encoder(vocabulary, end_id, whole_text)
                 shared = compression_dictionary(dictionary)
                 compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
                 out = fs.open_output_stream(name)
