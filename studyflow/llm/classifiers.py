@@ -16,6 +16,7 @@ labels of unknown documents are not used. Extra columns are ignored. No labels:
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import xxhash
@@ -66,8 +67,19 @@ def _distinct(parts: list[np.ndarray]) -> np.ndarray:
     return at[np.append(True, at[1:] != at[:-1])] if len(at) else at
 
 
+@cache
+def _cores() -> Codes:
+    """One table a worker process; its words outlive a task."""
+    return Codes(KNOWN_WORDS, _core)
+
+
+@cache
+def _cores_and_shapes() -> Codes:
+    return Codes(KNOWN_WORDS, _core, _shape)
+
+
 def toxicity_features() -> Callable[[bytes], tuple[np.ndarray, float]]:
-    codes = Codes(KNOWN_WORDS, _core)
+    codes = _cores()
 
     def features(text: bytes) -> tuple[np.ndarray, float]:
         (w,) = codes.look_up(text.split())
@@ -77,7 +89,7 @@ def toxicity_features() -> Callable[[bytes], tuple[np.ndarray, float]]:
 
 
 def quality_features() -> Callable[[bytes], tuple[np.ndarray, float]]:
-    codes = Codes(KNOWN_WORDS, _core, _shape)
+    codes = _cores_and_shapes()
 
     def features(text: bytes) -> tuple[np.ndarray, float]:
         w, s = codes.look_up(text.split())

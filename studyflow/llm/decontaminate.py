@@ -22,6 +22,7 @@ no rows. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,9 @@ _OUTER = bytes(c for c in range(128) if not chr(c).isalnum())
 _POWERS = [np.uint64(pow(0xC2B2AE3D27D4EB4F, k + 1, 1 << 64)) for k in range(GRAM)]
 
 
+@cache
 def word_codes() -> Codes:
+    """One table a worker process; its words outlive a task."""
     return Codes(KNOWN_WORDS, lambda w: xxhash.xxh3_64_intdigest(w.strip(_OUTER)))
 
 

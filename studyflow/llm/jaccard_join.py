@@ -25,6 +25,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +73,9 @@ def shingles(text: bytes, codes: Codes) -> np.ndarray:
     return hashes[np.append(True, hashes[1:] != hashes[:-1])]
 
 
+@cache
 def word_codes() -> Codes:
+    """One table a worker process; its words outlive a task."""
     return Codes(KNOWN_WORDS, xxhash.xxh3_64_intdigest)
 
 

@@ -19,6 +19,7 @@ own; repeated rows count and are judged each; an empty table gives no rows. Extr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -59,6 +60,12 @@ _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(WINDOW)]
 
 
+@cache
+def word_codes() -> Codes:
+    """One table a worker process; its words outlive a task."""
+    return Codes(KNOWN_WORDS, xxhash.xxh3_64_intdigest)
+
+
 def repeated_words(hashes: np.ndarray) -> int:
     """Words inside windows of WINDOW words that occur twice or more."""
     n = len(hashes) - WINDOW + 1
@@ -106,7 +113,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), *_STATS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes(KNOWN_WORDS, xxhash.xxh3_64_intdigest)
+        codes = word_codes()
         for batch in batches:
             rows = [describe(text, codes) for text in raw_texts(batch.column(3))]
             yield record_batch(schema, *batch.columns[:3], *zip(*rows, strict=True)) if rows else record_batch(
