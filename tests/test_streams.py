@@ -264,10 +264,11 @@ def test_merge_rewrites_only_touched_parts_and_expires_old_ones(spark, folder):
             "p", f"b{n}",
         )
     manifest = store._manifest("topic_progress")
-    assert sorted(manifest["parts"].values()).count("v000000001") == 3
+    assert [v[:10] for v in manifest["parts"].values()].count("v000000001") == 3
     store.expire("topic_progress", keep=1)
     after = store.read("topic_progress")
     assert after.count() == 200
     assert after.filter("progress_status = 'touched 3'").count() == 1
-    kept = store._names(f"{store.root}/topic_progress/v000000003")
+    (third,) = [n for n in store._names(f"{store.root}/topic_progress") if n.startswith("v000000003")]
+    kept = store._names(f"{store.root}/topic_progress/{third}")
     assert not any(n.startswith("part=") for n in kept)
