@@ -11,7 +11,8 @@ join keeps an inverted index over set prefixes and skips along two kinds of set
   must then share as many prefix tokens as sets of their sizes have to.
 * A cluster's answers come from its pivot's: if the pivots of two clusters are farther apart than 0.2
   and both radii (Jaccard distance is a metric), no member can link, and none is looked at. If they
-  link, the clusters are one component. Only what lies between is compared member by member.
+  link, so are the members linked to them one component; a member that is not (a stray) may still link
+  to one of the other cluster. What lies between, and strays, are compared member by member.
 
 Tokens are ordered by how often their hash bucket occurs in the corpus (2**18 counters), rare ones first,
 so that widely shared passages stay out of prefixes. All pairs within a group are never made.
@@ -348,7 +349,8 @@ def linked_components(docs: DataFrame) -> DataFrame:
     # Few members do not link to their pivot; they may to others of its cluster.
     links = links.union(linked_pairs(stray_pairs(placed), whole))
     placed = with_components(placed, components(links))
-    near = checked.where("NOT linked").join(spokes, ["a", "b"], "left_anti")
+    # Linked pivots say nothing of strays: those clusters are opened too, unless all of both are one component.
+    near = checked.join(spokes, ["a", "b"], "left_anti")
     links = links.union(linked_pairs(member_pairs(open_pairs(near, placed), placed), whole))
     joined = components(links)
 
@@ -381,8 +383,8 @@ def stray_pairs(placed: DataFrame) -> DataFrame:
 
 
 def open_pairs(near: DataFrame, placed: DataFrame) -> DataFrame:
-    """(a, b, apart, a_reach, b_reach): clusters that do not link at their pivots, have members near
-    enough that some might, and are not of one component already, with all their members."""
+    """(a, b, apart, a_reach, b_reach): clusters with members near enough that some might link, and that
+    are not of one component already, with all their members."""
     state = placed.groupBy("cluster").agg(
         F.max("off").alias("reach"), F.min("component").alias("low"), F.max("component").alias("high")
     )

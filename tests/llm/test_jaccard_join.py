@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from brute import jaccard_components, shingle_set
 from conftest import prose
 
@@ -55,6 +56,22 @@ def test_loose_clusters_lose_no_link(spark, monkeypatch):
     test_shared_passages_do_not_link(spark)
 
 
+@pytest.mark.parametrize(
+    ("shifts", "groups"),
+    [
+        ({1: 0, 2: 9, 3: 18}, [(3, 1)]),  # a stray of the first cluster links to the second pivot
+        ({1: 0, 2: 9, 3: 18}, [(1, 3)]),
+        ({1: 0, 2: 10, 3: -20, 4: -30}, [(3, 1), (4, 2)]),  # strays of both clusters link to each other alone
+    ],
+)
+def test_strays_of_linked_pivots(spark, monkeypatch, shifts, groups):
+    """Pivots that link leave the members that do not link to their own pivot to be compared."""
+    words = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join(words[40 + at : 40 + at + 94])) for i, at in shifts.items()]
+    monkeypatch.setattr(J, "clusters", lambda sets: spark.createDataFrame(groups, "rep long, cluster long"))
+    check(spark, rows)
+
+
 def test_null_ids(null_ids):
     assert sorted(results(null_ids), key=str) == sorted([(None, 2, None), (3, 2, 3), (None, 0, None)], key=str)
 
