@@ -1,15 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds find candidate passages, local alignment scores them.
+"""Benchmark decontamination: n-gram seeds find candidate passages, local alignment scores them.
 
 1. The benchmark is taken in blocks of at most BLOCK_WORDS words (and one item more); a block is what is
    broadcast. A benchmark of any size is the union over its blocks.
-2. One pass over the corpus counts, per document, the block's word 3-grams.
-3. In every run of SEED_EVERY consecutive 3-grams of an item the rarest is a seed, so each stretch of an item
-   has one however often it has leaked. Frequent ones are passed over where there is a rarer one, never
-   dropped for being frequent.
-4. A second pass looks up the documents' 3-grams among the seeds, turns hits into windows around where
-   the item would lie, and aligns item and window by Smith-Waterman over words (match +2, mismatch -1, gap
+2. Every word 3-gram of an item is a seed, however often it occurs.
+3. One pass looks up the documents' 3-grams among the seeds, turns hits into windows around where the
+   item would lie, and aligns item and window by Smith-Waterman over words (match +2, mismatch -1, gap
    -1). Windows that share too few words with the item to reach the score are skipped, which is exact.
-   A passage counts if its score is at least ``similarity`` of the score of the item with itself.
+   A passage counts if its score is at least ``similarity`` of the score of the item with itself. One
+   without a single intact 3-gram of its item is not found, whatever its score.
 
 Each text is handled where it is read: nothing of it is shuffled, so a passage in a third of all
 documents weighs on no single task. Words are compared without case and outer punctuation.
@@ -32,7 +30,7 @@ from pyspark.sql import functions as F
 
 from studyflow.llm.common import Codes, map_batches, raw_texts, record_batch, running_sum, stored
 
-GRAM, SEED_EVERY = 3, 4
+GRAM = 3
 BLOCK_WORDS = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, 1
 SIMILARITY = 0.4
@@ -110,39 +108,9 @@ def item_blocks(items: DataFrame) -> Iterator[Items]:
             yield Items(ids, words)
 
 
-def corpus_counts(docs: DataFrame, keys: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """In how many documents each of the (sorted) grams occurs."""
-    shared = docs.sparkSession.sparkContext.broadcast(keys)
-    schema = pa.schema([("at", pa.int32()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, sieve = word_codes(), Sieve(shared.value)
-        counts = np.zeros(len(sieve.keys), np.int64)
-        for batch in batches:
-            for text in raw_texts(batch.column(0)):
-                (words,) = codes.look_up(text.lower().split())
-                for size in sizes:
-                    counts[np.unique(sieve(grams(words, size))[1])] += 1
-        at = np.flatnonzero(counts)
-        yield record_batch(schema, at.astype(np.int32), counts[at])
-
-    found = map_batches(docs.select(F.col("text").cast("string")), run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    table = found.toArrow()  # at most one row a gram of the block
-    counts = np.zeros(len(keys), np.int64)
-    counts[table["at"].to_numpy()] = table["n"].to_numpy()
-    return counts
-
-
-def choose_seeds(items: Items, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def all_seeds(items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Seeds as (sorted hashes, first place of each, items, positions)."""
-    chosen: set[tuple[int, int, int]] = set()
-    for k, words in enumerate(items.words):
-        hashes = grams(words, min(GRAM, len(words)))
-        often = counts[np.searchsorted(keys, hashes)]
-        for start in range(max(1, len(hashes) - SEED_EVERY + 1)):
-            p = start + int(np.argmin(often[start : start + SEED_EVERY]))
-            chosen.add((int(hashes[p]), k, p))
-    rows = sorted(chosen)
+    rows = sorted(items.places())
     hashes, first = np.unique(np.array([r[0] for r in rows], np.uint64), return_index=True)
     return hashes, np.append(first, len(rows)), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
 
@@ -231,9 +199,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = docs.sparkSession.createDataFrame([], columns)
     for items in item_blocks(benchmark):
-        keys = np.unique(np.array([h for h, _, _ in items.places()], np.uint64))
-        seeds = choose_seeds(items, keys, corpus_counts(docs, keys, items.sizes))
-        found = found.unionByName(map_batches(rows, finder(context.broadcast((items, seeds))), columns))
+        shared = context.broadcast((items, all_seeds(items)))
+        found = found.unionByName(map_batches(rows, finder(shared), columns))
     best = F.max(F.struct("score", "similarity", (-F.col("first_word")).alias("back"), "end_word")).alias("best")
     return (
         found.groupBy("doc_id", "item_id")

@@ -125,3 +125,12 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs, name, stage):
     assert found.count() > 0
     if name != "sharding":
         assert found.columns == odd_docs.columns
+
+
+def test_an_intact_gram_between_rarer_ones_is_a_seed(spark):
+    """A copy with every third word replaced, whose only intact 3-grams are more frequent than those around."""
+    words = [f"w{k}" for k in range(40)]
+    copy = [w if k == 11 or k % 3 < 2 else f"x{k}" for k, w in enumerate(words)]
+    docs = [(1, " ".join(copy)), (2, " ".join(words[9:14])), (3, " ".join(words[9:14]))]
+    found = D.contaminations(*frames(spark, [(7, " ".join(words))], docs)).collect()
+    assert [(r.doc_id, r.item_id, r.score) for r in found] == [(1, 7, smith_waterman(words, copy))]
