@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as queries over whole tables, and SQL where it can express them."""
+"""The thirteen operators and the pipeline as queries over whole tables, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyflow.llm import classifiers as C
-from studyflow.llm import chat, decontaminate, jaccard_join, line_dedup, mixture, outliers, sharding, token_files
+from studyflow.llm import (
+    chat,
+    decontaminate,
+    jaccard_join,
+    line_dedup,
+    mixture,
+    outliers,
+    personal_data,
+    prefix_trie,
+    sharding,
+    token_files,
+)
 from studyflow.llm.common import table
 
 
@@ -66,6 +77,14 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_components(table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(personal_data.personal_spans(table(spark, sf_dir, "documents")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_chat_formatting": op2_chat_formatting,
@@ -77,8 +96,11 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_source_mixture": op9_source_mixture,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op12_personal_data": op12_personal_data,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 SQL = {
     "op2_chat_formatting": chat.SQL,
     "op6_line_dedup": line_dedup.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
