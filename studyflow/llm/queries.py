@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from studyflow.llm import classifiers as C
 from studyflow.llm import (
     chat,
+    collocations,
     decontaminate,
     jaccard_join,
     line_dedup,
@@ -77,6 +78,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_components(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.personal_spans(table(spark, sf_dir, "documents")))
 
@@ -96,11 +101,13 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_source_mixture": op9_source_mixture,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_collocations": op11_collocations,
     "op12_personal_data": op12_personal_data,
     "op13_prefix_trie": op13_prefix_trie,
 }
 SQL = {
     "op2_chat_formatting": chat.SQL,
     "op6_line_dedup": line_dedup.SQL,
+    "op11_collocations": collocations.SQL,
     "op13_prefix_trie": prefix_trie.SQL,
 }
