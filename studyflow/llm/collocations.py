@@ -42,13 +42,15 @@ THRESHOLD = 10
 ABSORBED = 50
 TOP = 2000
 #: Counters of a hash partition: 16 bytes each.
-CAPACITY = 1 << 21
+CAPACITY = 1 << 20
 #: n-grams held before their counts are sent on.
-HELD = 1 << 22
+HELD = 1 << 21
+#: Bytes of text worked on at a time.
+SLICE = 1 << 20
 #: Bits of the broadcast filter of survivors: 8 MB.
 FILTER_BITS = 1 << 26
 #: Words known at a time.
-MAX_KNOWN = 1 << 20
+MAX_KNOWN = 1 << 18
 
 # The characters that end a piece.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -81,7 +83,7 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Batch:
-    """The words of a batch of texts: ``words``, their ``hashes`` (language included), their ``codes`` (equal for equal
+    """The words of some texts, in lower case and with stops for all ends of pieces: ``words``, their ``hashes`` (language included), their ``codes`` (equal for equal
     words of a language), ``langs`` by number, and ``open``: how many words follow in the same piece, itself included."""
 
     def __init__(self, texts: list[bytes], langs: list[str | None]):
@@ -90,7 +92,7 @@ class Batch:
         self.words: list[bytes] = []
         counts = []
         for text in texts:
-            found = text.lower().translate(_TO_STOP).replace(b".", b" . ").split()
+            found = text.replace(b".", b" . ").split()
             found.append(b".")
             counts.append(len(found))
             self.words += found
@@ -156,8 +158,22 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
+    """Texts in slices of about SLICE bytes. Longer texts are cut where a piece ends, which cuts no n-gram."""
+    texts, langs, size = [], [], 0
     for batch in batches:
-        yield Batch(raw_texts(batch.column(0)), batch.column(1).to_pylist())
+        for text, lang in zip(raw_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            text, start = text.lower().translate(_TO_STOP), 0
+            while start < len(text):
+                cut = len(text) if len(text) - start <= SLICE else text.find(b".", start + SLICE) + 1
+                end = cut or len(text)
+                texts.append(text[start:end])
+                langs.append(lang)
+                size, start = size + end - start, end
+                if size >= SLICE:
+                    yield Batch(texts, langs)
+                    texts, langs, size = [], [], 0
+    if texts:
+        yield Batch(texts, langs)
 
 
 def summaries(docs: DataFrame, bits: int, threshold: int, max_words: int, capacity: int) -> DataFrame:

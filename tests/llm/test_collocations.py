@@ -70,6 +70,7 @@ def test_other_settings(spark, rows):
 def test_small_summaries_lose_nothing(spark, rows, monkeypatch):
     """Capacities that force decrements, and partitions that follow."""
     monkeypatch.setattr(C, "HELD", 500)
+    monkeypatch.setattr(C, "SLICE", 90)
     assert found(frame(spark, rows), capacity=40) == plain(rows)
 
 
