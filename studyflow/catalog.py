@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
-from functools import reduce, wraps
+from functools import partial, reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +18,11 @@ from studyflow.operators.keyed import (
     flag_existing,
     insert_missing,
 )
-from studyflow.operators.rules import ERROR, first_failure, run_counts, split, to_rejects
+from studyflow.operators.rules import ERROR, count_columns, counts_row, first_failure, split, to_rejects
 from studyflow.plans import activity as AC
 from studyflow.plans import audit as AU
 from studyflow.plans import checks as C
+from studyflow.plans import deltas as D
 from studyflow.plans import learners as L
 from studyflow.plans import progress as P
 from studyflow.plans import schedule as S
@@ -156,8 +157,8 @@ def inbox_incremental_read(spark, sf):
 @query
 def batch_snapshot(spark, sf):
     store = Store(spark, shared_dir(spark, "store"))
-    frozen = store.stage_once(T.LEARNERS_PIPELINE, lambda: A.validated_learners(spark, sf), "1")
-    again = store.stage_once(T.LEARNERS_PIPELINE, lambda: frozen.limit(0), "1")
+    frozen, _ = store.freeze(T.LEARNERS_PIPELINE, "1", lambda: A.validated_learners(spark, sf))
+    again, _ = store.freeze(T.LEARNERS_PIPELINE, "1", lambda: frozen.limit(0))
     return (
         again.groupBy(F.coalesce(ERROR, F.lit("valid")).alias("outcome"))
         .agg(F.count(F.lit(1)).alias("row_count"))
@@ -190,8 +191,8 @@ def raw_record_capture(spark, sf):
 def append_sink(spark, sf):
     store = Store(spark, shared_dir(spark, "store"))
     for batch in ("learners-1", "learners-1"):
-        store.append_once("rejected_records", _learner_rejects(spark, sf), batch)
-    store.append_once("rejected_records", _topic_rejects(spark, sf), "topics-1")
+        store.append("rejected_records", _learner_rejects(spark, sf), batch)
+    store.append("rejected_records", _topic_rejects(spark, sf), "topics-1")
     return (
         store.read("rejected_records")
         .groupBy("pipeline_name", "rejection_reason")
@@ -420,20 +421,27 @@ def domain_exists_filter(spark, sf):
 
 @query
 def already_processed(spark, sf):
-    ids = L.ledger_ids(A.learner_ledger(spark, sf), T.LEARNERS_PIPELINE, "source_record_id")
-    return flag_existing(
-        L.normalize_learners(A.learner_inbox(spark, sf)),
-        ids, ["source_record_id"], T.LINEAGE, "is_processed",
-    ).select("source_row_number", "source_record_id", "is_processed")
+    """Ids accepted before: the ledger lies in a store, whose filters name the batches that may hold an id."""
+    store = Store(spark, shared_dir(spark, "store"), buckets=8)
+    store.append("processed_records", A.learner_ledger(spark, sf), "earlier")
+    rows = L.normalize_learners(A.learner_inbox(spark, sf))
+    held = store.read_known("processed_records", rows.select("source_record_id"))
+    ids = L.ledger_ids(held, T.LEARNERS_PIPELINE, "source_record_id")
+    return flag_existing(rows, ids, ["source_record_id"], T.LINEAGE, "is_processed").select(
+        "source_row_number", "source_record_id", "is_processed"
+    )
 
 
 @query
 def event_id_exists(spark, sf):
-    known = A.earlier_events(spark, sf).withColumnRenamed("event_id", "activity_id")
-    return flag_existing(
-        AC.normalize_activity(A.activity_inbox(spark, sf)),
-        known, ["activity_id"], T.LINEAGE, "is_event",
-    ).select("source_row_number", "activity_id", "is_event")
+    store = Store(spark, shared_dir(spark, "store"), buckets=8)
+    earlier = empty_table(spark, T.EVENT_SCHEMA).unionByName(A.earlier_events(spark, sf), allowMissingColumns=True)
+    store.append("learning_events", earlier, "earlier")
+    rows = AC.normalize_activity(A.activity_inbox(spark, sf))
+    known = store.read_known("learning_events", rows.select("activity_id")).select(F.col("event_id").alias("activity_id"))
+    return flag_existing(rows, known, ["activity_id"], T.LINEAGE, "is_event").select(
+        "source_row_number", "activity_id", "is_event"
+    )
 
 
 @query
@@ -556,6 +564,37 @@ def weighted_progress(spark, sf):
     return V.weighted_progress(_domain_view(spark, sf))
 
 
+def _summed_store(spark, sf) -> Store:
+    """The event log in three deliveries, rolled up day by day; the sums are renewed after each delivery."""
+    store = _new_store(
+        spark, sf, "learners", "enrollments", "topic_progress", "exam_domains", "learning_paths", "path_topic_plan"
+    )
+    store.load("study_topics", A.topics(spark, sf))
+    D.update_sums(store, "sums-0", A.now())
+    day = F.col("batch_day").cast("string")
+    events = A.learning_events(spark, sf).withColumn("delivery", F.expr("day(batch_day) % 3"))
+    for delivery in range(3):
+        added = P.rollup(events.filter(F.col("delivery") == delivery), "batch_day")
+        store.append("progress_rollups", added.withColumn("event_batch", day), day, A.now())
+        D.update_sums(store, f"sums-{delivery + 1}", A.now())
+    return store
+
+
+@query
+def learner_progress_by_deltas(spark, sf):
+    return D.learner_progress(_summed_store(spark, sf), A.as_of())
+
+
+@query
+def domain_progress_by_deltas(spark, sf):
+    return D.domain_progress(_summed_store(spark, sf))
+
+
+@query
+def weighted_progress_by_deltas(spark, sf):
+    return D.weighted_progress(_summed_store(spark, sf))
+
+
 @query
 def activity_rollup(spark, sf):
     return P.rollup(A.learning_events(spark, sf))
@@ -603,10 +642,16 @@ def incomplete_enrollments(spark, sf):
 
 
 def _run_counts(spark, sf) -> dict[str, DataFrame]:
+    """Counts of the three pipelines, observed while each validated batch is written: one scan of it, no job to count."""
+    store = Store(spark, shared_dir(spark, "store"))
+    batches = {
+        T.TOPICS_PIPELINE: (A.validated_topics, TP.topic_count_columns()),
+        T.LEARNERS_PIPELINE: (A.validated_learners, count_columns()),
+        T.ACTIVITY_PIPELINE: (A.validated_activity, count_columns()),
+    }
     return {
-        T.TOPICS_PIPELINE: TP.topic_run_counts(A.validated_topics(spark, sf)),
-        T.LEARNERS_PIPELINE: run_counts(A.validated_learners(spark, sf)),
-        T.ACTIVITY_PIPELINE: run_counts(A.validated_activity(spark, sf)),
+        name: counts_row(spark, store.freeze(name, "1", partial(validated, spark, sf), counts)[1])
+        for name, (validated, counts) in batches.items()
     }
 
 
@@ -780,17 +825,17 @@ def acceptance_report(spark, sf):
 
     store = _new_store(spark, sf, "learners", "enrollments")
     run = AC.process_validated_activity(acted, A.now())
-    store.append_once("learning_events", run.events, "acts")
-    store.append_once("processed_records", run.ledger, "acts")
+    store.append("learning_events", run.events, "acts")
+    store.append("processed_records", run.ledger, "acts")
     for batch, rows, moment in (("learners", valid, A.now()), ("corrected", bad, later())):
         entries = L.record_processed(
             rows, T.LEARNERS_PIPELINE, "source_record_id", F.lit("ok"), moment
         )
-        store.append_once("processed_records", entries, batch)
+        store.append("processed_records", entries, batch)
     rejects = to_rejects(
         rejected, T.LEARNERS_PIPELINE, "source_record_id", T.LEARNER_INBOX, A.now()
     )
-    store.append_once("rejected_records", rejects, "learners")
+    store.append("rejected_records", rejects, "learners")
     ledger = store.read("processed_records")
     corrected = ledger.filter(F.col("processed_at") > A.now())
     t = {
@@ -828,7 +873,7 @@ def _clock() -> datetime:
 
 def _new_store(spark: SparkSession, sf: str, *tables: str) -> Store:
     """A fresh store with the reference tables and the named tables loaded."""
-    store = Store(spark, shared_dir(spark, "store"), parts=8)
+    store = Store(spark, shared_dir(spark, "store"), buckets=8)
     available = {
         "exam_domains": lambda: A.domains(spark, sf),
         "learning_paths": lambda: A.paths(spark),
@@ -840,13 +885,18 @@ def _new_store(spark: SparkSession, sf: str, *tables: str) -> Store:
         "topic_progress": lambda: A.initial_progress(spark, sf),
     }
     for name in tables:
-        store.replace(name, available[name]())
+        store.load(name, available[name]())
     return store
 
 
 def _ordered_csv(df: DataFrame, cols: list[str], folder: str) -> str:
-    """An inbox whose files, taken in name order, keep the order of the row numbers."""
-    parts = df.repartitionByRange("source_row_number").sortWithinPartitions("source_row_number")
+    """An inbox whose files, taken in name order, keep the order of the row numbers.
+
+    Rows that name the same learner lie within 17 rows of each other and come in one file: between files, the order of
+    rows is not defined.
+    """
+    block = F.expr("source_row_number div 17")
+    parts = df.repartitionByRange(block).sortWithinPartitions("source_row_number")
     return _write_inbox(parts, cols, folder)
 
 
@@ -861,14 +911,10 @@ def stream_topics(spark, sf):
 
 
 def _learner_stream(spark, sf):
-    """The learner stream, some ids accepted before, over an inbox with one row a learner."""
+    """The learner stream over the whole inbox, learners that repeat included, some ids accepted before."""
     store = _new_store(spark, sf, "learning_paths", "path_topic_plan")
-    store.append_once("processed_records", A.learner_ledger(spark, sf), "earlier")
-    single = F.expr(
-        "if(employee_id like 'emp-%', concat('EMP-', source_row_number), employee_id)"
-    )
-    rows = A.learner_inbox(spark, sf).withColumn("employee_id", single)
-    inbox = _ordered_csv(rows, T.LEARNER_INBOX, f"{store.root}/inbox")
+    store.append("processed_records", A.learner_ledger(spark, sf), "earlier")
+    inbox = _ordered_csv(A.learner_inbox(spark, sf), T.LEARNER_INBOX, f"{store.root}/inbox")
 
     def run() -> None:
         jobs.run_learner_stream(
@@ -894,7 +940,7 @@ def stream_learners(spark, sf):
 
 def _activity_store(spark, sf):
     store = _new_store(spark, sf, "learners", "enrollments", "topic_progress")
-    store.append_once("processed_records", A.activity_ledger(spark, sf), "earlier")
+    store.append("processed_records", A.activity_ledger(spark, sf), "earlier")
     folder = f"{store.root}/inbox"
     return store, _ordered_csv(A.activity_inbox(spark, sf), T.ACTIVITY_INBOX, folder)
 
@@ -913,9 +959,9 @@ def stream_progress(spark, sf):
     store = _new_store(spark, sf, "topic_progress")
     events = A.learning_events(spark, sf).drop("batch_day")
     before = F.col("event_id").endswith("7")
-    store.append_once("learning_events", events.filter(before), "before-the-stream")
+    store.append("learning_events", events.filter(before), "before-the-stream")
     jobs.begin_progress_stream(store, f"{store.root}/checkpoint")
-    store.append_once("learning_events", events.filter(~before), "recorded-1")
+    store.append("learning_events", events.filter(~before), "recorded-1")
     for _ in range(2):
         jobs.run_progress_stream(
             spark, store, f"{store.root}/checkpoint", clock=_clock

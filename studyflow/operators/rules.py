@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ERROR = "validation_error"
@@ -60,10 +60,22 @@ def to_rejects(
     )
 
 
-def run_counts(batch: DataFrame, reason: str = ERROR) -> DataFrame:
-    """Received, accepted and rejected rows of one validated batch, in a single pass."""
-    return batch.agg(
+def count_columns(reason: str = ERROR) -> list[Column]:
+    """Received, accepted and rejected rows, for ``agg`` or ``observe``."""
+    return [
         F.count(F.lit(1)).alias("records_received"),
         F.count_if(F.col(reason).isNull()).alias("records_accepted"),
         F.count_if(F.col(reason).isNotNull()).alias("records_rejected"),
+    ]
+
+
+def run_counts(batch: DataFrame, reason: str = ERROR) -> DataFrame:
+    """Received, accepted and rejected rows of one validated batch, in a single pass."""
+    return batch.agg(*count_columns(reason))
+
+
+def counts_row(spark: SparkSession, counts: Mapping[str, int]) -> DataFrame:
+    """Counts that were observed while a batch was written, as one row."""
+    return spark.range(1).select(
+        *[F.lit(counts[c]).cast("bigint").alias(c) for c in ("records_received", "records_accepted", "records_rejected")]
     )

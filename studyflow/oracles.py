@@ -985,30 +985,6 @@ STATEMENTS: dict[str, str] = {
              LEFT JOIN progress g ON g.enrollment_id = l.enrollment_id
                                   AND g.topic_id = o.topic_id""",
     "stream_topics": TOPIC_TABLE,
-    "stream_learners": """
-        WITH again AS (
-            SELECT * REPLACE (CASE WHEN employee_id LIKE 'emp-%' THEN 'EMP-' || source_row_number
-                                   ELSE employee_id END AS employee_id),
-                   CASE WHEN row_error IS NOT NULL THEN row_error
-                        WHEN source_record_id IN (SELECT source_record_id FROM learner_batch
-                            WHERE source_record_id <> '' GROUP BY 1 HAVING count(*) > 1)
-                          THEN 'duplicate'
-                        WHEN source_record_id IN (SELECT source_record_id FROM learner_ledger)
-                          THEN 'processed' END AS reason
-            FROM learner_rules)
-        SELECT """ + f"""{_learner_id('employee_id')} AS learner_id,
-               {_enrollment_id('employee_id')} AS enrollment_id,
-               employee_id, learner_name, email, department_name,
-               years AS snowflake_experience_years, p.experience_level_code, p.path_id,
-               {REGISTERED} + CAST(7 * duration_weeks AS INT) AS target_completion_date,
-               {REGISTERED} + CAST(7 * duration_weeks + 7 AS INT) AS target_exam_date,
-               {REGISTERED} AS joined_date, TRUE AS active_flag, {NOW} AS created_at,
-               {NOW} AS updated_at, 'CERT_SNOWPRO_CORE' AS certification_id,
-               {REGISTERED} AS enrolled_date, 'ACTIVE' AS enrollment_status,
-               (SELECT count(*) FROM topics) AS assigned_topics
-        FROM again a JOIN paths p
-          ON p.experience_level_code = {LADDER.format(y='a.years')}
-        WHERE reason IS NULL""",
     "stream_activity": """
         SELECT activity_id AS event_id, enrollment_id, topic_id, event_type,
                CAST(activity_timestamp AS TIMESTAMP) AS event_timestamp,
@@ -1114,18 +1090,17 @@ STATEMENTS["stream_chain"] = _one_batch(
     + STATEMENTS["stream_activity"]
     + ")"
 )
+# Learners that repeat go through the stream as through the batch job: the last row wins.
+STATEMENTS["stream_learners"] = STATEMENTS["process_learners"]
 STATEMENTS["trigger_if_data"] = """
-    WITH again AS (
-        SELECT row_error IS NULL AND source_record_id NOT IN (
-                   SELECT source_record_id FROM learner_batch WHERE source_record_id <> ''
-                   GROUP BY 1 HAVING count(*) > 1)
-               AND source_record_id NOT IN (SELECT source_record_id FROM learner_ledger) AS ok
-        FROM learner_rules)
     SELECT 'LEARNER_INFORMATION' AS pipeline_name, 'SUCCESS' AS run_status,
-           count(*) AS records_received, count(*) FILTER (ok) AS records_accepted,
-           count(*) FILTER (NOT ok) AS records_rejected,
+           count(*) AS records_received,
+           count(*) FILTER (validation_error IS NULL) AS records_accepted,
+           count(*) FILTER (validation_error IS NOT NULL) AS records_rejected,
            'Learner-information processing completed.' AS run_message
-    FROM again"""
+    FROM learner_checked"""
+for view in ("learner_progress", "domain_progress", "weighted_progress"):
+    STATEMENTS[f"{view}_by_deltas"] = STATEMENTS[view]
 
 
 def _needed(sql: str) -> list[str]:

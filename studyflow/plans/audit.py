@@ -87,6 +87,37 @@ def rejected_records(rejects: DataFrame) -> DataFrame:
     return rejects.orderBy(F.desc("rejected_at"), "pipeline_name", "source_record_id")
 
 
+def resolutions(rejects: DataFrame, accepted: DataFrame, pipeline: str, now: Column) -> DataFrame:
+    """Rejects that are settled because their id has been accepted now (``accepted`` has the ids, one column).
+
+    Only rejects of the pipeline that are still open are settled.
+    """
+    ids = accepted.toDF("source_record_id").distinct()
+    return (
+        rejects.where((F.col("pipeline_name") == pipeline) & ~F.col("resolved_flag"))
+        .join(ids, "source_record_id", "left_semi")
+        .select(
+            "rejection_id", "source_record_id", "pipeline_name",
+            now.cast("timestamp_ntz").alias("resolved_at"),
+        )
+    )
+
+
+def with_resolutions(rejects: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Rejects as the table shows them: resolved at the first resolution appended for them."""
+    first = resolved.groupBy("rejection_id").agg(F.min("resolved_at").alias("_settled_at"))
+    return rejects.join(first, "rejection_id", "left").select(
+        *[
+            (F.col(c) | F.col("_settled_at").isNotNull()).alias(c)
+            if c == "resolved_flag"
+            else F.coalesce(c, "_settled_at").alias(c)
+            if c == "resolved_at"
+            else F.col(c)
+            for c in rejects.columns
+        ]
+    )
+
+
 def resolve_rejects(rejects: DataFrame, ledger: DataFrame) -> DataFrame:
     """Mark a reject resolved at the first acceptance of its id after the rejection.
 

@@ -9,6 +9,16 @@ from studyflow.functions.scalars import from_hundredths, hundredths, whole_div
 
 KEYS = ["enrollment_id", "topic_id"]
 
+#: A rollup of the events of one event batch, added by one run of the fold.
+ROLLUP_SCHEMA = """
+    event_batch string, enrollment_id string, topic_id string, minutes bigint, new_percent decimal(5,2),
+    first_activity_at timestamp_ntz, batch_last_at timestamp_ntz"""
+
+#: Sums of an enrollment's progress, by domain too: exact whole numbers (hundredths), from which every report follows.
+SUMS_SCHEMA = """
+    enrollment_id string, completed bigint, in_progress bigint, begun bigint, percent bigint, hours bigint,
+    by_domain map<string,struct<completed:bigint,percent:bigint,hours:bigint>>"""
+
 
 def _minutes() -> Column:
     return F.coalesce(F.col("duration_minutes"), F.lit(0)).cast("bigint")
@@ -23,7 +33,7 @@ def stored_hours(minutes: Column) -> Column:
     return whole_div(minutes * 10 + 3, F.lit(6).cast("bigint"))
 
 
-def rollup(events: DataFrame, *more_keys: str) -> DataFrame:
+def rollup(events: DataFrame, *more_keys: str | Column) -> DataFrame:
     """Minutes, highest percent, first and last time per (enrollment, topic) of a batch."""
     return events.groupBy(*KEYS, *more_keys).agg(
         F.sum(_minutes()).alias("minutes"),
@@ -99,16 +109,23 @@ def progress_fold(
     rollups per key; both steps combine on the map side, so a key with most of the events is small
     before it is shuffled.
     """
-    per_batch = rollup(events, batch_col)
+    return fold_rollups(rollup(events, batch_col), F.col(batch_col), initial)
+
+
+def fold_rollups(
+    per_batch: DataFrame, batch: Column, initial: DataFrame | None = None, run_at: Column | None = None
+) -> DataFrame:
+    """``progress_fold`` of rollups, one row per key and batch; with ``run_at``, also ``updated_at`` of the last run."""
     complete = F.col("new_percent") >= 100
     folded = per_batch.groupBy(*KEYS).agg(
         F.sum("minutes").alias("minutes"),
         F.sum(stored_hours(F.col("minutes"))).alias("hours"),
         F.max("new_percent").alias("new_percent"),
-        F.min_by("first_activity_at", batch_col).alias("first_at"),
-        F.min_by("batch_last_at", batch_col).alias("first_batch_last_at"),
-        F.max_by("batch_last_at", batch_col).alias("last_at"),
-        F.min_by("batch_last_at", F.when(complete, F.col(batch_col))).alias("reached_at"),
+        F.min_by("first_activity_at", batch).alias("first_at"),
+        F.min_by("batch_last_at", batch).alias("first_batch_last_at"),
+        F.max_by("batch_last_at", batch).alias("last_at"),
+        F.min_by("batch_last_at", F.when(complete, batch)).alias("reached_at"),
+        *([F.max(run_at).alias("run_at")] if run_at is not None else []),
     )
     if initial is None:
         percent = F.col("new_percent")
@@ -129,6 +146,7 @@ def progress_fold(
             for c in (
                 "progress_status", "completion_percent", "hours_spent",
                 "started_at", "completed_at", "last_activity_at",
+                *(["updated_at"] if run_at is not None else []),
             )
         ],
     )
@@ -147,8 +165,38 @@ def progress_fold(
             percent >= 100, F.coalesce(F.col("_t_completed_at"), reached)
         ).otherwise(F.col("_t_completed_at")),
         "last_activity_at": F.col("last_at"),
+        **({"updated_at": F.col("run_at")} if run_at is not None else {}),
     }
     return joined.select(
         *KEYS,
         *[F.when(F.col("_new"), v).otherwise(F.col(f"_t_{c}")).alias(c) for c, v in touched.items()],
     )
+
+
+def from_logs(assignments: DataFrame, rollups: DataFrame) -> DataFrame:
+    """Topic progress from its two logs: the first assignment of every (enrollment, topic), and all runs of the fold.
+
+    The rollups of an event batch count in the first run that added them, so a run that meets the batch again (because its
+    files were written again) has no effect. Everything is grouped by the key or more, so rollups are shuffled once.
+    """
+    order = F.struct("applied_at", "batch")
+    values = ["minutes", "new_percent", "first_activity_at", "batch_last_at"]
+    added = (
+        rollups.repartition(*KEYS)
+        .groupBy(*KEYS, "event_batch")
+        .agg(F.min_by(F.struct(*values, "applied_at", "batch"), order).alias("of_"))
+        .select(*KEYS, "of_.*")
+        .groupBy(*KEYS, "applied_at", "batch")
+        .agg(
+            F.sum("minutes").alias("minutes"),
+            F.max("new_percent").alias("new_percent"),
+            F.min("first_activity_at").alias("first_activity_at"),
+            F.max("batch_last_at").alias("batch_last_at"),
+        )
+    )
+    columns = [c for c in assignments.columns if c not in ("applied_at", "batch", "bucket")]
+    kept = [c for c in columns if c not in KEYS]
+    assigned = (
+        assignments.groupBy(*KEYS).agg(F.min_by(F.struct(*kept), order).alias("of_")).select(*KEYS, "of_.*")
+    )
+    return fold_rollups(added, order, assigned, F.col("applied_at")).select(*columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from studyflow import tables as T
 from studyflow.functions.scalars import try_decimal
 from studyflow.operators.keyed import latest_by, upsert
-from studyflow.operators.rules import ERROR, first_failure, split, to_rejects
+from studyflow.operators.rules import ERROR, count_columns, first_failure, split, to_rejects
 
 # Accepted id patterns, difficulty levels and rejection reasons.
 TOPIC_ID_PATTERN = r"\AD[0-9]{2}_T[0-9]{2}\z"
@@ -101,15 +101,18 @@ class TopicRun:
     counts: DataFrame
 
 
+def topic_count_columns() -> list[Column]:
+    """Counts of a topic run; accepted counts merged topics, so repeats of a topic count once.
+
+    Ids of valid topics follow a pattern of ten thousand values, so the set of them is bounded.
+    """
+    received, _, rejected = count_columns()
+    merged = F.size(F.collect_set(F.when(F.col(ERROR).isNull(), F.col("topic_id"))))
+    return [received, merged.cast("bigint").alias("records_accepted"), rejected]
+
+
 def topic_run_counts(validated: DataFrame) -> DataFrame:
-    """Counts of a topic run; accepted counts merged topics, so repeats of a topic count once."""
-    return validated.agg(
-        F.count(F.lit(1)).alias("records_received"),
-        F.count_distinct(F.when(F.col(ERROR).isNull(), F.col("topic_id"))).alias(
-            "records_accepted"
-        ),
-        F.count_if(F.col(ERROR).isNotNull()).alias("records_rejected"),
-    )
+    return validated.agg(*topic_count_columns())
 
 
 def process_validated_topics(validated: DataFrame, topics: DataFrame, now: Column) -> TopicRun:

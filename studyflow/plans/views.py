@@ -190,6 +190,10 @@ def domain_progress(
     """One row per enrollment and domain of its path."""
     placed_plan = plan_domains(plan, topics, domains)
     base = progress_base(enrollments, placed_plan, progress)
+    return domain_progress_from(base, placed_plan, domains)
+
+
+def domain_progress_from(base: DataFrame, placed_plan: DataFrame, domains: DataFrame) -> DataFrame:
     topics_n = F.col("total_domain_topics")
     return base.join(F.broadcast(path_domains(placed_plan, domains)), "path_id").select(
         "enrollment_id", "learner_id", "path_id",

@@ -1,281 +1,248 @@
-"""Durable tables for the pipelines: Parquet snapshots replaced part by part, and batch appends.
+"""The pipelines' tables as append-only Parquet logs, written and read by plain Spark.
 
-A keyed table is split into a fixed number of parts by a hash of its leading key. A merge reads and
-rewrites only the parts its batch touches, into folders of its own, and then publishes a small
-manifest naming the current folder of every part. A manifest is created, never overwritten: of two
-merges that began from the same one, the second to publish finds the version taken and starts over
-from the new content. The manifest also records the last batch applied by each pipeline, so a
-repeated batch changes nothing. An append table holds one folder per batch, written
-aside and renamed into place once complete; a repeated batch finds its folder and is skipped.
+A log is a Parquet table partitioned by ``batch``; large ones also by ``bucket``, a hash of the column their readers look
+things up by. A batch writes its rows with ``partitionOverwriteMode=dynamic``, so that writing it again replaces it and has
+no further effect. Nothing is merged or rewritten. What other systems keep by merging is derived on reading, in one
+grouping that combines on the map side: the newest values of changeable columns, the first values of the others.
+Topic progress is derived from two logs, what was assigned and what each fold of events added.
 
-``parts`` bounds how much a small batch has to rewrite (table size / parts per touched part); choose
-it with the expected size of the largest table, thousands at the 100 TB scale.
+Every row carries the time its batch was applied. Batches of one table take effect in the order of that time, then of
+their name.
 
-All paths go through the Hadoop file system API, so the root may be any shared storage with an
-atomic rename.
+Logs of ids have a Bloom filter per batch, written beside them as a small table (``filters``). A batch that looks up its
+ids opens only the buckets of only those earlier batches whose filter may hold one of them; fresh ids open no file of the
+log.
 """
 
 from __future__ import annotations
 
-import json
-import os
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from studyflow import tables as T
+from studyflow.plans import progress
+from studyflow.sources.filters import filter_words, id_mask, id_word
 from studyflow.sources.reference import empty_table
 
-# table -> (schema, leading key used to split it into parts)
-KEYED = {
-    "study_topics": (T.TOPIC_SCHEMA, "topic_id"),
-    "learning_paths": (T.PATH_SCHEMA, "path_id"),
-    "exam_domains": (T.DOMAIN_SCHEMA, "domain_id"),
-    "path_topic_plan": (T.PLAN_SCHEMA, "path_id"),
-    "learners": (T.LEARNER_SCHEMA, "learner_id"),
-    "enrollments": (T.ENROLLMENT_SCHEMA, "enrollment_id"),
-    "topic_progress": (T.PROGRESS_SCHEMA, "enrollment_id"),
-}
-APPENDED = {
-    "learning_events": T.EVENT_SCHEMA,
-    "rejected_records": T.REJECT_SCHEMA,
-    "processed_records": T.LEDGER_SCHEMA,
-    "pipeline_run_log": T.RUN_LOG_SCHEMA,
-    "assessment_results": T.ASSESSMENT_SCHEMA,
-}
-# Small by their keys (see plans.topics): one part each.
-# Append tables split by a hash of their id, so that a batch can look up its ids in few parts.
-BY_ID = {"learning_events": "event_id", "processed_records": "source_record_id"}
-ONE_PART = {"study_topics", "learning_paths", "exam_domains", "path_topic_plan"}
-
-
-# How often a merge starts over when others publish before it.
-ATTEMPTS = 20
-
-
-class LostRace(RuntimeError):
-    """Another writer published first."""
+
+@dataclass(frozen=True)
+class Log:
+    schema: str
+    #: Column whose hash is the bucket; none for tables that are small by their keys.
+    bucket: str | None = None
+    #: Key of the derived table, if it is derived by key; ``first`` are the columns that keep their first value.
+    keys: tuple[str, ...] = ()
+    first: tuple[str, ...] = ()
+    #: Id column with a Bloom filter per batch.
+    ids: str | None = None
+
+
+LOGS = {
+    "study_topics": Log(T.TOPIC_SCHEMA, keys=("topic_id",), first=("created_at",)),
+    "learning_paths": Log(T.PATH_SCHEMA, keys=("path_id",)),
+    "exam_domains": Log(T.DOMAIN_SCHEMA, keys=("domain_id",)),
+    "path_topic_plan": Log(T.PLAN_SCHEMA, keys=("path_id", "topic_id"), first=("created_at",)),
+    "learners": Log(
+        T.LEARNER_SCHEMA, "learner_id", ("learner_id",), ("employee_id", "joined_date", "created_at")
+    ),
+    "enrollments": Log(
+        T.ENROLLMENT_SCHEMA, "learner_id", ("enrollment_id",),
+        ("learner_id", "certification_id", "enrolled_date", "enrollment_status", "created_at"),
+    ),
+    "topic_assignments": Log(T.PROGRESS_SCHEMA, "enrollment_id"),
+    "progress_rollups": Log(progress.ROLLUP_SCHEMA, "enrollment_id"),
+    "progress_sums": Log(progress.SUMS_SCHEMA, "enrollment_id", ("enrollment_id",)),
+    "learning_events": Log(T.EVENT_SCHEMA, "event_id", ids="event_id"),
+    "processed_records": Log(T.LEDGER_SCHEMA, "source_record_id", ids="source_record_id"),
+    "rejected_records": Log(T.REJECT_SCHEMA, "source_record_id", ids="source_record_id"),
+    "reject_resolutions": Log(T.RESOLUTION_SCHEMA, "source_record_id"),
+    "summed_batches": Log("log string, of_batch string"),
+    "pipeline_run_log": Log(T.RUN_LOG_SCHEMA),
+    "assessment_results": Log(T.ASSESSMENT_SCHEMA),
+}
+APPLIED = "applied_at"
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, parts: int = 64):
-        self.spark, self.root, self.parts = spark, root.rstrip("/"), parts
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    # --- files ------------------------------------------------------------------------------------
-
-    def exists(self, path: str) -> bool:
+    def _exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
 
-    def _names(self, path: str) -> list[str]:
-        if not self.exists(path):
+    def batches(self, name: str) -> list[str]:
+        """Names of the batches of a log."""
+        folder = f"{self.root}/{name}"
+        if not self._exists(folder):
             return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(path)))
+        names = (s.getPath().getName() for s in self._fs.listStatus(self._path(folder)))
+        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch="))
 
-    def ensure_folder(self, name: str) -> None:
+    def ensure_log(self, name: str) -> None:
+        """A folder that a stream can watch before anything was written."""
         self._fs.mkdirs(self._path(f"{self.root}/{name}"))
 
-    def _rename(self, source: str, target: str) -> None:
-        """Move a complete folder to its place; raises if something is there or the move fails."""
-        self._fs.mkdirs(self._path(target).getParent())
-        if self.exists(target):
-            raise LostRace(f"{target} is there already")
-        if not self._fs.rename(self._path(source), self._path(target)):
-            raise LostRace(f"could not publish {target}")
-
-    def _read_text(self, path: str) -> str:
-        stream = self._fs.open(self._path(path))
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def _create_text(self, path: str, text: str) -> None:
-        """Create a file that must not be there; the file system decides between two writers."""
-        try:
-            stream = self._fs.create(self._path(path), False)
-        except Py4JJavaError as error:
-            if self.exists(path):
-                raise LostRace(f"{path} is there already") from error
-            raise
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-
-    # --- keyed tables -----------------------------------------------------------------------------
-
-    def _manifest(self, name: str) -> dict:
-        folder = f"{self.root}/{name}/_manifest"
-        published = [n for n in self._names(folder) if n.endswith(".json")]
-        if not published:
-            return {"version": 0, "parts": {}, "applied": {}}
-        return json.loads(self._read_text(f"{folder}/{published[-1]}"))
-
-    def applied(self, name: str, pipeline: str) -> str | None:
-        """Last batch of ``pipeline`` contained in the table."""
-        return self._manifest(name)["applied"].get(pipeline)
-
-    def _n_parts(self, name: str) -> int:
-        return 1 if name in ONE_PART else self.parts
+    # --- writing ----------------------------------------------------------------------------------
+
+    def bucket_of(self, key: str | Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def append(self, name: str, rows: DataFrame, batch: str | Column, at: Column | None = None) -> None:
+        """Write a batch, or one per value of a column; writing it again replaces it. ``at``: when it takes effect
+        (the epoch for initial loads)."""
+        log = LOGS[name]
+        when = F.lit("1970-01-01 00:00:00") if at is None else at
+        label = F.lit(batch) if isinstance(batch, str) else batch
+        shaped = rows.select(
+            *[F.col(f.name).cast(f.dataType).alias(f.name) for f in self._columns(log)],
+            when.cast("timestamp_ntz").alias(APPLIED),
+            label.alias("batch"),
+            *([self.bucket_of(log.bucket).alias("bucket")] if log.bucket else []),
+        )
+        self._write(shaped, f"{self.root}/{name}", bool(log.bucket))
+        if log.ids:
+            words = filter_words(shaped.select("batch", "bucket", log.ids), log.ids)
+            self._write(words, f"{self.root}/filters/{name}", True)
 
     @staticmethod
-    def part_by(key: str, parts: int) -> Column:
-        return F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("int")
-
-    def part_of(self, name: str) -> Column:
-        return self.part_by(KEYED[name][1], self._n_parts(name))
-
-    def _load(self, name: str, manifest: dict, parts: Sequence[str] | None = None) -> DataFrame:
-        schema = KEYED[name][0]
-        chosen = manifest["parts"] if parts is None else parts
-        folders = [
-            f"{self.root}/{name}/{manifest['parts'][p]}/part={p}"
-            for p in chosen
-            if p in manifest["parts"]
-        ]
-        if not folders:
-            return empty_table(self.spark, schema)
-        return self.spark.read.schema(schema).parquet(*folders)
-
-    def read(self, name: str) -> DataFrame:
-        """Current content of a table, empty if nothing was written yet."""
-        if name in KEYED:
-            return self._load(name, self._manifest(name))
-        rows = self._append_rows(name)
-        return rows.drop("part") if name in BY_ID else rows
+    def _write(rows: DataFrame, path: str, bucketed: bool) -> None:
+        parts = ["batch", "bucket"] if bucketed else ["batch"]
+        # Even file sizes whatever the size of a bucket: AQE splits large and joins small ones.
+        rows.hint("rebalance", *[F.col(p) for p in parts]).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy(*parts).parquet(path)
+
+    def load(self, name: str, rows: DataFrame) -> None:
+        """Initial content of a table."""
+        if name == "topic_progress":
+            self.append("topic_assignments", rows, "load")
+        else:
+            self.append(name, rows, "load")
 
-    def merge(
+    def freeze(
         self,
-        name: str,
-        touching: DataFrame,
-        change: Callable[[DataFrame], DataFrame],
-        pipeline: str,
+        purpose: str,
         batch: str,
-    ) -> None:
-        """Replace the parts that hold keys of ``touching`` by ``change`` of their content.
+        build: Callable[[], DataFrame],
+        counts: Sequence[Column] = (),
+    ) -> tuple[DataFrame, dict[str, int]]:
+        """The rows of a batch, written once so that every later step, and any repeat, sees the same rows.
 
-        ``change`` may only alter or add rows whose leading key occurs in ``touching``. It is applied
-        again to the new content when another merge publishes first.
+        ``counts`` are taken while the rows are written, by an observation, without a job of their own.
         """
-        for _ in range(ATTEMPTS):
-            try:
-                self._merge(name, touching, change, pipeline, batch)
-                return
-            except LostRace:
-                continue
-        raise LostRace(f"{name}: others published first, {ATTEMPTS} times")
-
-    def _merge(
-        self,
-        name: str,
-        touching: DataFrame,
-        change: Callable[[DataFrame], DataFrame],
-        pipeline: str,
-        batch: str,
-    ) -> None:
-        manifest = self._manifest(name)
-        if manifest["applied"].get(pipeline) == batch:
-            return
-        part = self.part_of(name).alias("part")
-        # At most ``parts`` small integers come back.
-        touched = sorted(str(r["part"]) for r in touching.select(part).distinct().collect())
-        version = manifest["version"] + 1
-        if touched:
-            folder = f"v{version:09d}-{os.urandom(6).hex()}"
-            changed = change(self._load(name, manifest, touched)).withColumn("part", part)
-            (
-                # Even file sizes whatever the size of a part: AQE splits large and joins small ones.
-                changed.hint("rebalance", F.col("part"))
-                .write.partitionBy("part")
-                .parquet(f"{self.root}/{name}/{folder}")
-            )
-            for p in touched:
-                if self.exists(f"{self.root}/{name}/{folder}/part={p}"):
-                    manifest["parts"][p] = folder
-        manifest["version"] = version
-        manifest["applied"][pipeline] = batch
-        self._create_text(
-            f"{self.root}/{name}/_manifest/{version:09d}.json", json.dumps(manifest)
+        path = f"{self.root}/frozen/{purpose}/batch={batch}"
+        seen: dict[str, int] | None = None
+        if not self._exists(f"{path}/_SUCCESS"):
+            rows = build()
+            watch = Observation() if counts else None
+            (rows.observe(watch, *counts) if watch else rows).write.mode("overwrite").parquet(path)
+            seen = watch.get if watch else {}
+        frozen = self.spark.read.parquet(path)
+        if seen is None:
+            seen = frozen.agg(*counts).first().asDict() if counts else {}
+        return frozen, seen
+
+    def release(self, purpose: str, batch: str) -> None:
+        """Forget the frozen rows of a finished batch."""
+        self._fs.delete(self._path(f"{self.root}/frozen/{purpose}/batch={batch}"), True)
+
+    # --- reading ----------------------------------------------------------------------------------
+
+    @staticmethod
+    def _columns(log: Log):
+        from pyspark.sql import types
+
+        return types._parse_datatype_string(log.schema).fields
+
+    def _read(
+        self, name: str, batches: Sequence[str] | None = None, buckets: Sequence[int] | None = None
+    ) -> DataFrame:
+        """Rows of a log with ``applied_at``, ``batch`` and, where there is one, ``bucket``; partitions are pruned."""
+        log = LOGS[name]
+        schema = f"{log.schema}, {APPLIED} timestamp_ntz, batch string" + (", bucket int" if log.bucket else "")
+        if not self.batches(name) or batches == [] or buckets == []:
+            return empty_table(self.spark, schema)
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        if batches is not None:
+            rows = rows.where(F.col("batch").isin(list(batches)))
+        if buckets is not None:
+            rows = rows.where(F.col("bucket").isin(list(buckets)))
+        return rows
+
+    def _derive(self, name: str, rows: DataFrame) -> DataFrame:
+        log = LOGS[name]
+        columns = [f.name for f in self._columns(log)]
+        if not log.keys:
+            return rows.select(*columns)
+        order = F.struct(APPLIED, "batch")
+        newest = [c for c in columns if c not in log.keys and c not in log.first]
+        folded = rows.groupBy(*log.keys).agg(
+            F.max_by(F.struct(*newest), order).alias("newest_"),
+            *([F.min_by(F.struct(*log.first), order).alias("first_")] if log.first else []),
         )
+        place = {c: f"newest_.{c}" for c in newest} | {c: f"first_.{c}" for c in log.first}
+        return folded.select(*[F.col(place.get(c, c)).alias(c) for c in columns])
 
-    def replace(self, name: str, df: DataFrame, pipeline: str = "load", batch: str = "0") -> None:
-        """Merge ``df`` as the whole content of the parts it touches (initial loads)."""
-        self.merge(name, df, lambda _: df, pipeline, batch)
+    def read(self, name: str) -> DataFrame:
+        """Current content of a table."""
+        return self._content(name, None)
 
-    def expire(self, name: str, keep: int = 3) -> None:
-        """Delete folders that none of the last ``keep`` manifests refers to.
+    def _content(self, name: str, buckets: Sequence[int] | None) -> DataFrame:
+        if name == "topic_progress":
+            return progress.from_logs(
+                self._read("topic_assignments", buckets=buckets), self._read("progress_rollups", buckets=buckets)
+            )
+        rows = self._derive(name, self._read(name, buckets=buckets))
+        if name == "rejected_records":
+            from studyflow.plans.audit import with_resolutions
 
-        Folders newer than the oldest manifest kept are spared: a running merge may be about to
-        publish them. Run it when no reader uses an older snapshot.
-        """
-        folder = f"{self.root}/{name}/_manifest"
-        published = [n for n in self._names(folder) if n.endswith(".json")]
-        used: set[str] = set()
-        for file in published[-keep:]:
-            parts = json.loads(self._read_text(f"{folder}/{file}"))["parts"]
-            used |= {f"{version}/part={p}" for p, version in parts.items()}
-        for version in self._names(f"{self.root}/{name}"):
-            if version.startswith("_") or (published and version[1:10] > published[-keep:][0][:9]):
-                continue
-            held = [n for n in self._names(f"{self.root}/{name}/{version}") if n.startswith("part=")]
-            for part in held:
-                if f"{version}/{part}" not in used:
-                    self._fs.delete(self._path(f"{self.root}/{name}/{version}/{part}"), True)
-        for file in published[:-keep]:
-            self._fs.delete(self._path(f"{folder}/{file}"), False)
-
-    # --- append tables ----------------------------------------------------------------------------
-
-    def append_once(self, name: str, df: DataFrame, batch: str) -> None:
-        """Add a batch; does nothing if that batch is already there."""
-        target = f"{self.root}/{name}/batch={batch}"
-        if self.exists(target):
-            return
-        aside = f"{self.root}/_aside/{name}/batch={batch}"
-        if name in BY_ID:
-            split = df.withColumn("part", self.part_by(BY_ID[name], self.parts))
-            split.hint("rebalance", F.col("part")).write.mode("overwrite").partitionBy("part").parquet(aside)
-        else:
-            df.write.mode("overwrite").parquet(aside)
-        self._rename(aside, target)
+            return with_resolutions(rows, self._read("reject_resolutions", buckets=buckets))
+        return rows
 
-    def read_touched(self, name: str, keys: DataFrame) -> DataFrame:
-        """The parts of a table that may hold the ``keys`` (one column), in full.
+    def read_batches(self, name: str, batches: Sequence[str]) -> DataFrame:
+        """Rows of the given batches, with their ``batch``."""
+        columns = [f.name for f in self._columns(LOGS[name])]
+        return self._read(name, batches).select(*columns, "batch")
 
-        At most ``parts`` small integers come to the driver.
-        """
+    def touched(self, keys: DataFrame) -> list[int]:
+        """Buckets of a column of keys; at most ``buckets`` small integers come to the driver."""
         (key,) = keys.columns
-        parts = self.parts if name in BY_ID else self._n_parts(name)
-        found = keys.select(self.part_by(key, parts).alias("part")).distinct().collect()
-        touched = sorted(r["part"] for r in found)
-        if name in KEYED:
-            return self._load(name, self._manifest(name), [str(p) for p in touched])
-        return self._append_rows(name).filter(F.col("part").isin(touched)).drop("part")
-
-    def _append_rows(self, name: str) -> DataFrame:
-        schema = APPENDED[name] + (", part int" if name in BY_ID else "")
+        return sorted(r[0] for r in keys.select(self.bucket_of(key)).distinct().collect())
+
+    def in_buckets(self, name: str, buckets: Sequence[int]) -> DataFrame:
+        """The content of the given buckets."""
+        return self._content(name, buckets)
+
+    def read_touched(self, name: str, keys: DataFrame) -> DataFrame:
+        """The content of the buckets that may hold ``keys`` (one column)."""
+        return self._content(name, self.touched(keys))
+
+    def may_hold(self, name: str, ids: DataFrame) -> list[tuple[str, int]]:
+        """(batch, bucket) pairs of an id log whose filter may hold one of ``ids`` (one column); others hold none."""
+        (key,) = ids.columns
+        if not self._exists(f"{self.root}/filters/{name}"):
+            return []
+        asked = ids.where(F.col(key).isNotNull()).select(
+            self.bucket_of(key).alias("bucket"), id_word(key).alias("word_at"), id_mask(key).alias("mask")
+        ).distinct()
+        words = self.spark.read.schema("word_at int, word bigint, batch string, bucket int").parquet(
+            f"{self.root}/filters/{name}"
+        ).where(F.col("bucket").isin(self.touched(ids)))
+        hit = asked.join(words, ["bucket", "word_at"]).where(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask"))
+        return sorted((r[0], r[1]) for r in hit.select("batch", "bucket").distinct().collect())
+
+    def read_known(self, name: str, ids: DataFrame, but: str | None = None) -> DataFrame:
+        """Rows of an id log that may have one of ``ids``: all that do, few others. Rows of batch ``but`` are left out."""
+        columns = [f.name for f in self._columns(LOGS[name])]
+        held = [pair for pair in self.may_hold(name, ids) if pair[0] != but]
+        if not held:
+            return empty_table(self.spark, LOGS[name].schema)
         folder = f"{self.root}/{name}"
-        if not any(n.startswith("batch=") for n in self._names(folder)):
-            return empty_table(self.spark, schema)
-        return self.spark.read.schema(schema).option("basePath", folder).parquet(f"{folder}/batch=*").drop("batch")
-
-    def event_files(self, name: str) -> list[str]:
-        """Batch folders of an append table, by name."""
-        return [n for n in self._names(f"{self.root}/{name}") if n.startswith("batch=")]
-
-    def stage_once(self, pipeline: str, df: Callable[[], DataFrame], batch: str) -> DataFrame:
-        """Freeze a validated batch so that every later step, and any repeat, sees the same rows."""
-        target = f"{self.root}/_staging/{pipeline}/batch={batch}"
-        if not self.exists(target):
-            aside = f"{self.root}/_aside/{pipeline}/batch={batch}"
-            df().write.mode("overwrite").parquet(aside)
-            self._rename(aside, target)
-        return self.spark.read.parquet(target)
-
-    def drop_staged(self, pipeline: str, batch: str) -> None:
-        """Forget the frozen rows of a finished batch."""
-        self._fs.delete(self._path(f"{self.root}/_staging/{pipeline}/batch={batch}"), True)
+        opened = [f"{folder}/batch={b}/bucket={k}" for b, k in held]
+        rows = self.spark.read.schema(f"{LOGS[name].schema}, batch string, bucket int").option("basePath", folder)
+        return rows.parquet(*opened).select(*columns)

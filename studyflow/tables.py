@@ -190,6 +190,9 @@ REJECT_SCHEMA = """
     rejection_reason string, rejected_at timestamp_ntz, resolved_flag boolean,
     resolved_at timestamp_ntz"""
 
+RESOLUTION_SCHEMA = """
+    rejection_id string, source_record_id string, pipeline_name string, resolved_at timestamp_ntz"""
+
 LEDGER_SCHEMA = """
     pipeline_name string, source_record_id string, processed_at timestamp_ntz,
     processing_result string"""

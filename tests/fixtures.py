@@ -77,15 +77,15 @@ def topic_table(spark):
 
 def seeded_store(spark, root: str) -> Store:
     """Domains, paths, topics and plan in place; nobody registered."""
-    store = Store(spark, root, parts=4)
-    store.replace("exam_domains", reference.domains(spark))
-    store.replace("learning_paths", reference.paths(spark))
-    store.replace("study_topics", topic_table(spark))
+    store = Store(spark, root, buckets=4)
+    store.load("exam_domains", reference.domains(spark))
+    store.load("learning_paths", reference.paths(spark))
+    store.load("study_topics", topic_table(spark))
     plan = schedule.build_schedule(topic_table(spark), reference.paths(spark))
     target = reference.empty_table(spark, T.PLAN_SCHEMA)
     from pyspark.sql import functions as F
 
-    store.replace(
+    store.load(
         "path_topic_plan",
         schedule.upsert_plan(target, plan, F.lit("2026-09-24 12:00:00").cast("timestamp_ntz")),
     )

@@ -1,7 +1,8 @@
-"""Two writers, repairs, and batches that read only what they touch."""
+"""Append-only logs: repeats, filters, derived tables, concurrent queries, and batches that read only what they touch."""
 
-import glob
 import os
+import random
+import time
 from datetime import timedelta
 
 import fixtures as FX
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 from test_streams import Demo
 
 from studyflow import tables as T
-from studyflow.sources.store import LostRace
 from studyflow.streaming import jobs
 
 
@@ -25,42 +25,47 @@ def progress_rows(spark, first, last):
     )
 
 
-def test_a_merge_inside_another_loses_nothing(spark, folder):
+def test_a_batch_written_again_replaces_itself(spark, folder):
     store = seeded_store(spark, f"{folder}/store")
-    store.replace("topic_progress", progress_rows(spark, 0, 100))
-    one, other = progress_rows(spark, 100, 200), progress_rows(spark, 200, 300)
-    calls = []
+    store.append("topic_assignments", progress_rows(spark, 0, 100), "b1")
+    store.append("topic_assignments", progress_rows(spark, 50, 120), "b2")
+    for _ in range(2):
+        store.append("topic_assignments", progress_rows(spark, 0, 100), "b1")
+    assert store._read("topic_assignments").count() == 170
+    assert store.read("topic_progress").count() == 120
+    assert store.batches("topic_assignments") == ["b1", "b2"]
+
 
-    def first(current):
-        if not calls:
-            store.merge("topic_progress", other, lambda t: t.unionByName(other), "second", "b1")
-        calls.append(1)
-        return current.unionByName(one)
+def test_newest_and_first_values(spark, folder):
+    store = seeded_store(spark, f"{folder}/store")
+    row = "'l1' as learner_id, '{e}' as employee_id, '{n}' as learner_name, null as email, null as department_name, " \
+        "null as snowflake_experience_years, null as experience_level_code, null as joined_date, true as active_flag, " \
+        "timestamp_ntz'{t}' as created_at, timestamp_ntz'{t}' as updated_at"
+    for batch, e, n, t in (("b", "E1", "old", "2024-01-01"), ("c", "e1", "new", "2024-01-03"), ("a", "x1", "middle", "2024-01-02")):
+        rows = spark.range(1).selectExpr(*row.format(e=e, n=n, t=t).split(", "))
+        store.append("learners", rows, batch, F.lit(t).cast("timestamp_ntz"))
+    one = store.read("learners").first()
+    assert (one.employee_id, one.learner_name) == ("E1", "new")
+    assert (str(one.created_at)[:10], str(one.updated_at)[:10]) == ("2024-01-01", "2024-01-03")
 
-    store.merge("topic_progress", one, first, "first", "b1")
-    assert len(calls) == 2
-    assert store.read("topic_progress").select("enrollment_id").distinct().count() == 300
-    assert store.read("topic_progress").count() == 300
-    assert store.applied("topic_progress", "first") == store.applied("topic_progress", "second") == "b1"
 
+def test_counts_are_observed_while_a_batch_is_frozen(spark, folder):
+    from studyflow.operators.rules import count_columns
 
-def test_what_is_published_is_never_overwritten(spark, folder):
     store = seeded_store(spark, f"{folder}/store")
-    store._create_text(f"{folder}/store/x", "one")
-    with pytest.raises(LostRace):
-        store._create_text(f"{folder}/store/x", "two")
-    assert store._read_text(f"{folder}/store/x") == "one"
-    with pytest.raises(LostRace):
-        store._rename(f"{folder}/store/x", f"{folder}/store/study_topics")
+    built = []
 
+    def build():
+        built.append(1)
+        return spark.range(90).selectExpr("id", "if(id % 3 = 0, 'bad', null) as validation_error")
 
-def test_expire_spares_what_is_not_published_yet(spark, folder):
-    store = seeded_store(spark, f"{folder}/store")
-    store.replace("topic_progress", progress_rows(spark, 0, 50))
-    pending = f"{folder}/store/topic_progress/v000000009-abc/part=0"
-    os.makedirs(pending)
-    store.expire("topic_progress", keep=1)
-    assert os.path.isdir(pending)
+    rows, counts = store.freeze("x", "b1", build, count_columns())
+    assert counts == {"records_received": 90, "records_accepted": 60, "records_rejected": 30}
+    again, repeated = store.freeze("x", "b1", build, count_columns())
+    assert built == [1] and repeated == counts and again.count() == rows.count() == 90
+    store.release("x", "b1")
+    store.freeze("x", "b1", build, count_columns())
+    assert built == [1, 1]
 
 
 def test_a_repaired_file_is_accepted_once(spark, folder):
@@ -102,34 +107,153 @@ def test_a_new_checkpoint_counts_no_hour_again(spark, folder):
 
 
 def opened(df):
-    """Folders that the plan of ``df`` reads."""
-    return {os.path.dirname(f.removeprefix("file://").removeprefix("file:")) for f in df.inputFiles()}
+    """Partition folders that rows of ``df`` are read from."""
+    files = df.select(F.input_file_name().alias("f")).distinct().collect()
+    return {os.path.dirname(r.f).split("/store/")[1] for r in files}
 
 
-def test_a_small_batch_opens_few_parts(spark, folder):
-    store = seeded_store(spark, f"{folder}/store")
-    store.parts = 16
-    ledger = spark.range(2000).select(
+def ledger(spark, first, last, step=1):
+    return spark.range(first, last, step).select(
         F.lit(T.ACTIVITY_PIPELINE).alias("pipeline_name"),
         F.concat(F.lit("A"), "id").alias("source_record_id"),
         F.lit(FX.CLOCK).cast("timestamp_ntz").alias("processed_at"),
         F.lit("x").alias("processing_result"),
     )
-    store.append_once("processed_records", ledger, "b1")
-    keys = spark.createDataFrame([("A7",), ("A9",)], "activity_id string")
-    touched = store.read_touched("processed_records", keys)
-    ids = {r.source_record_id for r in touched.collect()}
-    assert {"A7", "A9"} <= ids and len(ids) < 600
-    assert store.read("processed_records").count() == 2000
-    scan = touched._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in scan and "part#" in scan.split("PartitionFilters: [")[1][:60]
-    store.replace("topic_progress", progress_rows(spark, 0, 500))
-    some = store.read_touched("topic_progress", progress_rows(spark, 3, 4).select("enrollment_id"))
+
+
+def ids_of(spark, *ids):
+    return spark.createDataFrame([(i,) for i in ids], "activity_id string")
+
+
+def test_fresh_ids_open_no_file_of_the_ledger(spark, folder):
+    store = seeded_store(spark, f"{folder}/store")
+    for k in range(4):
+        store.append("processed_records", ledger(spark, 1000 * k, 1000 * k + 1000), f"b{k}")
+    assert opened(store.read_known("processed_records", ids_of(spark, "N1", "N2"))) == set()
+    held = store.read_known("processed_records", ids_of(spark, "A7", "A9", "N1", None))
+    assert {"batch=b0"} == {f.split("/")[1] for f in opened(held)}
+    assert {"A7", "A9"} <= {r.source_record_id for r in held.collect()}
+    # Every id is found again, and a batch can be left out.
+    everyone = ledger(spark, 0, 4000).select("source_record_id")
+    assert store.read_known("processed_records", everyone).count() == 4000
+    assert store.read_known("processed_records", everyone, but="b2").count() == 3000
+    assert store.read_known("learning_events", everyone).count() == 0
+
+
+def test_false_positives_of_a_full_filter(spark, monkeypatch):
+    """At four ids a word, one id in fifty at most seems to be there; every id that is there is found."""
+    from studyflow.sources import filters
+
+    monkeypatch.setattr(filters, "WORDS", 2500)
+    inside = spark.range(10000).selectExpr("concat('A', id) as k", "'b' as batch", "0 as bucket")
+    words = filters.filter_words(inside, "k").cache()
+    assert words.count() <= 2500
+
+    def found(prefix):
+        asked = spark.range(10000).selectExpr(f"concat('{prefix}', id) as k").select(
+            filters.id_word("k").alias("word_at"), filters.id_mask("k").alias("mask")
+        )
+        return asked.join(words, "word_at").where(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask")).count()
+
+    assert found("A") == 10000
+    assert found("N") < 200
+
+
+def test_a_small_batch_opens_few_buckets(spark, folder):
+    store = seeded_store(spark, f"{folder}/store")
+    store.buckets = 16
+    store.append("topic_assignments", progress_rows(spark, 0, 500), "b1")
+    some = store.read_touched("topic_assignments", progress_rows(spark, 3, 4).select("enrollment_id"))
     assert len(opened(some)) == 1 and some.filter("enrollment_id = 'e3'").count() == 1
+    scan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in scan and "bucket#" in scan.split("PartitionFilters: [")[1][:80]
+
+
+def test_the_progress_stream_only_appends(spark, folder, monkeypatch):
+    """Its handler reads event batches and nothing else; an event batch written again counts once."""
+    demo = Demo(spark, folder)
+    demo.learners("learners", FX.LEARNERS)
+    demo.activity("progress", FX.ACTIVITY)
+    store, read = demo.store, []
+    real = store._read
+
+    def watched(name, *args, **kwargs):
+        read.append(name)
+        return real(name, *args, **kwargs)
+
+    monkeypatch.setattr(store, "_read", watched)
+    (batch,) = store.batches("learning_events")
+    rows = spark.createDataFrame(real("learning_events", [batch]).drop("applied_at", "batch", "bucket").collect(), T.EVENT_SCHEMA)
+    store.append("learning_events", rows, batch)
+    read.clear()
+    jobs.run_progress_stream(spark, store, f"{folder}/cp/chain/progress", clock=demo.clock).awaitTermination()
+    assert set(read) == {"learning_events"}
+    monkeypatch.undo()
+    assert len(store.batches("progress_rollups")) == 2
+    assert demo.topic("EMP_DEMO_002") == ("COMPLETED", "100.00", "1.25")
+
+
+def test_the_chain_runs_both_queries_and_tells_failures(spark, folder):
+    demo = Demo(spark, folder)
+    demo.learners("learners", FX.LEARNERS)
+    inbox = f"{folder}/activity"
+    deliver(inbox, "one", T.ACTIVITY_INBOX, FX.ACTIVITY[:1])
+    chain = jobs.start_chain(spark, inbox, demo.store, f"{folder}/cp/chain", demo.clock, "0 seconds", "0 seconds")
+    try:
+        chain.drain()
+        assert demo.topic("EMP_DEMO_001") == ("IN_PROGRESS", "25.00", "0.50")
+        deliver(inbox, "two", T.ACTIVITY_INBOX, FX.ACTIVITY[1:])
+        chain.drain()
+        assert demo.topic("EMP_DEMO_002") == ("COMPLETED", "100.00", "1.25")
+        assert chain.activity.isActive and chain.progress.isActive
+        deliver(inbox, "three", T.ACTIVITY_INBOX, [["short", "row"]])
+        with pytest.raises(StreamingQueryException):
+            chain.drain()
+    finally:
+        chain.stop()
+    for _ in range(50):
+        if chain.listener.failure:
+            break
+        time.sleep(0.1)
+    assert chain.listener.failure and chain.listener.batches["activity"] >= 2 and chain.listener.rows["progress"] >= 2
+
+
+def test_sums_equal_the_full_computation_and_follow_the_change(spark, folder):
+    from studyflow.plans import deltas, views
+
+    demo = Demo(spark, folder)
+    store = demo.store
+    as_of = F.lit(FX.CLOCK.date())
+    demo.learners("learners", [[f"L{k}", f"E{k}", "N", "n@example.com", "Ops", str(k % 11)] for k in range(40)])
+    now = F.lit(FX.CLOCK).cast("timestamp_ntz")
+
+    def same():
+        t = {n: store.read(n) for n in ("learners", "enrollments", "topic_progress", "path_topic_plan", "learning_paths", "study_topics", "exam_domains")}
+        full = views.learner_progress(t["learners"], t["enrollments"], t["learning_paths"], t["path_topic_plan"], t["topic_progress"], as_of)
+        by_domain = views.domain_progress(t["enrollments"], t["path_topic_plan"], t["study_topics"], t["exam_domains"], t["topic_progress"])
+        for mine, theirs in ((deltas.learner_progress(store, as_of), full), (deltas.domain_progress(store), by_domain)):
+            assert sorted(map(str, mine.collect())) == sorted(map(str, theirs.collect()))
+
+    deltas.update_sums(store, "s1", now)
+    same()
+    enrolled = [r.enrollment_id for r in store.read("enrollments").collect()]
+    for step in range(2):
+        rng = random.Random(step)
+        rows = [(f"b{step}", rng.choice(enrolled), f"D0{rng.randint(1, 3)}_T0{rng.randint(1, 5)}", rng.randint(0, 90), rng.choice([0, 40, 100]), FX.CLOCK, FX.CLOCK) for _ in range(30)]
+        added = spark.createDataFrame(rows, "event_batch string, enrollment_id string, topic_id string, minutes long, new_percent int, first_activity_at timestamp_ntz, batch_last_at timestamp_ntz").dropDuplicates(["enrollment_id", "topic_id"])
+        store.append("progress_rollups", added, f"r{step}", now)
+        deltas.update_sums(store, f"s{step + 2}", now + F.expr(f"interval {step + 1} day"))
+        same()
+    one = spark.createDataFrame([("c", enrolled[0], "D01_T01", 5, 1, FX.CLOCK, FX.CLOCK)], "event_batch string, enrollment_id string, topic_id string, minutes long, new_percent int, first_activity_at timestamp_ntz, batch_last_at timestamp_ntz")
+    store.append("progress_rollups", one, "r9", now)
+    assert len(deltas.update_sums(store, "s9", now + F.expr("interval 9 day"))) == 1
+    assert store.read_batches("progress_sums", ["s9"]).count() == 1
+    assert deltas.update_sums(store, "s10", now) == []
+    same()
 
 
 def test_learner_and_progress_streams_together(spark, folder):
-    """Both merge topic_progress; neither loses what the other wrote."""
+    """Both add to topic progress; neither loses what the other wrote."""
     demo = Demo(spark, folder)
     demo.learners("learners", FX.LEARNERS)
     jobs.begin_progress_stream(demo.store, f"{folder}/cp/chain/progress")
@@ -154,7 +278,7 @@ def test_learner_and_progress_streams_together(spark, folder):
         query.awaitTermination()
     assert demo.store.read("topic_progress").count() == 7 * 31
     assert demo.topic("EMP_DEMO_002") == ("COMPLETED", "100.00", "1.25")
-    assert glob.glob(f"{folder}/store/topic_progress/_manifest/*.json")
+    assert len(demo.store.batches("progress_rollups")) == 1
 
 
 def test_a_new_topic_reaches_plans_and_enrollments(spark, folder):

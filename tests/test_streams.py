@@ -79,7 +79,8 @@ def test_demo_story(spark, folder):
     assert demo.topic("EMP_DEMO_001") == ("COMPLETED", "100.00", "1.00")
 
     store = demo.store
-    rejects = AU.resolve_rejects(store.read("rejected_records"), store.read("processed_records"))
+    rejects = store.read("rejected_records")
+    assert [r.resolved_flag for r in rejects.collect()] == [True, True]
     reasons = {r.source_record_id: r.rejection_reason for r in rejects.collect()}
     assert reasons == {
         "LRN_BAD_001": "Snowflake experience must be zero or greater.",
@@ -161,12 +162,8 @@ def test_repeated_batches_have_no_effect(spark, folder):
     assert demo.topic("EMP_DEMO_001") == ("IN_PROGRESS", "25.00", "0.50")
 
     store, events = demo.store, demo.store.read("learning_events")
-    store.merge("topic_progress", events, lambda t: t, "pipeline", "batch-1")
-    before = store.read("topic_progress").count()
-    store.merge("topic_progress", events, lambda t: t.limit(0), "pipeline", "batch-1")
-    assert store.read("topic_progress").count() == before
     for _ in range(2):
-        store.append_once("learning_events", events, "batch-1")
+        store.append("learning_events", events, "batch-1")
     assert store.read("learning_events").count() == 4
 
 
@@ -175,18 +172,18 @@ def test_failed_writes_are_repeated_without_double_counting(spark, folder, monke
     demo = Demo(spark, folder)
     demo.learners("learners", FX.LEARNERS)
     deliver(f"{folder}/activity", "progress", T.ACTIVITY_INBOX, FX.ACTIVITY)
-    real = demo.store.append_once
+    real = demo.store.append
 
-    def broken(name, df, batch):
+    def broken(name, df, batch, at=None):
         if name == "processed_records":
             raise RuntimeError("lost")
-        real(name, df, batch)
+        real(name, df, batch, at)
 
-    monkeypatch.setattr(demo.store, "append_once", broken)
+    monkeypatch.setattr(demo.store, "append", broken)
     with pytest.raises(StreamingQueryException):
         demo.activity()
     assert demo.runs()[-1][:2] == (T.ACTIVITY_PIPELINE, "FAILED")
-    monkeypatch.setattr(demo.store, "append_once", real)
+    monkeypatch.setattr(demo.store, "append", real)
     demo.activity()
     assert demo.runs()[-1] == (T.ACTIVITY_PIPELINE, "SUCCESS", 2, 2, 0)
     assert demo.store.read("learning_events").count() == 2
@@ -240,35 +237,3 @@ def test_re_registration_keeps_what_must_not_change(spark, folder):
     ).first()
     assert (enrollment.path_id, enrollment.enrollment_status) == ("PATH_5_9", "ACTIVE")
     assert demo.store.read("topic_progress").count() == 62
-
-
-def test_merge_rewrites_only_touched_parts_and_expires_old_ones(spark, folder):
-    store = seeded_store(spark, f"{folder}/store")
-    rows = spark.range(200).selectExpr(
-        "concat('e', id) as enrollment_id", "'t' as topic_id", "'NOT_STARTED' as progress_status",
-        "cast(0 as decimal(5,2)) as completion_percent", "cast(0 as decimal(7,2)) as hours_spent",
-        *[f"cast(null as timestamp_ntz) as {c}" for c in
-          ("started_at", "completed_at", "last_activity_at", "updated_at")],
-    )
-    store.replace("topic_progress", rows)
-    for n in range(4):
-        one = rows.filter("enrollment_id = 'e7'")
-        changed = f"touched {n}"
-        store.merge(
-            "topic_progress", one,
-            lambda t, c=changed: t.selectExpr(
-                "enrollment_id", "topic_id",
-                f"if(enrollment_id = 'e7', '{c}', progress_status) as progress_status",
-                *t.columns[3:],
-            ),
-            "p", f"b{n}",
-        )
-    manifest = store._manifest("topic_progress")
-    assert [v[:10] for v in manifest["parts"].values()].count("v000000001") == 3
-    store.expire("topic_progress", keep=1)
-    after = store.read("topic_progress")
-    assert after.count() == 200
-    assert after.filter("progress_status = 'touched 3'").count() == 1
-    (third,) = [n for n in store._names(f"{store.root}/topic_progress") if n.startswith("v000000003")]
-    kept = store._names(f"{store.root}/topic_progress/{third}")
-    assert not any(n.startswith("part=") for n in kept)
