@@ -31,7 +31,7 @@ from studyflow.plans import views as V
 from studyflow.session import shared_dir
 from studyflow.sources import inbox as IN
 from studyflow.sources.reference import empty_table
-from studyflow.sources.store import Store
+from studyflow.sources.store import Store, at_once
 from studyflow.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -884,8 +884,9 @@ def _new_store(spark: SparkSession, sf: str, *tables: str) -> Store:
         "enrollments": lambda: A.enrollments(spark, sf),
         "topic_progress": lambda: A.initial_progress(spark, sf),
     }
-    for name in tables:
-        store.load(name, available[name]())
+    # Derived tables that two of them share are stored first.
+    rows = {name: available[name]() for name in tables}
+    at_once([partial(store.load, name, df) for name, df in rows.items()])
     return store
 
 

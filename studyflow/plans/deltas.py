@@ -52,7 +52,8 @@ def update_sums(store: Store, batch: str, now: Column, everything: bool = False)
     sums = views.progress_base(enrolled, plan, progress).select("enrollment_id", *SUMS, "by_domain")
     store.append("progress_sums", sums, batch, now)
     if names:
-        store.append("summed_batches", store.spark.createDataFrame(names, "log string, of_batch string"), batch, now)
+        seen = F.array(*[F.struct(F.lit(log).alias("log"), F.lit(b).alias("of_batch")) for log, b in names])
+        store.append("summed_batches", store.spark.range(1).select(F.inline(seen)), batch, now)
     store.release("changed", batch)
     return buckets
 

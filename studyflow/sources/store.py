@@ -18,7 +18,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import partial
 
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,27 @@ LOGS = {
 APPLIED = "applied_at"
 
 
+def at_once(calls: Sequence[Callable[[], object]]) -> list:
+    """Run Spark jobs that do not depend on each other side by side; the first failure is raised."""
+    out: list = [None] * len(calls)
+    failed: list[BaseException] = []
+
+    def run(k: int) -> None:
+        try:
+            out[k] = calls[k]()
+        except BaseException as error:
+            failed.append(error)
+
+    threads = [InheritableThread(target=run, args=(k,)) for k in range(len(calls))]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    if failed:
+        raise failed[0]
+    return out
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
@@ -109,6 +132,10 @@ class Store:
             words = filter_words(shaped.select("batch", "bucket", log.ids), log.ids)
             self._write(words, f"{self.root}/filters/{name}", True)
 
+    def append_all(self, batch: str, at: Column | None, **rows: DataFrame) -> None:
+        """Append to several logs, side by side: the jobs of a small batch are short and would wait for one another."""
+        at_once([partial(self.append, name, df, batch, at) for name, df in rows.items()])
+
     @staticmethod
     def _write(rows: DataFrame, path: str, bucketed: bool) -> None:
         parts = ["batch", "bucket"] if bucketed else ["batch"]
@@ -211,8 +238,12 @@ class Store:
 
     def touched(self, keys: DataFrame) -> list[int]:
         """Buckets of a column of keys; at most ``buckets`` small integers come to the driver."""
-        (key,) = keys.columns
-        return sorted(r[0] for r in keys.select(self.bucket_of(key)).distinct().collect())
+        return self.touched_by(keys)[0]
+
+    def touched_by(self, keys: DataFrame) -> list[list[int]]:
+        """Buckets of each column of keys, in one pass."""
+        found = keys.agg(*[F.collect_set(self.bucket_of(c)).alias(f"k{i}") for i, c in enumerate(keys.columns)])
+        return [sorted(held) for held in found.first()]
 
     def in_buckets(self, name: str, buckets: Sequence[int]) -> DataFrame:
         """The content of the given buckets."""
@@ -222,8 +253,9 @@ class Store:
         """The content of the buckets that may hold ``keys`` (one column)."""
         return self._content(name, self.touched(keys))
 
-    def may_hold(self, name: str, ids: DataFrame) -> list[tuple[str, int]]:
-        """(batch, bucket) pairs of an id log whose filter may hold one of ``ids`` (one column); others hold none."""
+    def may_hold(self, name: str, ids: DataFrame, buckets: list[int] | None = None) -> list[tuple[str, int]]:
+        """(batch, bucket) pairs of an id log whose filter may hold one of ``ids`` (one column); others hold none.
+        ``buckets``: those of the ids, where they are known."""
         (key,) = ids.columns
         if not self._exists(f"{self.root}/filters/{name}"):
             return []
@@ -232,14 +264,16 @@ class Store:
         ).distinct()
         words = self.spark.read.schema("word_at int, word bigint, batch string, bucket int").parquet(
             f"{self.root}/filters/{name}"
-        ).where(F.col("bucket").isin(self.touched(ids)))
+        ).where(F.col("bucket").isin(self.touched(ids) if buckets is None else buckets))
         hit = asked.join(words, ["bucket", "word_at"]).where(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask"))
         return sorted((r[0], r[1]) for r in hit.select("batch", "bucket").distinct().collect())
 
-    def read_known(self, name: str, ids: DataFrame, but: str | None = None) -> DataFrame:
+    def read_known(
+        self, name: str, ids: DataFrame, but: str | None = None, buckets: list[int] | None = None
+    ) -> DataFrame:
         """Rows of an id log that may have one of ``ids``: all that do, few others. Rows of batch ``but`` are left out."""
         columns = [f.name for f in self._columns(LOGS[name])]
-        held = [pair for pair in self.may_hold(name, ids) if pair[0] != but]
+        held = [pair for pair in self.may_hold(name, ids, buckets) if pair[0] != but]
         if not held:
             return empty_table(self.spark, LOGS[name].schema)
         folder = f"{self.root}/{name}"

@@ -163,14 +163,21 @@ def _assigned(store: Store, enrollments: DataFrame) -> DataFrame:
     return pairs[0].unionByName(pairs[1]).distinct()
 
 
-def _register(store: Store, rows: DataFrame, batch: str, today: Column, now: Column) -> None:
-    """Append placed rows to learners, enrollments and assignments; what they change there is derived on reading."""
+def _register(
+    store: Store, rows: DataFrame, batch: str, today: Column, now: Column, **more: DataFrame
+) -> None:
+    """Append placed rows to learners, enrollments and assignments (and ``more`` rows to other logs); what they change
+    there is derived on reading."""
     last = learners.last_per_learner(rows)
     none = {k: empty_table(store.spark, s) for k, s in (("l", T.LEARNER_SCHEMA), ("e", T.ENROLLMENT_SCHEMA))}
-    store.append("learners", learners.upsert_learners(none["l"], last, today, now), batch, now)
-    store.append("enrollments", learners.upsert_enrollments(none["e"], last, today, now), batch, now)
-    fresh = learners.first_topics(rows, store.read("path_topic_plan"), now)
-    store.append("topic_assignments", fresh, batch, now)
+    store.append_all(
+        batch,
+        now,
+        learners=learners.upsert_learners(none["l"], last, today, now),
+        enrollments=learners.upsert_enrollments(none["e"], last, today, now),
+        topic_assignments=learners.first_topics(rows, store.read("path_topic_plan"), now),
+        **more,
+    )
 
 
 def _settle(store: Store, pipeline: str, accepted: DataFrame, batch: str, now: Column) -> None:
@@ -178,8 +185,9 @@ def _settle(store: Store, pipeline: str, accepted: DataFrame, batch: str, now: C
 
     A stream-static join: the filters of the reject log name the few batches that may hold one of the ids.
     """
-    found = store.read_known("rejected_records", accepted, but=batch)
-    settled = store.in_buckets("reject_resolutions", store.touched(accepted)).select("rejection_id")
+    buckets = store.touched(accepted)
+    found = store.read_known("rejected_records", accepted, batch, buckets)
+    settled = store.in_buckets("reject_resolutions", buckets).select("rejection_id")
     still_open = found.join(settled, "rejection_id", "left_anti")
     store.append("reject_resolutions", audit.resolutions(still_open, accepted, pipeline, now), batch, now)
 
@@ -205,8 +213,7 @@ def run_topic_stream(
 
         staged, counts = store.freeze(T.TOPICS_PIPELINE, batch, validated, topics.topic_count_columns())
         run = topics.process_validated_topics(staged, empty_table(spark, T.TOPIC_SCHEMA), now)
-        store.append("study_topics", run.topics, batch, now)
-        store.append("rejected_records", run.rejects, batch, now)
+        store.append_all(batch, now, study_topics=run.topics, rejected_records=run.rejects)
         return counts
 
     source = stream_inbox(spark, inbox, T.TOPIC_INBOX, TOPIC_NULL_TOKENS, max_files, multiline)
@@ -236,13 +243,11 @@ def run_learner_stream(
         staged, counts = store.freeze(T.LEARNERS_PIPELINE, batch, validated, count_columns())
         valid, rejected = learners.split(staged)
         rows = learners.placed(learners.typed_learners(valid), store.read("learning_paths"), today)
-        _register(store, rows, batch, today, now)
-        rejects = learners.to_rejects(rejected, T.LEARNERS_PIPELINE, "source_record_id", T.LEARNER_INBOX, now)
-        store.append("rejected_records", rejects, batch, now)
         ledger = learners.record_processed(
             rows, T.LEARNERS_PIPELINE, "source_record_id", learners.registration_text(), now
         )
-        store.append("processed_records", ledger, batch, now)
+        rejects = learners.to_rejects(rejected, T.LEARNERS_PIPELINE, "source_record_id", T.LEARNER_INBOX, now)
+        _register(store, rows, batch, today, now, processed_records=ledger, rejected_records=rejects)
         _settle(store, T.LEARNERS_PIPELINE, valid.select("source_record_id"), batch, now)
         return counts
 
@@ -269,7 +274,7 @@ def run_activity_stream(
         def validated() -> DataFrame:
             # Learners and their enrollments lie in the same buckets; only those of the batch's learners are opened.
             clean = activity.normalize_activity(df)
-            buckets = store.touched(learners.with_keys(clean).select("learner_id"))
+            buckets, id_buckets = store.touched_by(learners.with_keys(clean).select("learner_id", "activity_id"))
             enrolled = store.in_buckets("enrollments", buckets)
             named = store.in_buckets("learners", buckets).join(
                 clean.select("employee_id").distinct(), "employee_id", "left_semi"
@@ -278,8 +283,8 @@ def run_activity_stream(
             ids = clean.select("activity_id")
             return activity.validate_activity(
                 df,
-                store.read_known("processed_records", ids, but=batch),
-                store.read_known("learning_events", ids, but=batch),
+                store.read_known("processed_records", ids, batch, id_buckets),
+                store.read_known("learning_events", ids, batch, id_buckets),
                 named,
                 enrolled,
                 _assigned(store, mine),
@@ -288,9 +293,9 @@ def run_activity_stream(
 
         staged, counts = store.freeze(T.ACTIVITY_PIPELINE, batch, validated, count_columns())
         run = activity.process_validated_activity(staged, now)
-        store.append("learning_events", run.events, batch, now)
-        store.append("rejected_records", run.rejects, batch, now)
-        store.append("processed_records", run.ledger, batch, now)
+        store.append_all(
+            batch, now, learning_events=run.events, rejected_records=run.rejects, processed_records=run.ledger
+        )
         accepted = run.ledger.select("source_record_id")
         _settle(store, T.ACTIVITY_PIPELINE, accepted, batch, now)
         return counts
@@ -302,9 +307,9 @@ def run_activity_stream(
 def begin_progress_stream(store: Store, checkpoint: str) -> list[str]:
     """Remember, once for a checkpoint folder, which event batches were there before its stream."""
     name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
-    present = [(b,) for b in store.batches("learning_events")]
+    present = F.array(*[F.lit(b) for b in store.batches("learning_events")]).cast("array<string>")
     earlier, _ = store.freeze(
-        "progress-begin", name, lambda: store.spark.createDataFrame(present, "earlier string")
+        "progress-begin", name, lambda: store.spark.range(1).select(F.explode(present).alias("earlier"))
     )
     return sorted(r.earlier for r in earlier.collect())
 
