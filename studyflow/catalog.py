@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import partial, reduce, wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyflow import adapters as A
@@ -809,52 +809,73 @@ def quality_report(spark, sf):
 
 @query
 def acceptance_report(spark, sf):
-    """Acceptance over all customers: registered, enrolled, recorded, rejected, resolved.
+    """Acceptance over the customers with an active enrollment: registered, enrolled, recorded, rejected, resolved.
 
-    What the pipelines accept and refuse is settled once, written to a store by their own functions,
-    and the report reads the store.
+    What the pipelines accept and refuse is settled once; all they write goes to a store, and the report reads the
+    store alone, progress included.
     """
-    validated = A.stored(spark, sf, "validated-learners", lambda: A.validated_learners(spark, sf))
-    valid, rejected = split(validated)
-    acted = A.stored(spark, sf, "validated-activity", lambda: A.validated_activity(spark, sf))
-    acts, _ = split(acted)
-    people = A.stored(
-        spark, sf, "expected", lambda: A.people(spark, sf).select("employee_id", "path_id")
+    store = Store(spark, shared_dir(spark, "store"), buckets=1)
+    A.plan(spark, sf)
+    (validated, _), (acted, _) = at_once(
+        [
+            partial(store.freeze, T.LEARNERS_PIPELINE, "1", partial(A.validated_learners, spark, sf)),
+            partial(store.freeze, T.ACTIVITY_PIPELINE, "1", partial(A.validated_activity, spark, sf)),
+        ]
     )
-    bad = rejected.filter(F.col(ERROR) == L.EXPERIENCE_NEGATIVE)
-
-    store = _new_store(spark, sf, "learners", "enrollments")
-    run = AC.process_validated_activity(acted, A.now())
-    store.append("learning_events", run.events, "acts")
-    store.append("processed_records", run.ledger, "acts")
-    for batch, rows, moment in (("learners", valid, A.now()), ("corrected", bad, later())):
-        entries = L.record_processed(
-            rows, T.LEARNERS_PIPELINE, "source_record_id", F.lit("ok"), moment
-        )
-        store.append("processed_records", entries, batch)
+    valid, rejected = split(validated)
     rejects = to_rejects(
         rejected, T.LEARNERS_PIPELINE, "source_record_id", T.LEARNER_INBOX, A.now()
     )
-    store.append("rejected_records", rejects, "learners")
-    ledger = store.read("processed_records")
-    corrected = ledger.filter(F.col("processed_at") > A.now())
-    t = {
-        "learners": store.read("learners"),
-        "enrollments": store.read("enrollments"),
-        "progress": A.progress_table(spark, sf),
-        "ledger": ledger.filter(F.col("processed_at") == A.now()),
-        "rejects": AU.resolve_rejects(store.read("rejected_records"), corrected),
-        "events": store.read("learning_events"),
+    entries = L.record_processed(valid, T.LEARNERS_PIPELINE, "source_record_id", F.lit("ok"), A.now())
+    run = AC.process_validated_activity(acted, A.now())
+    rolled = P.rollup(run.events)
+    writes = {
+        "learners": A.learners(spark, sf),
+        "enrollments": A.enrollments(spark, sf),
+        "topic_assignments": A.initial_progress(spark, sf),
+        "learning_events": run.events,
+        "progress_rollups": rolled.withColumn("event_batch", F.lit("1")),
+        "processed_records": run.ledger.unionByName(entries),
+        "rejected_records": rejects,
     }
+    store.append_all("1", A.now(), **writes)
+    # Ids that were refused once, for negative years, are corrected and accepted later.
+    bad = (
+        rejected.groupBy("source_record_id")
+        .agg(F.count(F.lit(1)).alias("n"), F.max(ERROR).alias("why"))
+        .filter((F.col("n") == 1) & (F.col("why") == L.EXPERIENCE_NEGATIVE))
+        .select("source_record_id")
+    )
+    settled = AU.resolutions(store.read("rejected_records"), bad, T.LEARNERS_PIPELINE, later())
+    store.append("reject_resolutions", settled, "2", later())
+
+    def first(condition: str, *order: str | Column) -> DataFrame:
+        chosen = rolled.filter(condition).orderBy(*order, "enrollment_id", "topic_id").limit(1)
+        hours = F.round(F.col("minutes").cast("decimal(20,6)") / 60, 2)
+        return chosen.select(
+            "enrollment_id",
+            "topic_id",
+            F.when(F.col("new_percent") >= 100, "COMPLETED").otherwise("IN_PROGRESS").alias("status"),
+            F.col("new_percent").alias("percent"),
+            hours.alias("hours"),
+        )
+
     return C.acceptance_report(
-        t,
-        people,
-        valid.select("source_record_id").distinct(),
-        acts.select(F.col("activity_id").alias("source_record_id")).distinct(),
-        bad.select("source_record_id").distinct(),
+        {
+            "learners": store.read("learners"),
+            "enrollments": store.read("enrollments"),
+            "progress": store.read("topic_progress"),
+            "ledger": store.read("processed_records"),
+            "rejects": store.read("rejected_records"),
+            "events": store.read("learning_events"),
+        },
+        A.people(spark, sf).filter("c_nationkey <> 24").select("employee_id", "path_id"),
+        valid.select("source_record_id"),
+        run.ledger.select("source_record_id"),
+        bad,
         [
-            ("EMP-1", "D01_T01", "COMPLETED", "100.00", "1.00", "EMP-1 completed topic D01_T01"),
-            ("EMP-6", "D02_T03", "IN_PROGRESS", "50.00", "0.50", "EMP-6 reached half of topic D02_T03"),
+            (first("new_percent > 0", F.desc("new_percent")), "The topic furthest along shows its percentage and hours"),
+            (first("new_percent > 0 and new_percent < 100"), "The first topic under way shows its percentage and hours"),
         ],
         35,
         {

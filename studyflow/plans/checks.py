@@ -264,7 +264,7 @@ def acceptance_report(
     learner_ids: DataFrame,
     activity_ids: DataFrame,
     rejected_ids: DataFrame,
-    outcomes: Sequence[tuple[str, str, str, str, str, str]],
+    outcomes: Sequence[tuple[str, str, str, str, str, str] | tuple[DataFrame, str]],
     topics_each: int = 31,
     descriptions: dict[str, str] | None = None,
 ) -> DataFrame:
@@ -272,7 +272,8 @@ def acceptance_report(
 
     ``expected_learners``: employee_id, path_id. ``learner_ids``, ``activity_ids`` (accepted) and
     ``rejected_ids``: source_record_id. ``outcomes``: (employee, topic, status, percent, hours,
-    description) of the final checks, one row each. Keys of ``t``: learners, enrollments, progress,
+    description) of the final checks, one row each; or a frame of one row (enrollment_id, topic_id, status, percent,
+    hours) that says what must be found, and the description. Keys of ``t``: learners, enrollments, progress,
     ledger, rejects, events.
     """
     texts = DESCRIPTIONS | (descriptions or {})
@@ -347,7 +348,8 @@ def acceptance_report(
         for test_id, (found, unit) in rows.items()
     ]
     for number, outcome in enumerate(outcomes, start=11):
-        checks.append(_outcome_check(t, f"TC-{number:03d}", *outcome))
+        check = _outcome_check if isinstance(outcome[0], str) else _derived_outcome_check
+        checks.append(check(t, f"TC-{number:03d}", *outcome))
     return _stack(checks).orderBy("test_id")
 
 
@@ -387,3 +389,25 @@ def _outcome_check(
         F.coalesce("_shown", F.lit("No result")).alias("actual_result"),
         _status(F.col("_right") == 1).alias("test_status"),
     )
+
+
+def _derived_outcome_check(t: dict[str, DataFrame], test_id: str, expected: DataFrame, text: str) -> DataFrame:
+    """Final status, percent and hours of the enrollment and topic that ``expected`` (one row) names."""
+    found = expected.join(t["progress"], ["enrollment_id", "topic_id"], "left")
+
+    def shown(status: str, percent: str, hours: str) -> Column:
+        return F.concat_ws(
+            " / ",
+            F.col(status),
+            F.col(percent).cast("decimal(5,2)").cast("string"),
+            F.concat(F.col(hours).cast("decimal(7,2)").cast("string"), F.lit(" hours")),
+        )
+
+    return found.select(
+        F.lit(test_id).alias("test_id"),
+        F.lit(text).alias("test_description"),
+        shown("status", "percent", "hours").alias("expected_result"),
+        F.when(F.col("progress_status").isNull(), "No result")
+        .otherwise(shown("progress_status", "completion_percent", "hours_spent"))
+        .alias("actual_result"),
+    ).withColumn("test_status", _status(F.col("expected_result") == F.col("actual_result")))
