@@ -18,7 +18,7 @@ from studyflow.operators.keyed import (
     flag_existing,
     insert_missing,
 )
-from studyflow.operators.rules import ERROR, count_columns, counts_row, first_failure, split, to_rejects
+from studyflow.operators.rules import ERROR, count_columns, counts_row, first_failure, raw_json, split, to_rejects
 from studyflow.plans import activity as AC
 from studyflow.plans import audit as AU
 from studyflow.plans import checks as C
@@ -30,6 +30,8 @@ from studyflow.plans import topics as TP
 from studyflow.plans import views as V
 from studyflow.session import shared_dir
 from studyflow.sources import inbox as IN
+from studyflow.sources.fingerprints import load_unseen
+from studyflow.sources.layout import clustered
 from studyflow.sources.reference import empty_table
 from studyflow.sources.store import Store, at_once
 from studyflow.streaming import jobs
@@ -154,6 +156,23 @@ def inbox_incremental_read(spark, sf):
     return seen.groupBy("round").agg(F.count(F.lit(1)).alias("new_rows"))
 
 
+@query
+def inbox_read_by_content(spark, sf):
+    """Two deliveries, the second with copies of the first under other names: rows taken per round."""
+    store = Store(spark, shared_dir(spark, "history"), buckets=1)
+    rows, inbox = _plain_customers(spark, sf), f"{store.root}/inbox"
+    taken = []
+    for number, condition in ((1, "department_name < 'C'"), (2, "true")):
+        # A file per department: those of the first delivery come again in the second.
+        delivered = rows.filter(condition).select(*T.LEARNER_INBOX, F.col("department_name").alias("of"))
+        delivered.repartition("of").write.mode("append").partitionBy("of").option("header", True).csv(inbox)
+        fresh = load_unseen(store, inbox, T.LEARNER_INBOX, f"round-{number}", A.now())
+        taken.append(
+            fresh.groupBy("department_name").agg(F.count(F.lit(1)).alias("new_rows")).withColumn("round", F.lit(number))
+        )
+    return taken[0].unionByName(taken[1])
+
+
 @query
 def batch_snapshot(spark, sf):
     store = Store(spark, shared_dir(spark, "store"))
@@ -179,10 +198,14 @@ def _topic_rejects(spark, sf):
 
 @query
 def raw_record_capture(spark, sf):
-    rejects = _learner_rejects(spark, sf).unionByName(_topic_rejects(spark, sf))
-    return rejects.select(
+    """Rejects as the table keeps them, their fields read back from the stored variant by path."""
+    store = Store(spark, shared_dir(spark, "store"), buckets=1)
+    store.append("rejected_records", _learner_rejects(spark, sf).unionByName(_topic_rejects(spark, sf)), "1")
+    of_topic = F.col("pipeline_name") == T.TOPICS_PIPELINE
+    return store.read("rejected_records").select(
         "pipeline_name", "source_record_id", "source_file_name", "source_row_number",
-        "raw_record", "rejection_reason", "resolved_flag",
+        F.when(of_topic, raw_json(T.TOPIC_INBOX)).otherwise(raw_json(T.LEARNER_INBOX)).alias("raw_record"),
+        "rejection_reason", "resolved_flag",
         F.length("rejection_id").cast("bigint").alias("rejection_id_length"),
     )
 
@@ -469,6 +492,22 @@ def resolve_active_enrollment(spark, sf):
     ).select("source_row_number", "employee_id", "enrollment_id")
 
 
+@query
+def resolve_active_enrollment_by_layout(spark, sf):
+    """The same over learners and enrollments laid out by learner: no row of either is moved to be joined."""
+    learners = A.learners(spark, sf).select("learner_id", "employee_id")
+    learners, enrollments = at_once(
+        [
+            partial(clustered, learners, "learner_id", 16, "learners"),
+            partial(clustered, A.order_enrollments(spark, sf), "learner_id", 16, "enrollments"),
+        ]
+    )
+    rows = AC.normalize_activity(A.activity_inbox(spark, sf))
+    return AC.resolve_enrollment(rows, learners, enrollments).select(
+        "source_row_number", "employee_id", "enrollment_id"
+    )
+
+
 @query
 def enrollment_topic_fanout(spark, sf):
     return S.fanout(A.enrollments(spark, sf), A.plan(spark, sf))

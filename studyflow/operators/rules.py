@@ -36,7 +36,7 @@ def to_rejects(
     rejected_at: Column,
     reason: str = ERROR,
 ) -> DataFrame:
-    """Rejected rows in the audit layout, the offending row kept whole as JSON with its nulls."""
+    """Rejected rows in the audit layout, the offending row kept whole as a variant with its nulls."""
     present = set(rejected.columns)
 
     def lineage(name: str, kind: str) -> Column:
@@ -50,9 +50,7 @@ def to_rejects(
         F.col(key).alias("source_record_id"),
         lineage("source_file_name", "string"),
         lineage("source_row_number", "bigint"),
-        F.to_json(
-            F.struct(*[F.col(c).alias(c.upper()) for c in record]), {"ignoreNullFields": "false"}
-        ).alias("raw_record"),
+        F.to_variant_object(F.struct(*[F.col(c).alias(c.upper()) for c in record])).alias("raw_record"),
         F.col(reason).alias("rejection_reason"),
         rejected_at.cast("timestamp_ntz").alias("rejected_at"),
         F.lit(False).alias("resolved_flag"),
@@ -60,6 +58,17 @@ def to_rejects(
     )
 
 
+def raw_field(name: str, raw: str | Column = "raw_record") -> Column:
+    """A field of the offending row, by its path."""
+    return F.variant_get(raw, f"$.{name.upper()}", "string")
+
+
+def raw_json(record: Sequence[str], raw: str = "raw_record") -> Column:
+    """The offending row as JSON, its fields in the order of ``record``, nulls kept."""
+    fields = [raw_field(c, raw).alias(c.upper()) for c in record]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
 def count_columns(reason: str = ERROR) -> list[Column]:
     """Received, accepted and rejected rows, for ``agg`` or ``observe``."""
     return [

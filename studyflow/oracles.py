@@ -1089,6 +1089,10 @@ STATEMENTS["trigger_if_data"] = """
            count(*) FILTER (validation_error IS NOT NULL) AS records_rejected,
            'Learner-information processing completed.' AS run_message
     FROM learner_checked"""
+STATEMENTS["resolve_active_enrollment_by_layout"] = STATEMENTS["resolve_active_enrollment"]
+STATEMENTS["inbox_read_by_content"] = """
+    SELECT c_mktsegment AS department_name, CASE WHEN c_mktsegment < 'C' THEN 1 ELSE 2 END AS round,
+           count(*) AS new_rows FROM customer GROUP BY ALL"""
 for view in ("learner_progress", "domain_progress", "weighted_progress"):
     STATEMENTS[f"{view}_by_deltas"] = STATEMENTS[view]
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studyflow import tables as T
-from studyflow.functions.scalars import is_blank, trimmed, try_decimal, try_timestamp
+from studyflow.functions.scalars import is_blank, learner_key, trimmed, try_decimal, try_timestamp
 from studyflow.operators.keyed import (
     flag_existing,
     key_facts,
@@ -94,8 +94,8 @@ def activity_rules(strict: bool = False) -> list[tuple[Column, str]]:
 def latest_enrollment(learners: DataFrame, enrollments: DataFrame) -> DataFrame:
     """Newest active enrollment per employee id spelling.
 
-    Enrollments meet the learners first, so those of others are never ranked; the ranks are cut
-    below their shuffle.
+    Enrollments meet the learners first, so those of others are never ranked. An employee has one
+    learner id, so the rows are ranked where they were joined, without another shuffle.
     """
     newest = [F.desc("created_at"), F.desc("enrollment_id")]
     active = enrollments.filter(
@@ -103,16 +103,18 @@ def latest_enrollment(learners: DataFrame, enrollments: DataFrame) -> DataFrame:
         & (F.col("enrollment_status") == "ACTIVE")
     ).select("learner_id", "enrollment_id", "created_at")
     owned = learners.select("learner_id", "employee_id").join(active, "learner_id")
-    return latest_by(owned, ["employee_id"], newest).select("employee_id", "enrollment_id")
+    return latest_by(owned, ["learner_id", "employee_id"], newest).select("employee_id", "enrollment_id")
 
 
 def resolve_enrollment(df: DataFrame, learners: DataFrame, enrollments: DataFrame) -> DataFrame:
     """Add the active enrollment of each row's employee, null when there is none.
 
-    Only the employees that the batch names are taken from the learner table, and only their
-    enrollments are ranked.
+    Only the learners that the batch names are taken from the learner table, and only their
+    enrollments are ranked. All of this goes by learner id: where both tables are laid out by it
+    (``sources.layout``), only ids of the batch are moved.
     """
-    named = restrict(learners.select("learner_id", "employee_id"), df, ["employee_id"])
+    mine = df.select(learner_key(F.col("employee_id")).alias("learner_id"))
+    named = restrict(learners.select("learner_id", "employee_id"), mine, ["learner_id"])
     return lookup(df, latest_enrollment(named, enrollments), ["employee_id"], T.LINEAGE)
 
 

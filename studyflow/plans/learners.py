@@ -16,6 +16,7 @@ from studyflow.functions.scalars import (
     try_decimal,
 )
 from studyflow.operators.keyed import insert_missing, key_facts, upsert
+from studyflow.operators.ranges import range_join
 from studyflow.operators.rules import ERROR, first_failure, run_counts, split, to_rejects
 from studyflow.plans.schedule import fresh_progress
 
@@ -97,12 +98,14 @@ def experience_band(years: Column) -> Column:
 
 
 def band_by_range(df: DataFrame, levels: DataFrame) -> DataFrame:
-    """Level by the bounds kept in the level table, so that bands are data."""
+    """Level by the bounds kept in the level table, so that bands are data, any number of them. Years have one decimal."""
     bounds = levels.select("experience_level_code", "min_years", "max_years")
-    inside = (F.col(YEARS) >= F.col("min_years")) & (
-        F.col("max_years").isNull() | (F.col(YEARS) <= F.col("max_years"))
-    )
-    return df.join(F.broadcast(bounds), inside).drop("min_years", "max_years")
+    joined = range_join(df, _tenths(YEARS), bounds, _tenths("min_years"), _tenths("max_years"))
+    return joined.drop("min_years", "max_years")
+
+
+def _tenths(column: str) -> Column:
+    return (F.col(column) * 10).cast("bigint")
 
 
 def registration_error() -> Column:

@@ -62,6 +62,7 @@ LOGS = {
     "rejected_records": Log(T.REJECT_SCHEMA, "source_record_id", ids="source_record_id"),
     "reject_resolutions": Log(T.RESOLUTION_SCHEMA, "source_record_id"),
     "summed_batches": Log("log string, of_batch string"),
+    "inbox_files": Log("source_file_name string, fingerprint string, row_count bigint"),
     "pipeline_run_log": Log(T.RUN_LOG_SCHEMA),
     "assessment_results": Log(T.ASSESSMENT_SCHEMA),
 }
@@ -129,7 +130,9 @@ class Store:
         )
         self._write(shaped, f"{self.root}/{name}", bool(log.bucket))
         if log.ids:
-            words = filter_words(shaped.select("batch", "bucket", log.ids), log.ids)
+            # From what was written, so that the rows are not made a second time.
+            written = self._read(name, [batch]) if isinstance(batch, str) else shaped
+            words = filter_words(written.select("batch", "bucket", log.ids), log.ids)
             self._write(words, f"{self.root}/filters/{name}", True)
 
     def append_all(self, batch: str, at: Column | None, **rows: DataFrame) -> None:

@@ -186,7 +186,7 @@ ASSESSMENT_SCHEMA = """
 
 REJECT_SCHEMA = """
     rejection_id string, pipeline_name string, source_record_id string,
-    source_file_name string, source_row_number bigint, raw_record string,
+    source_file_name string, source_row_number bigint, raw_record variant,
     rejection_reason string, rejected_at timestamp_ntz, resolved_flag boolean,
     resolved_at timestamp_ntz"""
 

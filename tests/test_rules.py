@@ -2,7 +2,7 @@ from fixtures import inbox_frame
 from pyspark.sql import functions as F
 
 from studyflow import tables as T
-from studyflow.operators.rules import ERROR, run_counts, split, to_rejects
+from studyflow.operators.rules import ERROR, run_counts, split, raw_json, to_rejects
 from studyflow.plans import activity as AC
 from studyflow.plans import learners as L
 from studyflow.plans import topics as TP
@@ -120,7 +120,7 @@ def test_rejected_rows_keep_their_nulls(spark):
     _, rejected = split(L.validate_learners(df, empty_table(spark, T.LEDGER_SCHEMA)))
     (r,) = to_rejects(
         rejected, T.LEARNERS_PIPELINE, "source_record_id", T.LEARNER_INBOX, F.lit("2026-01-01")
-    ).collect()
+    ).withColumn("raw_record", raw_json(T.LEARNER_INBOX)).collect()
     assert r.raw_record == (
         '{"SOURCE_RECORD_ID":"S1","EMPLOYEE_ID":"E1","LEARNER_NAME":"Name","EMAIL":null,'
         '"DEPARTMENT_NAME":null,"SNOWFLAKE_EXPERIENCE_YEARS":"1"}'
