@@ -2,7 +2,7 @@
 
 Layout of a file: a header (magic, bytes an id, SHA-256 of the dictionary), the documents' frames in
 ascending order of (doc_id, text hash), a compressed index (doc_id, frame offset, ids so far) and a
-footer that says where the index begins. A reader takes the index with two small reads and then any
+footer that says where the index begins and how many documents, the first ones, have no id. A reader takes the index with two small reads and then any
 single document with one more. The dictionary lies beside the files and is checked against its hash.
 
 Texts are range-partitioned by id and sorted before they are encoded, so a file is one partition and
@@ -10,7 +10,7 @@ a task holds one Arrow batch, one frame and its index. Each attempt of a task wr
 name; only files named by the manifest count, and Spark commits the manifest's rows, so a repeated
 task or a lost executor leaves at most an unused file. Ids before a file come from one total per file.
 
-Encoding goes word by word through a bounded table, which is right for vocabularies that drop white
+Encoding goes by distinct words through a bounded table, which is right for vocabularies that drop white
 space; ``whole_text=True`` encodes texts as one.
 
 Cases: null and empty texts have the end id alone; null ids come first and are read back as null;
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,6 +30,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,13 +40,15 @@ from studyflow.llm.common import map_batches, raw_texts, record_batch, stored
 from studyflow.session import shared_dir
 
 MAGIC = b"TOKIDS1\n"
-FOOTER = "<QQ8s"
+FOOTER = "<QQQ8s"
 LEVEL = 3
 #: The dictionary: its size, and the documents (smallest id hashes) and bytes of ids it is trained on.
 DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_BYTES, PIECE_BYTES = 64 << 10, 1000, 8 << 20, 4 << 10
 #: A worker's table of encoded words is forgotten past this many words.
 KNOWN_WORDS = 1_000_000
-NO_ID = -(2**63)
+#: Bytes of text whose words are looked up together.
+SLICE = 8 << 20
+WHITE = re.compile(rb"[ \t-\r]")
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -73,25 +77,24 @@ class Encoder:
             vocabulary_ids = self.tokenizer.get_vocab(with_added_tokens=True)
             self.ends = np.zeros(max(vocabulary_ids.values()) + 1, bool)
             self.ends[[i for token, i in vocabulary_ids.items() if token.endswith(suffix)]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    def _encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Each word with its ids. Plain words (letters, and a full stop or comma) go through the tokenizer as one text, which takes half the
         time, and are told apart by the ids that end a word."""
-        plain: list[bytes] = []
+        plain: list[str] = []
         lengths, rest = [], []
         for word in words if self.ends is not None else []:
-            text = word.decode()
-            if text.isalpha():
+            if word.isalpha():
                 plain.append(word)
                 lengths.append(1)
-            elif text[-1] in ".," and text[:-1].isalpha():
+            elif word[-1] in ".," and word[:-1].isalpha():
                 plain.append(word)
                 lengths.append(2)
             else:
                 rest.append(word)
         if len(plain) > 1:
-            found = self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)
             ids = np.array(found[0].ids)
             ends = np.flatnonzero(self.ends[ids]) + 1
             lasts = np.cumsum(lengths)
@@ -100,25 +103,81 @@ class Encoder:
                 cuts = [0, *(ends[lasts - 1] * self.dtype.itemsize).tolist()]
                 yield from zip(plain, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True)
                 words = rest
-        yield from zip(words, self._encode([w.decode() for w in words]), strict=True)
+        yield from zip(words, self._encode(words), strict=True)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
     def __call__(self, text: bytes) -> bytes:
+        return next(self.many([text]))
+
+    def many(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Serialised ids of each text, with the end id. Texts are taken together up to SLICE bytes, longer ones in
+        slices cut at white space: distinct words are looked up once a slice and gathered with arrays."""
         if self.whole_text:
-            return self._encode([text.decode()])[0] + self.end
-        if self.lower_unless is not None and self.lower_unless not in text:
-            text = text.lower()
-        words = text.split()
-        new = list(set(words).difference(self.known))
+            yield from (self._encode([text.decode()])[0] + self.end for text in texts)
+            return
+        held, size = [], 0
+        for text in texts:
+            if len(text) > SLICE:
+                yield from self._together(held)
+                held, size = [], 0
+                yield b"".join(x[: -len(self.end)] for x in self._together(slices(text))) + self.end
+                continue
+            held.append(text)
+            size += len(text)
+            if size > SLICE:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
+
+    def _lowered(self, text: bytes) -> bytes:
+        """A-Z in lower case where that changes no id: the tokenizer lower-cases too, but composes characters before
+        it does, and a capital may have no composed form with a mark that its small letter has one with. Marks that compose
+        with ASCII letters lie in U+0300 to U+036F, so their UTF-8 begins with these two bytes."""
+        if self.lower_unless is None or self.lower_unless in text or b"\xcc" in text or b"\xcd" in text:
+            return text
+        return text.lower()
+
+    def _together(self, texts: list[bytes]) -> Iterator[bytes]:
+        if not texts:
+            return
+        column = pa.array(list(map(self._lowered, texts)), pa.binary()).cast(pa.string())
+        split = pc.ascii_split_whitespace(column)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [w for w in words if w not in self.known]
         if new:
             if len(self.known) > KNOWN_WORDS:
                 self.known.clear()
-                new = list(set(words))
-            self.known.update(self._encode_words(new))
-        return b"".join(map(self.known.__getitem__, words)) + self.end
+                new = words
+            self.known[""] = b""
+            self.known.update(self._encode_words([w for w in new if w]))
+        parts = [*map(self.known.__getitem__, words), self.end]
+        pool = np.frombuffer(b"".join(parts), self.dtype)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
+        starts = np.cumsum(sizes) - sizes
+        # The end id is a word of its own behind the words of each text.
+        ends = split.offsets.to_numpy()[1:]
+        codes = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(parts) - 1)
+        lengths = sizes[codes]
+        after = np.cumsum(lengths)
+        ids = pool[np.repeat(starts[codes] - (after - lengths), lengths) + np.arange(after[-1])]
+        cuts = [0, *after[ends + np.arange(len(ends))].tolist()]
+        yield from (ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+def slices(text: bytes) -> list[bytes]:
+    """A long text in parts of about SLICE bytes, cut at white space."""
+    out, start = [], 0
+    while len(text) - start > SLICE:
+        space = WHITE.search(text, start + SLICE)
+        if not space:
+            break
+        out.append(text[start : space.start()])
+        start = space.start()
+    return [*out, text[start:]]
 
 
 @cache
@@ -185,7 +244,7 @@ def write(
         name = f"{path}/ids-{part:06d}-{os.urandom(8).hex()}.bin"
         encoder = shared = compressor = out = None
         ids, offsets, counts = [], [], []
-        at = 0
+        at = nulls = 0
         for batch in batches:
             if out is None:
                 encoder = shared_encoder(vocabulary, end_id, whole_text)
@@ -195,11 +254,12 @@ def write(
                 header = MAGIC + bytes([encoder.dtype.itemsize]) + hashlib.sha256(dictionary).digest()
                 out.write(header)
                 at = len(header)
-            for doc_id, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                data = encoder(text)
+            nulls += batch.column(0).null_count
+            encoded = encoder.many(raw_texts(batch.column(1)))
+            for doc_id, data in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 frame = compressor.compress(data)
                 out.write(frame)
-                ids.append(NO_ID if doc_id is None else doc_id)
+                ids.append(doc_id or 0)
                 offsets.append(at)
                 counts.append(len(data) // encoder.dtype.itemsize)
                 at += len(frame)
@@ -207,7 +267,7 @@ def write(
             return
         index = np.array(ids, "<i8").tobytes() + np.array(offsets, "<u8").tobytes() + np.array(counts, "<u8").tobytes()
         out.write(zstandard.compress(index))
-        out.write(struct.pack(FOOTER, at, len(ids), MAGIC))
+        out.write(struct.pack(FOOTER, at, len(ids), nulls, MAGIC))
         out.close()
         schema = pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
         yield record_batch(schema, [part], [os.path.basename(name)], [len(ids)], [sum(counts)])
@@ -246,7 +306,7 @@ class TokenFile:
             raise ValueError(f"{uri}: not a token file of this dictionary")
         self.dtype = np.dtype(f"<u{header[len(MAGIC)]}")
         size, footer = self.file.size(), struct.calcsize(FOOTER)
-        end, n, magic = struct.unpack(FOOTER, self.file.read_at(footer, size - footer))
+        end, n, self.nulls, magic = struct.unpack(FOOTER, self.file.read_at(footer, size - footer))
         if magic != MAGIC:
             raise ValueError(f"{uri}: cut short")
         index = zstandard.decompress(self.file.read_at(size - footer - end, end))
@@ -261,7 +321,7 @@ class TokenFile:
 
     def find(self, doc_id: int) -> np.ndarray:
         """Ids of the first document with this id, by binary search in the index."""
-        k = int(np.searchsorted(self.doc_ids, doc_id))
+        k = self.nulls + int(np.searchsorted(self.doc_ids[self.nulls :], doc_id))
         if k == len(self.doc_ids) or self.doc_ids[k] != doc_id:
             raise KeyError(doc_id)
         return self.ids(k)
@@ -284,7 +344,7 @@ def read(manifest: DataFrame) -> DataFrame:
                         raise ValueError(f"{uri}: document {k} has {len(ids)} ids, its index says {file.counts[k]}")
                     sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
                 starts = base + np.cumsum(file.counts) - file.counts
-                doc_ids = pa.array(file.doc_ids, mask=file.doc_ids == NO_ID)
+                doc_ids = pa.array(file.doc_ids, mask=np.arange(len(file.doc_ids)) < file.nulls)
                 yield record_batch(schema, doc_ids, starts, file.counts, sums)
 
     files = manifest.select("file", "base")

@@ -106,3 +106,33 @@ def test_parts_become_placeholders(spark):
     got = [(a.attachment["kind"], a.attachment["ref"], a.attachment["tokens"]) for a in row.attachments]
     assert got == [("image", "img/1", 4), ("audio", "snd/1", 50), ("document", "doc/1", 1536)]
     assert row.tokens == 3 + 4 + 50 + 1536
+
+
+def test_ids_of_capitals_with_marks():
+    """A capital and a mark may compose to nothing where the small letter and the mark do."""
+    import random
+
+    encoder = token_files.Encoder(token_files.vocabulary_path(), 2)
+    rng = random.Random(11)
+    letters = "TJHWYaeiouİIſßÄ\u0308\u030c\u0331\u030a\u0323\u0345Ωσς\u1e9e中\u00a0\u2003<.,-"
+    texts = ["T\u0308 J\u030c", "", " ", "<s> T\u0308", "A\u030aB"] + [
+        "".join(rng.choice(letters + " \n") for _ in range(rng.randint(1, 40))) for _ in range(3000)
+    ]
+    for text, data in zip(texts, encoder.many([t.encode() for t in texts]), strict=True):
+        whole = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(data, encoder.dtype).tolist() == [*whole, 2], repr(text)
+
+
+def test_long_texts_in_slices(monkeypatch):
+    monkeypatch.setattr(token_files, "SLICE", 50)
+    encoder = token_files.Encoder(token_files.vocabulary_path(), 2)
+    texts = ["some words, and more\tof them. " * 20, "x" * 300, " a  b ", "", "y z" * 30]
+    for text, data in zip(texts, encoder.many([t.encode() for t in texts]), strict=True):
+        whole = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(data, encoder.dtype).tolist() == [*whole, 2]
+
+
+def test_smallest_id_is_not_null(spark):
+    docs = spark.createDataFrame([(-(2**63), "a"), (None, "b"), (0, "c")], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_files.round_trip(spark, docs).collect()}
+    assert set(got) == {None, -(2**63), 0}
