@@ -77,6 +77,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
         .limit(max_rows)
     )
     # At most max_rows pairs of numbers are sent; texts stay where they are.
+    docs = docs.select("doc_id", "text")
     return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id_")).select("doc_id", "text", "label_")
 
 

@@ -69,3 +69,11 @@ def test_l1_leaves_few_weights():
         rule.learn(z, n, np.unique(np.append(noise, 1 if k % 2 else 2)), 1.0, k % 2)
     weights = rule.weights(z, n)
     assert weights[1] > 0.5 > -0.5 > weights[2] and (weights != 0).sum() < 1500
+
+
+def test_columns_with_names_of_its_own(spark, odd_docs):
+    from pyspark.sql import functions as F
+
+    docs = odd_docs.withColumn("id_", F.lit(5)).withColumn("label_", F.lit(1))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 14)], "doc_id long, quality int, toxic int")
+    assert np.array_equal(C.train_toxicity(docs, labels).weights, C.train_toxicity(odd_docs, labels).weights)

@@ -134,3 +134,23 @@ def test_an_intact_gram_between_rarer_ones_is_a_seed(spark):
     docs = [(1, " ".join(copy)), (2, " ".join(words[9:14])), (3, " ".join(words[9:14]))]
     found = D.contaminations(*frames(spark, [(7, " ".join(words))], docs)).collect()
     assert [(r.doc_id, r.item_id, r.score) for r in found] == [(1, 7, smith_waterman(words, copy))]
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    """Equal rows leave one, whatever their ids; others of the same id stay; columns may have any name."""
+    text, other, empty = "one two three four five six seven eight", "nothing of the kind is said in this one", "  "
+    rows = [(1, text), (1, text), (None, text), (2, text), (1, other), (None, None), (None, empty), (None, empty), (3, "a b c d e f g h")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1, 2, 3) for r in rows], "doc_id long, text string, lang string, source string, row_key int, id_shared int, id int")
+    kept = P.drop_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    found = sorted(map(str, (r.text for r in kept.collect())))
+    assert found == sorted(map(str, [text, other, None, empty, empty, "a b c d e f g h"]))
+
+
+def test_contaminated_rows_without_an_id_go(spark, tmp_path):
+    passage = " ".join(f"word{k}" for k in range(60))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"before it {passage} and after"), (None, "clean words of another text altogether"), (5, passage), (5, "clean again"), (6, "clean")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, gone_ int")
+    kept = P.drop_benchmark_copies(spark, docs, str(tmp_path))
+    assert sorted(r.text for r in kept.collect()) == sorted(["clean words of another text altogether", "clean again", "clean"])
