@@ -793,15 +793,18 @@ def rejected_records_report(spark, sf):
 
 @query
 def seed_reports(spark, sf):
-    """Paths and levels in their display order, with the domains' number and weights."""
+    """Paths and levels in their display order, with the domains' number and weights and the learners of each."""
     weights = A.domains(spark, sf).agg(
         F.count(F.lit(1)).alias("domains"), F.sum("exam_weight_percent").alias("total_weight")
     )
+    people = A.people(spark, sf).groupBy("path_id").agg(F.count(F.lit(1)).alias("learners"))
     levels = A.levels(spark).select("experience_level_code", "experience_level_name", "display_order")
     listed = (
         A.paths(spark)
         .select("path_id", "experience_level_code", "duration_weeks", "weekly_study_hours")
         .join(levels, "experience_level_code")
+        .join(people, "path_id", "left")
+        .na.fill(0, ["learners"])
         .withColumn("certification_id", F.lit(T.CERTIFICATION_ID))
     )
     totals = weights.withColumn("certification_id", F.lit(T.CERTIFICATION_ID))

@@ -1131,7 +1131,8 @@ STATEMENTS["seed_reports"] = """
            CAST(p.weekly_study_hours AS DECIMAL(3,0)) AS weekly_study_hours, l.experience_level_name,
            CAST(l.display_order AS DECIMAL(3,0)) AS display_order, 'CERT_SNOWPRO_CORE' AS certification_id,
            (SELECT count(*) FROM domains) AS domains,
-           (SELECT sum(exam_weight_percent) FROM domains) AS total_weight
+           (SELECT sum(exam_weight_percent) FROM domains) AS total_weight,
+           (SELECT count(*) FROM people k WHERE k.path_id = p.path_id) AS learners
     FROM paths p JOIN levels l USING (experience_level_code)"""
 STATEMENTS["rejected_records_report"] = f"""
     SELECT 'LEARNER_INFORMATION' AS pipeline_name, source_record_id,
