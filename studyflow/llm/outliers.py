@@ -8,9 +8,12 @@ taken per (group, bucket), reduced before the shuffle. The nearest buckets that
 give the next estimate. Statistics are transformed, put on a grid of 1/1000 and summed as integers, so
 results do not depend on the order of rows. A group of any size is only ever seen as its buckets.
 
-Groups under MIN_ROWS rows are pooled by language, such pools under MIN_ROWS overall; if that pool is
-small too, its rows are kept. Short texts have noisier statistics; distances allow for that. FLOORS are added to the variances: a statistic that is the same for most
-rows would otherwise reject every other value.
+Estimates are made for the corpus, then for each language, then for each language and source. Each takes the one before as
+PRIOR_ROWS further rows with that mean and covariance, so a group of n rows weighs n / (n + PRIOR_ROWS) against its
+language, and a language so against the corpus: large groups are judged by themselves, small ones by what they belong to,
+without a threshold, and every row past the base rules has a distance. Steps go on until no determinant falls any more
+(STEPS at most). Short texts have noisier statistics; each is weighed by its own noise (NOISE_WORDS). FLOORS are added to the
+variances: a statistic that is the same for most rows would otherwise reject every other value.
 
 Cases: a null text has no words and fails the base rules; null language or source is a group of its
 own; repeated rows count and are judged each; an empty table gives no rows. Extra columns are ignored.
@@ -33,15 +36,18 @@ from studyflow.llm.common import Codes, map_batches, raw_texts, record_batch, st
 SYMBOLS = b"#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 KNOWN_WORDS = 400_000
-MIN_ROWS = 200
-#: Share of a group's rows in the concentrated subset, and the number of concentration steps.
-SUBSET, STEPS = 0.6, 5
+#: What an estimate's parent counts for, in rows.
+PRIOR_ROWS = 200
+#: Share of a group's rows in the concentrated subset; concentration steps at most, and the fall of a determinant's
+#: logarithm that counts as none.
+SUBSET, STEPS, STILL = 0.6, 8, 0.01
 #: Transformed statistics and the standard deviation added to each.
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats", "capitals", "punctuation")
 FLOORS = (0.05, 0.08, 0.30, 0.30, 0.05, 0.05)
 GRID = 1000
-#: A text of n words has statistics 1 + NOISE_WORDS / n times as variable as a very long one.
-NOISE_WORDS = 400
+#: A text of n words has statistics 1 + NOISE_WORDS / n times as variable as a very long one; those that count rare
+#: things (symbols, repeats) are steadier.
+NOISE_WORDS = (400, 50, 400, 400, 400, 400)
 #: Quantiles of chi-squared with six degrees of freedom: the median, and one in a million, twice that being
 #: the limit, since the statistics of texts have heavier tails than normal ones.
 CHI2_MEDIAN, CHI2_CUT = 5.348, 2 * 38.258
@@ -128,41 +134,66 @@ def statistics(docs: DataFrame) -> DataFrame:
     return map_batches(rows, run, columns)
 
 
-def fit_groups(rows: DataFrame) -> DataFrame:
-    """(lang_, source_, fit_): the group whose estimate judges a language and source."""
+def fit_keys() -> list[Column]:
+    """The corpus, the language, and the language and source of a row, as keys; null is a value of its own."""
     lang = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("-")).alias("lang_")
     source = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("source_")
-    own = rows.groupBy(lang, source).count()
-    small = F.when(F.col("count") < MIN_ROWS, F.col("count")).otherwise(0)
-    by_lang = own.groupBy("lang_").agg(F.sum(small).alias("lang_rows"))
-    level = (
-        F.when(F.col("count") >= MIN_ROWS, F.to_json(F.struct("lang_", "source_")))
-        .when(F.col("lang_rows") >= MIN_ROWS, F.to_json(F.struct("lang_")))
-        .otherwise(F.lit("all"))
-    )
-    return own.join(by_lang, "lang_").select("lang_", "source_", level.alias("fit_"))
+    return [F.lit("all"), F.to_json(F.struct(lang)), F.to_json(F.struct(lang, source))]
 
 
 _PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
 
 
 def _distance() -> Column:
-    """Squared Mahalanobis distance from ``centre`` under the inverse covariance ``inverse``, over the
-    variance that a text of this length has."""
-    off = [F.col(f) / GRID - F.col("centre")[i] for i, f in enumerate(FEATURES)]
+    """Squared Mahalanobis distance from ``centre`` under the inverse covariance ``inverse``, each statistic against the
+    noise that a text of this length has."""
+    off = [
+        (F.col(f) / GRID - F.col("centre")[i]) * F.sqrt(F.col("n_words") / (F.col("n_words") + NOISE_WORDS[i]))
+        for i, f in enumerate(FEATURES)
+    ]
     terms = [
         off[i] * off[j] * F.col("inverse")[i * len(FEATURES) + j] * (1 if i == j else 2) for i, j in _PAIRS
     ]
     total = terms[0]
     for term in terms[1:]:
         total = total + term
-    return F.greatest(total, F.lit(0.0)) * F.col("n_words") / (F.col("n_words") + NOISE_WORDS)
+    return F.greatest(total, F.lit(0.0))
 
 
 def _inverse(covariance: np.ndarray) -> list[float]:
     return np.linalg.inv(covariance + np.diag(np.square(FLOORS))).ravel().tolist()
 
 
+#: Estimate of a group: its key and its parent's, centre, covariance (without floors), inverse, median distance, log determinant.
+_ESTIMATE = (
+    "fit_ string, parent_ string, centre array<double>, covariance array<double>, inverse array<double>, "
+    "median double, logdet double"
+)
+
+
+def _estimate(fit: str, parent: str, centre: np.ndarray, covariance: np.ndarray, median: float) -> dict:
+    floored = covariance + np.diag(np.square(FLOORS))
+    return {
+        "fit_": fit,
+        "parent_": parent,
+        "centre": centre.tolist(),
+        "covariance": covariance.ravel().tolist(),
+        "inverse": np.linalg.inv(floored).ravel().tolist(),
+        "median": median,
+        "logdet": float(np.linalg.slogdet(floored)[1]),
+    }
+
+
+def _blended(n: float, centre, covariance, median: float, prior) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean and covariance of ``n`` rows together with PRIOR_ROWS rows that have the prior's; medians by their logarithms."""
+    other = np.array(prior["prior_centre"], float)
+    spread = np.array(prior["prior_covariance"], float).reshape(covariance.shape)
+    own, rest = n / (n + PRIOR_ROWS), PRIOR_ROWS / (n + PRIOR_ROWS)
+    away = np.outer(centre - other, centre - other)
+    mixed = own * covariance + rest * spread + own * rest * away
+    return own * centre + rest * other, mixed, float(np.exp(own * np.log(median) + rest * np.log(prior["prior_median"])))
+
+
 def _concentrate(buckets: pd.DataFrame) -> pd.DataFrame:
     """One group's buckets to its next estimate; at most some thousand rows come in."""
     buckets = buckets.sort_values("bucket")
@@ -179,14 +210,13 @@ def _concentrate(buckets: pd.DataFrame) -> pd.DataFrame:
         product = float(buckets[f"p{i}_{j}"].iloc[:near].sum()) / GRID**2
         covariance[i, j] = covariance[j, i] = product / n - centre[i] * centre[j]
     median = 2.0 ** ((float(buckets["bucket"].iloc[middle]) + 0.5) / BUCKETS_PER_DOUBLING)
-    return pd.DataFrame(
-        {
-            "fit_": [buckets["fit_"].iloc[0]],
-            "centre": [centre.tolist()],
-            "inverse": [_inverse(covariance)],
-            "median": [median],
-        }
-    )
+    first = buckets.iloc[0]
+    if first["prior_centre"] is not None:
+        centre, covariance, median = _blended(n, centre, covariance, median, first)
+    return pd.DataFrame([_estimate(first["fit_"], first["parent_"], centre, covariance, median)])
+
+
+_PRIOR = ["prior_centre", "prior_covariance", "prior_median"]
 
 
 def _bucketed(rows: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -196,66 +226,68 @@ def _bucketed(rows: DataFrame, estimates: DataFrame) -> DataFrame:
         F.sum(F.col(FEATURES[i]).cast("long") * F.col(FEATURES[j])).alias(f"p{i}_{j}") for i, j in _PAIRS
     ]
     return (
-        rows.join(estimates, "fit_")
+        rows.join(estimates.select("fit_", "centre", "inverse"), "fit_")
         .groupBy("fit_", bucket.alias("bucket"))
         .agg(F.count("*").alias("n"), *sums, *products)
     )
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """(fit_, centre, inverse, median) of every group of MIN_ROWS rows or more."""
-    quartiles = rows.groupBy("fit_").agg(
-        F.count("*").alias("n"),
+def estimates(rows: DataFrame, priors: DataFrame | None) -> DataFrame:
+    """Estimates of all groups ``fit_`` of ``rows``; ``priors``: those of their parents ``parent_``, none for the corpus."""
+    quartiles = rows.groupBy("fit_", "parent_").agg(
         *[F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f) for f in FEATURES],
     )
-    quartiles = quartiles.where(F.col("n") >= MIN_ROWS).drop("n")
 
     def start(row: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in row:
-            quarters = [np.array(frame[f].tolist(), float).reshape(-1, 3) / GRID for f in FEATURES]
-            centre = np.stack([q[:, 1] for q in quarters], 1)
-            spread = np.stack([(q[:, 2] - q[:, 0]) / 1.349 for q in quarters], 1)
-            yield pd.DataFrame(
-                {
-                    "fit_": frame["fit_"],
-                    "centre": centre.tolist(),
-                    "inverse": [_inverse(np.diag(s * s)) for s in spread],
-                    "median": 1.0,
-                }
-            )
-
-    schema = "fit_ string, centre array<double>, inverse array<double>, median double"
-    current = stored(quartiles.mapInPandas(start, schema), "mcd")
+            out = []
+            for _, one in frame.iterrows():
+                quarters = np.array([np.array(one[f], float) for f in FEATURES]) / GRID
+                spread = (quarters[:, 2] - quarters[:, 0]) / 1.349
+                out.append(_estimate(one["fit_"], one["parent_"], quarters[:, 1], np.diag(spread * spread), 1.0))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _ESTIMATE.split(", ")])
+
+    current = stored(quartiles.mapInPandas(start, _ESTIMATE), "mcd")
+    if priors is None:
+        prior = current.select("fit_", "parent_", *[F.lit(None).alias(c) for c in _PRIOR])
+        kinds = ("array<double>", "array<double>", "double")
+        prior = prior.select("fit_", "parent_", *[F.col(c).cast(k) for c, k in zip(_PRIOR, kinds, strict=True)])
+    else:
+        given = priors.select(
+            F.col("fit_").alias("of_"), F.col("centre").alias("prior_centre"),
+            F.col("covariance").alias("prior_covariance"), F.col("median").alias("prior_median"),
+        )
+        prior = current.select("fit_", "parent_").join(given, F.col("parent_") == F.col("of_")).drop("of_")
+    prior = stored(prior, "mcd-priors")
     for _ in range(STEPS):
-        current = stored(_bucketed(rows, current).groupBy("fit_").applyInPandas(_concentrate, schema), "mcd")
+        before = current.select("fit_", F.col("logdet").alias("was"))
+        buckets = _bucketed(rows, current).join(prior, "fit_")
+        current = stored(buckets.groupBy("fit_").applyInPandas(_concentrate, _ESTIMATE), "mcd")
+        moved = current.join(before, "fit_").agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+        if moved is None or moved < STILL:
+            break
     # The last step's median belongs to distances under the estimate before it, by then the same.
     return current
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """Statistics, base_failed, distance (null where nothing judges) and kept of every document."""
+    """Statistics, base_failed, distance (null where the base rules fail) and kept of every document."""
     table = stored(statistics(docs), "statistics")
     failed = (F.col("n_words") < MIN_WORDS) | (
         F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words")
     )
     table = table.withColumn("base_failed", failed)
+    keys = fit_keys()
     passed = table.where(~F.col("base_failed"))
-    groups = stored(fit_groups(passed), "fit-groups")
-
-    def grouped(rows: DataFrame) -> DataFrame:
-        return (
-            rows.withColumn("lang_", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("-")))
-            .withColumn("source_", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
-            .join(groups, ["lang_", "source_"], "left")
-            .drop("lang_", "source_")
-        )
-
-    fitted = stored(grouped(passed).select("fit_", "n_words", *FEATURES), "fit-rows")
-    current = estimates(fitted)
+    current = None
+    for level, key in enumerate(keys):
+        parent = keys[level - 1] if level else F.lit("")
+        rows = stored(passed.select(key.alias("fit_"), parent.alias("parent_"), "n_words", *FEATURES), "fit-rows")
+        current = estimates(rows, current)
     distance = _distance() * CHI2_MEDIAN / F.col("median")
     return (
-        grouped(table)
-        .join(current, "fit_", "left")
-        .withColumn("distance", distance)
+        table.withColumn("fit_", keys[-1])
+        .join(current.drop("parent_"), "fit_", "left")
+        .withColumn("distance", F.when(~F.col("base_failed"), distance))
         .withColumn("kept", ~F.col("base_failed") & ~(F.coalesce("distance", F.lit(0.0)) > CHI2_CUT))
     )
