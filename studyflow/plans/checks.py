@@ -185,6 +185,7 @@ def quality_report(t: dict[str, DataFrame]) -> DataFrame:
         F.col("c.n").cast("string").alias("actual_value"),
         F.col("c.e").alias("expected_value"),
     )
+    # The names of the checks and the texts of what they expect.
     checks = [
         weights.select(
             F.lit("01_DOMAIN_WEIGHTS_TOTAL").alias("test_name"),
