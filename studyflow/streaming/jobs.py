@@ -141,7 +141,7 @@ def record_directly(
     the checked calls with their event ids. ``calls`` carry file name and row number."""
 
     def checked() -> DataFrame:
-        held = _assigned(store, calls.select("enrollment_id"))
+        held = _assigned(store, calls.select("enrollment_id")).distinct()
         return activity.validate_direct(calls, held, T.LINEAGE).withColumn(
             "event_id", activity.new_event_id()
         )
@@ -154,13 +154,14 @@ def record_directly(
 
 
 def _assigned(store: Store, enrollments: DataFrame) -> DataFrame:
-    """(enrollment, topic) pairs that have progress, assigned or added by events, of the buckets of ``enrollments``."""
+    """(enrollment, topic) pairs that have progress, assigned or added by events, of the buckets of ``enrollments``; a
+    pair may come several times."""
     buckets = store.touched(enrollments)
     pairs = [
         store.in_buckets(log, buckets).select("enrollment_id", "topic_id")
         for log in ("topic_assignments", "progress_rollups")
     ]
-    return pairs[0].unionByName(pairs[1]).distinct()
+    return pairs[0].unionByName(pairs[1])
 
 
 def _register(

@@ -157,3 +157,12 @@ def test_rejects_resolve_only_after_a_later_acceptance(spark):
     resolved = AU.resolve_rejects(rejects, ledger).orderBy("rejection_id").collect()
     assert [r.resolved_flag for r in resolved] == [True, False, False, False]
     assert [str(r.resolved_at) for r in resolved] == ["2026-01-01 12:00:00", "None", "None", "None"]
+
+
+def test_fanout_of_one_task_is_dealt_out(spark, plan):
+    """Whatever is shuffled later can be split no finer than by the tasks that made it."""
+    rows = spark.range(0, 2000, 1, 1).selectExpr(
+        "concat('E', id) as enrollment_id", "'PATH_0_5' as path_id", "'ACTIVE' as enrollment_status"
+    )
+    per_task = [r["count"] for r in S.fanout(rows, plan).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 2000 * 31 and max(per_task) < 2000 * 31 // 16
