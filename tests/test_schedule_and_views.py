@@ -166,3 +166,21 @@ def test_fanout_of_one_task_is_dealt_out(spark, plan):
     )
     per_task = [r["count"] for r in S.fanout(rows, plan).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(per_task) == 2000 * 31 and max(per_task) < 2000 * 31 // 16
+
+
+def test_outcome_check_does_not_broadcast_progress(spark, capsys):
+    expected = spark.createDataFrame(
+        [("E7", "D01_T01", "COMPLETED", 100, 2)],
+        "enrollment_id string, topic_id string, status string, percent int, hours int",
+    )
+    progress = spark.range(100).selectExpr(
+        "concat('E', id) as enrollment_id", "'D01_T01' as topic_id", "'COMPLETED' as progress_status",
+        "cast(100 as decimal(5,2)) as completion_percent", "cast(2 as decimal(7,2)) as hours_spent",
+    )
+    check = C._derived_outcome_check({"progress": progress}, "TC-011", expected, "found")
+    assert [tuple(r)[2:] for r in check.collect()] == [("COMPLETED / 100.00 / 2.00 hours",) * 2 + ("PASS",)]
+    check.explain()
+    text = capsys.readouterr().out
+    assert "LeftSemi" in text and text.index("LeftOuter") < text.index("LeftSemi")
+    other = C._derived_outcome_check({"progress": progress.limit(0)}, "TC-011", expected, "found")
+    assert [tuple(r)[3:] for r in other.collect()] == [("No result", "FAIL")]
