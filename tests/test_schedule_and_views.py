@@ -168,6 +168,19 @@ def test_fanout_of_one_task_is_dealt_out(spark, plan):
     assert sum(per_task) == 2000 * 31 and max(per_task) < 2000 * 31 // 16
 
 
+def test_assignments_are_not_combined_before_their_shuffle(spark, folder, capsys):
+    from studyflow.plans import progress as P
+    from studyflow.sources.reference import empty_table
+
+    assigned = f"{T.PROGRESS_SCHEMA}, applied_at timestamp_ntz, batch string, bucket int"
+    rolled = f"{P.ROLLUP_SCHEMA}, applied_at timestamp_ntz, batch string, bucket int"
+    for k, schema in enumerate((assigned, rolled)):
+        empty_table(spark, schema).write.parquet(f"{folder}/{k}")
+    P.from_logs(*[spark.read.parquet(f"{folder}/{k}") for k in range(2)]).explain()
+    text = capsys.readouterr().out
+    assert text.count("REPARTITION_BY_NUM") == 2 and text.count("ENSURE_REQUIREMENTS") == 0
+
+
 def test_outcome_check_does_not_broadcast_progress(spark, capsys):
     expected = spark.createDataFrame(
         [("E7", "D01_T01", "COMPLETED", 100, 2)],
