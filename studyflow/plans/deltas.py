@@ -3,7 +3,8 @@
 ``progress_sums`` holds a row of exact whole numbers per enrollment (see ``views.progress_base``). An update finds the batches
 of enrollments, assignments and rollups that no earlier update has seen, takes the enrollments they name, and appends
 new sums for those alone; the newest row of an enrollment counts. It opens only the buckets of progress that hold a changed
-enrollment, so its cost follows the change. Reports read the sums and never progress.
+enrollment, and folds the topics that were begun: one that was only assigned adds nothing to a sum. So its cost follows the
+change. Reports read the sums and never progress.
 
 A change of the plan or of the topics concerns every enrollment: call ``update_sums`` with ``everything=True`` after it.
 """
@@ -15,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from studyflow.plans import views
+from studyflow.plans import progress, views
 from studyflow.sources.store import Store
 
 INPUTS = ("enrollments", "topic_assignments", "progress_rollups")
@@ -28,6 +29,20 @@ def unseen(store: Store) -> dict[str, list[str]]:
     return {log: [b for b in store.batches(log) if (log, b) not in seen] for log in INPUTS}
 
 
+def begun_progress(store: Store, changed: DataFrame, buckets: list[int], batch: str) -> DataFrame:
+    """Topic progress of ``changed`` enrollments, without topics that no event and no assignment has begun.
+
+    Of the assignments, by far the larger log, only those of (enrollment, topic) pairs with some progress in one of them
+    are folded. Which of these counts is left to the fold.
+    """
+    assigned = store.in_buckets("topic_assignments", buckets, log=True)
+    rollups = store.in_buckets("progress_rollups", buckets, log=True).join(changed, "enrollment_id", "left_semi")
+    some = (F.col("progress_status") != "NOT_STARTED") | (F.col("completion_percent") != 0) | (F.col("hours_spent") != 0)
+    pairs, _ = store.freeze("begun", batch, lambda: assigned.where(some).select(*progress.KEYS).distinct())
+    mine = assigned.join(changed, "enrollment_id", "left_semi").join(pairs, progress.KEYS, "left_semi")
+    return progress.from_logs(mine, rollups)
+
+
 def update_sums(store: Store, batch: str, now: Column, everything: bool = False) -> list[int]:
     """Append the sums of changed enrollments. Returns the buckets of progress that were opened.
 
@@ -46,15 +61,16 @@ def update_sums(store: Store, batch: str, now: Column, everything: bool = False)
         ).distinct()
     changed, _ = store.freeze("changed", batch, lambda: changed)
     buckets = store.touched(changed)
-    progress = store.in_buckets("topic_progress", buckets).join(changed, "enrollment_id", "left_semi")
+    folded = begun_progress(store, changed, buckets, batch)
     enrolled = store.read("enrollments").join(changed, "enrollment_id", "left_semi")
     plan = views.plan_domains(store.read("path_topic_plan"), store.read("study_topics"), store.read("exam_domains"))
-    sums = views.progress_base(enrolled, plan, progress).select("enrollment_id", *SUMS, "by_domain")
+    sums = views.progress_base(enrolled, plan, folded).select("enrollment_id", *SUMS, "by_domain")
     store.append("progress_sums", sums, batch, now)
     if names:
         seen = F.array(*[F.struct(F.lit(log).alias("log"), F.lit(b).alias("of_batch")) for log, b in names])
         store.append("summed_batches", store.spark.range(1).select(F.inline(seen)), batch, now)
-    store.release("changed", batch)
+    for frozen in ("changed", "begun"):
+        store.release(frozen, batch)
     return buckets
 
 

@@ -252,6 +252,36 @@ def test_sums_equal_the_full_computation_and_follow_the_change(spark, folder):
     same()
 
 
+def test_sums_fold_begun_topics_only(spark, folder, monkeypatch):
+    from studyflow.plans import deltas, views
+
+    demo = Demo(spark, folder)
+    store, now = demo.store, F.lit(FX.CLOCK).cast("timestamp_ntz")
+    demo.learners("learners", [[f"L{k}", f"E{k}", "N", "n@example.com", "Ops", str(k % 11)] for k in range(12)])
+    fresh = store.read("topic_assignments").where("topic_id in ('D01_T01', 'D01_T02')")
+    status = F.when(F.col("topic_id") == "D01_T01", "IN_PROGRESS").otherwise("COMPLETED")
+    done = fresh.withColumns({"progress_status": status, "completion_percent": F.lit(40), "hours_spent": F.lit(2)})
+    # A first assignment with progress counts, one after an untouched one does not.
+    store.append("topic_assignments", done.where("topic_id = 'D01_T01'"), "before", now - F.expr("interval 9 day"))
+    store.append("topic_assignments", done.where("topic_id = 'D01_T02'"), "after", now + F.expr("interval 9 day"))
+    folded, fold = [], deltas.progress.from_logs
+
+    def watched(assignments, rollups):
+        folded.append({r.topic_id for r in assignments.collect()})
+        return fold(assignments, rollups)
+
+    monkeypatch.setattr(deltas.progress, "from_logs", watched)
+    deltas.update_sums(store, "s1", now)
+    monkeypatch.undo()
+    assert folded == [{"D01_T01", "D01_T02"}]
+    sums = ["enrollment_id", *deltas.SUMS]
+    plan = views.plan_domains(store.read("path_topic_plan"), store.read("study_topics"), store.read("exam_domains"))
+    full = views.progress_base(store.read("enrollments"), plan, store.read("topic_progress")).select(*sums)
+    mine = sorted(map(str, deltas.base(store).select(*sums).collect()))
+    assert mine == sorted(map(str, full.collect()))
+    assert {r.percent for r in deltas.base(store).collect()} == {4000}
+
+
 def test_learner_and_progress_streams_together(spark, folder):
     """Both add to topic progress; neither loses what the other wrote."""
     demo = Demo(spark, folder)
