@@ -13,6 +13,11 @@ join keeps an inverted index over set prefixes and skips along two kinds of set
   and both radii (Jaccard distance is a metric), no member can link, and none is looked at. If they
   link, so are the members linked to them one component; a member that is not (a stray) may still link
   to one of the other cluster. What lies between, and strays, are compared member by member.
+* A set moves to the cluster of a hub that it links to exactly: of the sets that lead the lists it is in, by
+  their share of tokens that no other prefix has, the one it has most in common with. So most of a large
+  loose group is one cluster, compared with its hub alone.
+* Those tokens are lost to any overlap: pairs in which the set whose prefix ends first has lost too many are
+  skipped. Parities of shingles on 256 bits rule out most other pairs of members. Both bounds are exact.
 
 Tokens are ordered by how often their hash bucket occurs in the corpus (2**18 counters), rare ones first,
 so that widely shared passages stay out of prefixes. All pairs within a group are never made.
@@ -31,7 +36,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studyflow.llm.common import Codes, map_batches, raw_texts, record_batch, stored
@@ -45,12 +50,15 @@ ALIKE = 0.9
 #: Pairs must share so many prefix tokens, or as many as their sizes demand.
 SHARED = 3
 FILTER_BITS = 24
+LIMITS = ["low", "high", "spare", "end_first", "end_last"]
+PARITY = ["size", "parity"]
 #: Linked sets are at most so far apart (and a hair more, for rounding).
 REACH = 0.2 + 1e-9
 
 _MASK = np.uint64((1 << COUNTER_BITS) - 1)
 _REST = np.uint64(COUNTER_BITS)
 _TOP = np.uint64(64 - COUNTER_BITS)
+_SIGN = np.uint64(1 << 63)
 _POWERS = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(SHINGLE)]
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -199,10 +207,11 @@ def prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
                 hashes = shingles(text, codes)
                 n = len(hashes)
                 length = min(n, n - -(-4 * n // 5) + SHARED)
-                # Counter ranks differ, so this is the hash in another order of its bits: nothing is lost.
+                # Counter ranks differ, so this is the hash in another order of its bits: nothing is lost. The
+                # sign bit is turned, so that Spark compares tokens in the same order.
                 keys = np.sort((order[hashes & _MASK] << _TOP) | (hashes >> _REST))
                 sizes.append(n)
-                tokens.append(keys[:length].view(np.int64))
+                tokens.append((keys[:length] ^ _SIGN).view(np.int64))
             yield record_batch(schema, batch.column(0), sizes, tokens)
 
     return map_batches(_texts(docs).where("doc_id IS NOT NULL"), run, "doc_id long, n long, tokens array<long>")
@@ -213,22 +222,109 @@ def needed(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * 4 / F.lit(9.0) - 1e-9)
 
 
+def shared_entries(kept: DataFrame) -> DataFrame:
+    """(rep, n, place, token, end, spare) of prefix tokens that more than one entry has.
+
+    ``end`` is the set's last prefix token. Of two sets, all prefix tokens of the one that ends first would be in
+    the other's prefix too if they were in its set. So its tokens that no other prefix has are lost to the overlap,
+    and a link needs ``spare`` = 5 n - 9 (lost tokens) >= 4 (size of the other).
+    """
+    entries = kept.select(
+        "rep", "n", F.xxhash64("tokens").alias("set"), F.size("tokens").alias("length"),
+        F.element_at("tokens", -1).alias("end"), F.posexplode("tokens").alias("place", "token"),
+    )
+    times = F.count("*").over(Window.partitionBy("token"))
+    shared = stored(entries.withColumn("times", times).where("times > 1").drop("times"), "shared-entries")
+    sums = shared.groupBy(F.col("rep").alias("of"), F.col("set").alias("of_set")).agg(F.count("*").alias("met"))
+    lost = F.col("length") - F.col("met")
+    # Linked sets share so many tokens of their prefixes.
+    enough = F.col("met") >= F.least(F.lit(SHARED), needed(F.col("n"), F.floor(F.col("n") * 0.8)))
+    both = shared.join(sums, (F.col("rep") == F.col("of")) & (F.col("set") == F.col("of_set"))).where(enough)
+    return both.select("rep", "n", "place", "token", "end", (F.col("n") * 5 - lost * 9).alias("spare"))
+
+
+def bounds() -> list[Column]:
+    """LIMITS of a group of entries."""
+    return [
+        F.min("n").alias("low"),
+        F.max("n").alias("high"),
+        F.max("spare").alias("spare"),
+        F.min("end").alias("end_first"),
+        F.max("end").alias("end_last"),
+    ]
+
+
+def may_link(a: str, b: str) -> Column:
+    """Whether sizes, spare tokens and ends leave a link between some of the sets of either side possible."""
+    of = lambda side, name: F.col(f"{side}_{name}")
+    sizes = (of(a, "high") * 5 >= of(b, "low") * 4) & (of(b, "high") * 5 >= of(a, "low") * 4)
+    first = (of(a, "spare") >= of(b, "low") * 4) & (of(a, "end_first") <= of(b, "end_last"))
+    second = (of(b, "spare") >= of(a, "low") * 4) & (of(b, "end_first") <= of(a, "end_last"))
+    return sizes & (first | second)
+
+
+def close(a: str, b: str) -> Column:
+    """Whether parities leave a link possible: bits in which they differ are no more than the shingles that one set
+    has and the other has not, of which linked sets have a ninth of both sizes at most."""
+    bits = [F.bit_count(F.col(f"{a}_parity")[k].bitwiseXOR(F.col(f"{b}_parity")[k])) for k in range(4)]
+    return F.coalesce((bits[0] + bits[1] + bits[2] + bits[3]) * 9 <= F.col(f"{a}_size") + F.col(f"{b}_size"), F.lit(True))
+
+
+def claims(shared: DataFrame) -> DataFrame:
+    """(rep, hub): for each set the one that it shares most prefix tokens with, among the sets that lead a token's
+    list by the smallest share of lost tokens. One row a set, however long the lists."""
+    central = F.struct((-F.col("spare") / F.col("n")).alias("lost"), (-F.col("n")).alias("size"), F.col("rep").alias("hub"))
+    leads = shared.groupBy("token").agg(F.min(central).alias("lead"))
+    counts = shared.join(leads, "token").where("rep <> lead.hub").groupBy("rep", "lead").agg(F.count("*").alias("common"))
+    lead = F.struct("common", (-F.col("lead.lost")).alias("lost"), F.col("lead.size"), F.col("lead.hub"))
+    best = counts.groupBy("rep").agg(F.max(lead).alias("best"), F.max_by("lead", lead).alias("lead"))
+    own = shared.groupBy(F.col("rep").alias("of")).agg(F.min(central).alias("mine"))
+    # Only towards the middle, so that no two claim each other.
+    return best.join(own, F.col("rep") == F.col("of")).where("lead < mine").select("rep", F.col("lead.hub").alias("hub"))
+
+
+def regrouped(grouped: DataFrame, claimed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, cluster): sets that link to their hub, or to its hub, go to its cluster; others stay with a pivot that stays."""
+    onward = claimed.select(F.col("rep").alias("hub"), F.col("hub").alias("next"))
+    far = onward.select(F.col("hub").alias("next"), F.col("next").alias("last"))
+    reached = claimed.join(onward, "hub", "left").join(far, "next", "left")
+    wanted = reached.select("rep", F.explode(F.array("hub", "next", "last")).alias("hub")).where("hub IS NOT NULL").distinct()
+    pairs = wanted.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), "rep", "hub")
+    near = similarities(stored(pairs.select("a", "b").distinct(), "claims"), sets).where("linked").drop("linked")
+    found = stored(pairs.join(near, ["a", "b"]).select("rep", "hub", "distance"), "claimed")
+    # The hub that most sets link to; hubs that follow no other keep their place.
+    weight = found.groupBy("hub").agg(F.count("*").alias("weight"))
+    ranked = found.join(weight, "hub")
+    order = F.struct("weight", (-F.col("hub")).alias("least"))
+    choice = ranked.groupBy("rep").agg(F.max(order).alias("best"))
+    own = weight.select(F.col("hub").alias("of"), order.alias("mine"))
+    choice = choice.join(own, F.col("rep") == F.col("of"), "left").where("mine IS NULL OR best > mine")
+    choice = stored(choice.select("rep", (-F.col("best.least")).alias("cluster")), "choice")
+    taken = choice.select(F.col("rep").alias("cluster"))
+    moved = choice.join(taken, "cluster", "left_anti").select("rep", "cluster")
+    gone = moved.select("rep")
+    rest = grouped.join(gone, "rep", "left_anti").join(gone.select(F.col("rep").alias("cluster")), "cluster", "left_anti")
+    # A hub that was a member leaves its cluster; a pivot that becomes a hub keeps its members.
+    hubs = moved.select(F.col("cluster").alias("rep")).distinct()
+    rest = rest.join(hubs, "rep", "left_anti").select("rep", "cluster")
+    return moved.unionByName(rest)
+
+
 def candidates(postings: DataFrame) -> DataFrame:
-    """(a, b) of clusters, a < b, from (token, cluster, low, high, place): sizes and places of members
-    as ranges. Lists are matched by token; entries whose places or sizes rule a link out are skipped."""
+    """(a, b) of clusters, a < b, from (token, cluster, first, last and bounds): sizes and places of members
+    as ranges. Lists are matched by token; entries that rule a link out are skipped."""
     left = postings.select("token", *[F.col(c).alias(f"a_{c}") for c in postings.columns if c != "token"])
     right = postings.select("token", *[F.col(c).alias(f"b_{c}") for c in postings.columns if c != "token"])
     c = F.col
-    sizes = (c("a_high") * 5 >= c("b_low") * 4) & (c("b_high") * 5 >= c("a_low") * 4)
     # Shared before this token: at most the smaller place. From it on: at most what either set has left.
     before = F.least("a_last", "b_last")
     after = F.least(c("a_high") - c("a_first"), c("b_high") - c("b_first"))
     least = needed(c("a_low"), c("b_low"))
     return (
         left.join(right, "token")
-        .where((c("a_cluster") < c("b_cluster")) & sizes & (before + after >= least))
+        .where((c("a_cluster") < c("b_cluster")) & may_link("a", "b") & (before + after >= least))
         .groupBy(c("a_cluster").alias("a"), c("b_cluster").alias("b"))
-        .agg(F.count("*").alias("shared"), F.first(least).alias("least"))
+        .agg(F.count("*").alias("shared"), F.min(least).alias("least"))
         .where(c("shared") >= F.least(F.lit(SHARED), c("least")))
         .select("a", "b")
     )
@@ -249,10 +345,18 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return bits.view(np.uint8)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """256 bits: whether an odd number of the set's shingles falls on each."""
+    odd = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, n, hashes) of the documents in ``ids`` (and of few others, whose bit is the same)."""
+    """(id, n, hashes, parity) of the documents in ``ids`` (and of few others, whose bit is the same)."""
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+    schema = pa.schema(
+        [("id", pa.int64()), ("n", pa.int64()), ("hashes", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, known = word_codes(), bits.value
@@ -261,11 +365,12 @@ def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             chosen = pa.array((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
             kept = batch.filter(chosen)
             sets = [shingles(text, codes) for text in raw_texts(kept.column(1))]
-            yield record_batch(schema, kept.column(0), [len(s) for s in sets], [s.view(np.int64) for s in sets])
+            hashes, odd = [s.view(np.int64) for s in sets], [parities(s) for s in sets]
+            yield record_batch(schema, kept.column(0), [len(s) for s in sets], hashes, odd)
 
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
     rows = _texts(docs).where("doc_id IS NOT NULL").withColumn("bit", bit)
-    return map_batches(rows, run, "id long, n long, hashes array<long>")
+    return map_batches(rows, run, "id long, n long, hashes array<long>, parity array<long>")
 
 
 def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -307,42 +412,39 @@ def linked_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     table = stored(signatures(docs), "signatures")
     sets = stored(classes(table), "sets")
-    grouped = stored(clusters(sets), "clusters")
+    kept = prefixes(docs, counter_ranks(table)).join(sets.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
+    shared = stored(shared_entries(kept.withColumnRenamed("doc_id", "rep")), "shared")
+    first = stored(clusters(sets), "clusters")
+    ids = shared.select(F.col("rep").alias("id")).union(first.select("rep")).union(first.select("cluster")).distinct()
+    whole = stored(whole_sets(docs, ids), "whole-sets")
+    grouped = stored(regrouped(first, stored(claims(shared), "hubs"), whole), "regrouped")
     members = grouped.select("rep", "cluster").union(
         grouped.select(F.col("cluster").alias("rep"), "cluster").distinct()
     )
     members = stored(members, "members")
+    known = sets.select("rep").distinct().join(members, "rep", "left").select("rep", F.coalesce("cluster", "rep").alias("cluster"))
+    known = stored(known, "known")
 
-    taken = prefixes(docs, counter_ranks(table))
-    known = sets.select("rep").join(members, "rep", "left").select("rep", "cluster")
-    kept = stored(
-        taken.join(known, taken["doc_id"] == known["rep"]).select("rep", "cluster", "n", "tokens"), "prefixes"
-    )
-    entries = kept.select("rep", "cluster", "n", F.posexplode("tokens").alias("place", "token"))
-    one = entries.where("cluster IS NULL").select(
-        "token",
-        F.col("rep").alias("cluster"),
-        F.col("n").alias("low"),
-        F.col("n").alias("high"),
-        F.col("place").alias("first"),
-        F.col("place").alias("last"),
-    )
-    many = (
-        entries.where("cluster IS NOT NULL")
+    postings = (
+        shared.join(known, "rep")
         .groupBy("token", "cluster")
-        .agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("place").alias("first"), F.max("place").alias("last"))
+        .agg(F.min("place").alias("first"), F.max("place").alias("last"), *bounds())
     )
-    found = stored(candidates(one.unionByName(many)), "candidates")
+    found = stored(candidates(postings), "candidates")
 
     spokes = grouped.select(F.col("cluster").alias("a"), F.col("rep").alias("b"))
     pairs = stored(found.union(spokes), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("rep")).distinct()
-    whole = stored(whole_sets(docs, ids), "whole-sets")
     checked = stored(similarities(pairs, whole), "checked")
 
     offs = checked.join(spokes, ["a", "b"], "left_semi").select(F.col("b").alias("rep"), F.col("distance").alias("off"), "linked")
-    placed = known.select("rep", F.coalesce("cluster", "rep").alias("cluster")).join(offs, "rep", "left").select(
-        "rep", "cluster", F.coalesce("off", F.lit(0.0)).alias("off"), F.coalesce("linked", F.lit(True)).alias("linked")
+    limits = shared.groupBy("rep").agg(*bounds())
+    # Of an id with several sets nothing is told by one of them.
+    odd = whole.groupBy(F.col("id").alias("rep")).agg(
+        F.when(F.count("*") == 1, F.first("n")).alias("size"), F.when(F.count("*") == 1, F.first("parity")).alias("parity")
+    )
+    placed = known.join(offs, "rep", "left").join(limits, "rep", "left").join(odd, "rep", "left").select(
+        "rep", "cluster", F.coalesce("off", F.lit(0.0)).alias("off"), F.coalesce("linked", F.lit(True)).alias("linked"),
+        *LIMITS, *PARITY,
     )
     placed = stored(placed, "placed")
     links = checked.where("linked").select("a", "b")
@@ -371,15 +473,17 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def with_components(placed: DataFrame, found: DataFrame) -> DataFrame:
     rows = placed.join(found, F.col("rep") == F.col("id"), "left")
-    return stored(rows.select("rep", "cluster", "off", F.coalesce("component", "rep").alias("component")), "placed")
+    return stored(rows.select("rep", "cluster", "off", *LIMITS, *PARITY, F.coalesce("component", "rep").alias("component")), "placed")
 
 
 def stray_pairs(placed: DataFrame) -> DataFrame:
     """(a, b): members that do not link to their pivot, with those of their cluster within reach."""
-    stray = placed.where("NOT linked").select(F.col("rep").alias("stray"), "cluster", F.col("off").alias("far"))
-    within = (F.col("rep") != F.col("stray")) & (F.col("rep") != F.col("of")) & (F.col("far") - F.col("off") <= REACH)
-    pairs = stray.withColumnRenamed("cluster", "of").join(placed, (F.col("cluster") == F.col("of")) & within)
-    return pairs.select(F.least("rep", "stray").alias("a"), F.greatest("rep", "stray").alias("b")).distinct()
+    own = ["rep", "off", *LIMITS, *PARITY]
+    stray = placed.where("NOT linked").select("cluster", *[F.col(c).alias(f"s_{c}") for c in own])
+    other = placed.select(F.col("cluster").alias("of"), *[F.col(c).alias(f"o_{c}") for c in own])
+    within = (F.col("o_rep") != F.col("s_rep")) & (F.col("o_rep") != F.col("of")) & (F.col("s_off") - F.col("o_off") <= REACH)
+    pairs = stray.join(other, (F.col("cluster") == F.col("of")) & within & may_link("s", "o") & close("s", "o"))
+    return pairs.select(F.least("s_rep", "o_rep").alias("a"), F.greatest("s_rep", "o_rep").alias("b")).distinct()
 
 
 def open_pairs(near: DataFrame, placed: DataFrame) -> DataFrame:
@@ -398,11 +502,27 @@ def open_pairs(near: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def member_pairs(opened: DataFrame, placed: DataFrame) -> DataFrame:
-    """(a, b) of the sets in open pairs of clusters that the distances to their pivots leave possible."""
-    x = placed.select("cluster", F.col("rep").alias("x"), F.col("off").alias("x_off"), F.col("component").alias("x_of"))
-    y = placed.select("cluster", F.col("rep").alias("y"), F.col("off").alias("y_off"), F.col("component").alias("y_of"))
+    """(a, b) of the sets in open pairs of clusters that the distances to their pivots and their own limits leave possible."""
+
+    def side(name: str, off: str, of: str) -> DataFrame:
+        limits = [F.col(c).alias(f"{name}_{c}") for c in LIMITS + PARITY]
+        return placed.where("low IS NOT NULL").select(
+            "cluster", F.col("rep").alias(name), F.col("off").alias(off), F.col("component").alias(of), *limits
+        )
+
     c = F.col
-    first = opened.join(x, (c("a") == c("cluster")) & (c("apart") - c("x_off") - c("b_reach") <= REACH)).drop("cluster")
+    state = placed.groupBy(c("cluster").alias("b")).agg(
+        F.min("low").alias("b_low"), F.max("high").alias("b_high"), F.max("spare").alias("b_spare"),
+        F.min("end_first").alias("b_end_first"), F.max("end_last").alias("b_end_last"),
+        *[F.when(F.count("*") == 1, F.first(name)).alias(f"b_{name}") for name in PARITY],
+    )
+    first = opened.join(state, "b").join(
+        side("x", "x_off", "x_of"),
+        (c("a") == c("cluster")) & (c("apart") - c("x_off") - c("b_reach") <= REACH) & may_link("x", "b") & close("x", "b"),
+    )
+    first = first.drop("cluster", *[f"b_{name}" for name in LIMITS + PARITY])
     possible = (c("apart") - c("x_off") - c("y_off") <= REACH) & (F.abs(c("x_off") - c("y_off")) - c("apart") <= REACH)
-    both = first.join(y, (c("b") == c("cluster")) & possible & (c("x_of") != c("y_of")))
+    both = first.join(
+        side("y", "y_off", "y_of"), (c("b") == c("cluster")) & possible & (c("x_of") != c("y_of")) & may_link("x", "y") & close("x", "y")
+    )
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -78,3 +78,38 @@ def test_null_ids(null_ids):
 
 def test_empty_table(no_docs):
     assert results(no_docs) == []
+
+
+def loose_group(copies, seed):
+    """Copies of one text 0.05 to 0.35 apart from it; few of the far ones link to any other."""
+    rng, base, rows = random.Random(seed), [f"b{k}" for k in range(150)], [(0, " ".join(f"b{k}" for k in range(150)))]
+    for i in range(1, copies):
+        words = list(base)
+        for k in rng.sample(range(150), rng.randint(1, 6)):
+            words[k] = f"x{i}_{k}" if rng.random() < 0.8 else ""
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_a_large_loose_group_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Hubs and lost tokens settle most of a loose group; no link is lost."""
+    compared, exact, copies = [], J.similarities, 600
+
+    def counted(pairs, sets):
+        compared.append(pairs.count())
+        return exact(pairs, sets)
+
+    monkeypatch.setattr(J, "similarities", counted)
+    check(spark, loose_group(copies, 3))
+    assert sum(compared) < copies * copies // 10
+
+
+def test_far_copies_link_to_each_other_alone(spark):
+    """Pairs that share their edits, too far from the text of all others to link to it."""
+    rng, rows = random.Random(8), loose_group(120, 4)
+    for k in range(30):
+        words = [f"b{k}" for k in range(150)]
+        for at in rng.sample(range(150), 9):
+            words[at] = f"y{k}_{at}"
+        rows += [(1000 + 2 * k, " ".join(words)), (1001 + 2 * k, " ".join([*words[:-1], f"end{k}"]))]
+    check(spark, rows)
