@@ -223,24 +223,21 @@ def needed(n: Column, m: Column) -> Column:
 
 
 def shared_entries(kept: DataFrame) -> DataFrame:
-    """(rep, n, place, token, end, spare) of prefix tokens that more than one entry has.
+    """(rep, n, end, spare, hits) of each set: hits are (place, token) of prefix tokens that more than one entry has.
 
     ``end`` is the set's last prefix token. Of two sets, all prefix tokens of the one that ends first would be in
     the other's prefix too if they were in its set. So its tokens that no other prefix has are lost to the overlap,
     and a link needs ``spare`` = 5 n - 9 (lost tokens) >= 4 (size of the other).
     """
-    entries = kept.select(
-        "rep", "n", F.xxhash64("tokens").alias("set"), F.size("tokens").alias("length"),
-        F.element_at("tokens", -1).alias("end"), F.posexplode("tokens").alias("place", "token"),
-    )
+    entries = kept.select("rep", "n", F.element_at("tokens", -1).alias("end"), F.posexplode("tokens").alias("place", "token"))
     times = F.count("*").over(Window.partitionBy("token"))
-    shared = stored(entries.withColumn("times", times).where("times > 1").drop("times"), "shared-entries")
-    sums = shared.groupBy(F.col("rep").alias("of"), F.col("set").alias("of_set")).agg(F.count("*").alias("met"))
-    lost = F.col("length") - F.col("met")
+    shared = entries.withColumn("times", times).where("times > 1")
+    sets = shared.groupBy("rep", "n", "end").agg(F.collect_list(F.struct("place", "token")).alias("hits"))
+    n = F.col("n")
+    length = F.least(n, n - F.ceil(n * 4 / F.lit(5.0) - 1e-9) + SHARED)
     # Linked sets share so many tokens of their prefixes.
-    enough = F.col("met") >= F.least(F.lit(SHARED), needed(F.col("n"), F.floor(F.col("n") * 0.8)))
-    both = shared.join(sums, (F.col("rep") == F.col("of")) & (F.col("set") == F.col("of_set"))).where(enough)
-    return both.select("rep", "n", "place", "token", "end", (F.col("n") * 5 - lost * 9).alias("spare"))
+    enough = F.size("hits") >= F.least(F.lit(SHARED), needed(n, F.floor(n * 0.8)))
+    return sets.where(enough).select("rep", "n", "end", (n * 5 - (length - F.size("hits")) * 9).alias("spare"), "hits")
 
 
 def bounds() -> list[Column]:
@@ -274,8 +271,9 @@ def claims(shared: DataFrame) -> DataFrame:
     """(rep, hub): for each set the one that it shares most prefix tokens with, among the sets that lead a token's
     list by the smallest share of lost tokens. One row a set, however long the lists."""
     central = F.struct((-F.col("spare") / F.col("n")).alias("lost"), (-F.col("n")).alias("size"), F.col("rep").alias("hub"))
-    leads = shared.groupBy("token").agg(F.min(central).alias("lead"))
-    counts = shared.join(leads, "token").where("rep <> lead.hub").groupBy("rep", "lead").agg(F.count("*").alias("common"))
+    entries = shared.select("rep", "n", "spare", F.explode("hits.token").alias("token"))
+    led = entries.select("rep", F.min(central).over(Window.partitionBy("token")).alias("lead"))
+    counts = led.where("rep <> lead.hub").groupBy("rep", "lead").agg(F.count("*").alias("common"))
     lead = F.struct("common", (-F.col("lead.lost")).alias("lost"), F.col("lead.size"), F.col("lead.hub"))
     best = counts.groupBy("rep").agg(F.max(lead).alias("best"), F.max_by("lead", lead).alias("lead"))
     own = shared.groupBy(F.col("rep").alias("of")).agg(F.min(central).alias("mine"))
@@ -427,10 +425,14 @@ def linked_components(docs: DataFrame) -> DataFrame:
 
     postings = (
         shared.join(known, "rep")
+        .select("cluster", "n", "end", "spare", F.inline("hits"))
+        .repartition("token")
         .groupBy("token", "cluster")
         .agg(F.min("place").alias("first"), F.max("place").alias("last"), *bounds())
     )
-    found = stored(candidates(postings), "candidates")
+    # Most lists are of one cluster.
+    several = postings.withColumn("clusters", F.count("*").over(Window.partitionBy("token"))).where("clusters > 1")
+    found = stored(candidates(stored(several.drop("clusters"), "postings")), "candidates")
 
     spokes = grouped.select(F.col("cluster").alias("a"), F.col("rep").alias("b"))
     pairs = stored(found.union(spokes), "pairs")
