@@ -47,6 +47,8 @@ KNOWN_WORDS = 400_000
 COUNTER_BITS = 18
 BANDS, BAND_ROWS = 4, 8
 ALIKE = 0.9
+#: A set is compared with a hub from this estimate on; a link of 0.8 is below it once in 10**5.
+LIKELY = 0.5
 #: Pairs must share so many prefix tokens, or as many as their sizes demand.
 SHARED = 3
 FILTER_BITS = 24
@@ -186,12 +188,34 @@ def clusters(sets: DataFrame) -> DataFrame:
     onward = first.select(F.col("rep").alias("pivot"), F.col("pivot").alias("next"))
     claimed = first.join(onward, "pivot", "left").select("rep", F.coalesce("next", "pivot").alias("pivot"))
     claimed = claimed.join(first.select(F.col("rep").alias("pivot")), "pivot", "left_anti")
-    hashes = sets.select("rep", "minhash")
-    both = claimed.join(hashes, "rep").join(
-        hashes.select(F.col("rep").alias("pivot"), F.col("minhash").alias("other")), "pivot"
+    return alike(claimed, "pivot", sets, ALIKE).groupBy("rep").agg(F.min("pivot").alias("cluster"))
+
+
+def among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is in ``ids`` (one column), and few others: a bounded first look, never the last word.
+
+    Of 2**24 bits one is set for each id's hash. They are broadcast, so that other rows are left out before a shuffle.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    words = (
+        ids.toDF("id")
+        .select(bit("id").alias("bit"))
+        .selectExpr("CAST(shiftright(bit, 6) AS INT) AS word_", "shiftleft(1L, CAST(bit % 64 AS INT)) AS one")
+        .groupBy("word_")
+        .agg(F.bit_or("one").alias("bits_"))
     )
-    same = F.size(F.filter(F.zip_with("minhash", "other", lambda a, b: a == b), lambda x: x))
-    return both.where(same >= int(np.ceil(ALIKE * BANDS * BAND_ROWS))).groupBy("rep").agg(F.min("pivot").alias("cluster"))
+    found = rows.join(F.broadcast(words), F.shiftright(bit(key), 6).cast("int") == F.col("word_"))
+    return found.where(F.getbit("bits_", bit(key) % 64) == 1).drop("word_", "bits_")
+
+
+def alike(pairs: DataFrame, other: str, sets: DataFrame, least: float) -> DataFrame:
+    """(rep, ``other``) of ``pairs`` for which so many MinHash values are equal."""
+    hashes = sets.select("rep", "minhash")
+    mine = among(hashes, "rep", pairs.select("rep"))
+    theirs = among(hashes, "rep", pairs.select(other)).toDF(other, "others")
+    same = F.size(F.filter(F.zip_with("minhash", "others", lambda a, b: a == b), lambda x: x))
+    both = pairs.join(mine, "rep").join(theirs, other)
+    return both.where(same >= int(np.ceil(least * BANDS * BAND_ROWS))).select("rep", other)
 
 
 def prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
@@ -281,14 +305,19 @@ def claims(shared: DataFrame) -> DataFrame:
     return best.join(own, F.col("rep") == F.col("of")).where("lead < mine").select("rep", F.col("lead.hub").alias("hub"))
 
 
-def regrouped(grouped: DataFrame, claimed: DataFrame, sets: DataFrame) -> DataFrame:
-    """(rep, cluster): sets that link to their hub, or to its hub, go to its cluster; others stay with a pivot that stays."""
+def regrouped(grouped: DataFrame, claimed: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, cluster): sets that link to their hub, or to its hub, go to its cluster; others stay with a pivot that stays.
+
+    Most sets only share a passage with their hub: whole sets are made where the estimate is not far below a link.
+    """
     onward = claimed.select(F.col("rep").alias("hub"), F.col("hub").alias("next"))
     far = onward.select(F.col("hub").alias("next"), F.col("next").alias("last"))
     reached = claimed.join(onward, "hub", "left").join(far, "next", "left")
     wanted = reached.select("rep", F.explode(F.array("hub", "next", "last")).alias("hub")).where("hub IS NOT NULL").distinct()
-    pairs = wanted.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), "rep", "hub")
-    near = similarities(stored(pairs.select("a", "b").distinct(), "claims"), sets).where("linked").drop("linked")
+    wanted = alike(stored(wanted, "wanted"), "hub", sets, LIKELY).distinct()
+    pairs = stored(wanted.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), "rep", "hub"), "claims")
+    whole = stored(whole_sets(docs, pairs.select("a").union(pairs.select("b"))), "claim-sets")
+    near = similarities(pairs.select("a", "b").distinct(), whole).where("linked").drop("linked")
     found = stored(pairs.join(near, ["a", "b"]).select("rep", "hub", "distance"), "claimed")
     # The hub that most sets link to; hubs that follow no other keep their place.
     weight = found.groupBy("hub").agg(F.count("*").alias("weight"))
@@ -328,21 +357,6 @@ def candidates(postings: DataFrame) -> DataFrame:
     )
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """2**24 bits, one set for each id's hash: a bounded first look, never the last word."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
-    words = (
-        ids.select(bit.alias("bit"))
-        .selectExpr("CAST(shiftright(bit, 6) AS INT) AS at", "shiftleft(1L, CAST(bit % 64 AS INT)) AS one")
-        .groupBy("at")
-        .agg(F.bit_or("one").alias("bits"))
-        .toArrow()
-    )
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bits[words["at"].to_numpy()] = words["bits"].to_numpy()
-    return bits.view(np.uint8)
-
-
 def parities(hashes: np.ndarray) -> np.ndarray:
     """256 bits: whether an odd number of the set's shingles falls on each."""
     odd = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=256) & 1
@@ -351,30 +365,26 @@ def parities(hashes: np.ndarray) -> np.ndarray:
 
 def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, n, hashes, parity) of the documents in ``ids`` (and of few others, whose bit is the same)."""
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
     schema = pa.schema(
         [("id", pa.int64()), ("n", pa.int64()), ("hashes", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, known = word_codes(), bits.value
+        codes = word_codes()
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            chosen = pa.array((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-            kept = batch.filter(chosen)
-            sets = [shingles(text, codes) for text in raw_texts(kept.column(1))]
+            sets = [shingles(text, codes) for text in raw_texts(batch.column(1))]
             hashes, odd = [s.view(np.int64) for s in sets], [parities(s) for s in sets]
-            yield record_batch(schema, kept.column(0), [len(s) for s in sets], hashes, odd)
+            yield record_batch(schema, batch.column(0), [len(s) for s in sets], hashes, odd)
 
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    rows = _texts(docs).where("doc_id IS NOT NULL").withColumn("bit", bit)
+    rows = among(_texts(docs).where("doc_id IS NOT NULL"), "doc_id", ids)
     return map_batches(rows, run, "id long, n long, hashes array<long>, parity array<long>")
 
 
 def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, linked, distance) of pairs, exactly; of several sets of an id the nearest."""
-    mine = sets.select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("hashes").alias("a_set"))
-    theirs = sets.select(F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("hashes").alias("b_set"))
+    """(a, b, linked, distance) of pairs, exactly; of several sets of an id the nearest. Only sets in pairs are shuffled."""
+    sets = sets.select("id", "n", "hashes")
+    mine = among(sets, "id", pairs.select("a")).toDF("a", "a_n", "a_set")
+    theirs = among(sets, "id", pairs.select("b")).toDF("b", "b_n", "b_set")
     both = F.size(F.array_intersect("a_set", "b_set"))
     return (
         pairs.join(mine, "a")
@@ -413,9 +423,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
     kept = prefixes(docs, counter_ranks(table)).join(sets.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
     shared = stored(shared_entries(kept.withColumnRenamed("doc_id", "rep")), "shared")
     first = stored(clusters(sets), "clusters")
-    ids = shared.select(F.col("rep").alias("id")).union(first.select("rep")).union(first.select("cluster")).distinct()
-    whole = stored(whole_sets(docs, ids), "whole-sets")
-    grouped = stored(regrouped(first, stored(claims(shared), "hubs"), whole), "regrouped")
+    grouped = stored(regrouped(first, stored(claims(shared), "hubs"), sets, docs), "regrouped")
     members = grouped.select("rep", "cluster").union(
         grouped.select(F.col("cluster").alias("rep"), "cluster").distinct()
     )
@@ -436,6 +444,8 @@ def linked_components(docs: DataFrame) -> DataFrame:
 
     spokes = grouped.select(F.col("cluster").alias("a"), F.col("rep").alias("b"))
     pairs = stored(found.union(spokes), "pairs")
+    ids = pairs.select("a").union(pairs.select("b")).union(members.select("rep"))
+    whole = stored(whole_sets(docs, ids), "whole-sets")
     checked = stored(similarities(pairs, whole), "checked")
 
     offs = checked.join(spokes, ["a", "b"], "left_semi").select(F.col("b").alias("rep"), F.col("distance").alias("off"), "linked")

@@ -113,3 +113,37 @@ def test_far_copies_link_to_each_other_alone(spark):
             words[at] = f"y{k}_{at}"
         rows += [(1000 + 2 * k, " ".join(words)), (1001 + 2 * k, " ".join([*words[:-1], f"end{k}"]))]
     check(spark, rows)
+
+
+def test_sets_that_only_share_a_passage_are_not_made(spark, monkeypatch):
+    """Rare passages shared with a set of another size: no pair can link, so no whole set is written or shuffled."""
+    made, compared, whole, exact = [], [], J.whole_sets, J.similarities
+
+    def written(docs, ids):
+        made.append(whole(docs, ids).count())
+        return whole(docs, ids)
+
+    def counted(pairs, sets):
+        compared.append(pairs.count())
+        return exact(pairs, sets)
+
+    monkeypatch.setattr(J, "whole_sets", written)
+    monkeypatch.setattr(J, "similarities", counted)
+    tails, rows = [" ".join(f"{t}{k}" for k in range(n)) for t, n in (("short", 60), ("long", 120))], []
+    for k in range(20):
+        passage = " ".join(f"p{k}_{i}" for i in range(60))
+        rows += [(2 * k + i, f"{passage} {tail}") for i, tail in enumerate(tails)]
+    check(spark, rows)
+    assert sum(made) < 4
+    assert sum(compared) < 4
+
+
+def test_rows_among_ids(spark):
+    """A first look: every row that is asked for, and few others."""
+    rows = spark.range(-5000, 5000).selectExpr("id", "id % 7 AS other")
+    ids = spark.range(-5000, 5000, 50).union(spark.range(0, 100, 50))
+    found = [(r.id, r.other) for r in J.among(rows, "id", ids).collect()]
+    assert {i for i, _ in found} >= set(range(-5000, 5000, 50))
+    assert len(found) == len(set(found)) < 210
+    assert {o for _, o in found} <= {r.other for r in rows.collect()}
+    assert J.among(rows, "id", ids.limit(0)).count() == 0
